@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .mixing import mix
+from .packing import pack_documents
+from .secrets import scan
 from .simhash import simhash_dedup
 
 
@@ -15,9 +18,24 @@ def op2_simhash(spark, sf_dir):
     return simhash_dedup(documents(spark, sf_dir))
 
 
+def op4_packing(spark, sf_dir):
+    return pack_documents(documents(spark, sf_dir))
+
+
+def op6_mixing(spark, sf_dir):
+    return mix(documents(spark, sf_dir)).drop("pieces")
+
+
+def op10_secrets(spark, sf_dir):
+    return scan(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
+    "op4_packing": op4_packing,
+    "op6_mixing": op6_mixing,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL = {
