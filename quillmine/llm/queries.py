@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from . import line_dedup
 from .mixing import mix
 from .packing import pack_documents
 from .secrets import scan
@@ -26,6 +27,10 @@ def op6_mixing(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("pieces")
 
 
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op10_secrets(spark, sf_dir):
     return scan(documents(spark, sf_dir))
 
@@ -35,10 +40,12 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_packing": op4_packing,
     "op6_mixing": op6_mixing,
+    "op7_line_dedup": op7_line_dedup,
     "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL = {
+    "op7_line_dedup": line_dedup.ORACLE_SQL,
     "op1_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
