@@ -27,8 +27,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     Rows are grouped by their 128-bit hash *and* the bytes of the normalised text, so texts that
     only share the hash fall into different groups. The grouping is combined map-side: a text that
     a third of all rows repeat leaves each task once. The verdict goes back to the rows by hash
-    (and SHA-256, which tells colliding groups apart; two different texts that share both stop the
-    job) over narrow columns, in a join that adaptive execution may split at a hot key.
+    and SHA-256 (which tells groups apart whose 128-bit hashes collide) over narrow columns, in a
+    join that adaptive execution may split at a hot key.
 
     Returns one row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``. Null and
     empty texts are equal. Rows that repeat an id with the same text get the same verdict; a null
@@ -40,20 +40,6 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         base.groupBy("hash", "norm")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("hash", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-        .groupBy("hash", "text_sha256")
-        .agg(
-            F.count(F.lit(1)).alias("texts"),
-            F.min("keep_id").alias("keep_id"),
-            F.sum("group_size").alias("group_size"),
-        )
-        .select(
-            "hash",
-            "text_sha256",
-            "keep_id",
-            F.when(F.col("texts") == 1, F.col("group_size"))
-            .otherwise(F.raise_error(F.lit("two texts share both hashes")))
-            .alias("group_size"),
-        )
     )
     rows = base.select("doc_id", "hash", F.sha2("norm", 256).alias("text_sha256"))
     return rows.join(groups, ["hash", "text_sha256"]).select(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from . import language_id, line_dedup, quality
 from .common import documents
 from .exact_dedup import exact_dedup
-from . import line_dedup
 from .mixing import mix
 from .packing import pack_documents
 from .secrets import scan
@@ -19,10 +19,19 @@ def op2_simhash(spark, sf_dir):
     return simhash_dedup(documents(spark, sf_dir))
 
 
+def op3_language_id(spark, sf_dir):
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op4_packing(spark, sf_dir):
     return pack_documents(documents(spark, sf_dir))
 
 
+def op5_quality(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return quality.quality(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op6_mixing(spark, sf_dir):
     return mix(documents(spark, sf_dir)).drop("pieces")
 
@@ -38,7 +47,9 @@ def op10_secrets(spark, sf_dir):
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
+    "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op10_secrets": op10_secrets,
