@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, quality
+from . import language_id, line_dedup, pii, quality, substring_dedup
 from .common import documents
 from .exact_dedup import exact_dedup
 from .mixing import mix
@@ -40,6 +40,14 @@ def op7_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op8_pii(spark, sf_dir):
+    return pii.pseudonymise_documents(documents(spark, sf_dir))
+
+
+def op9_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_passages(documents(spark, sf_dir))
+
+
 def op10_secrets(spark, sf_dir):
     return scan(documents(spark, sf_dir))
 
@@ -52,6 +60,8 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_pii": op8_pii,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_secrets": op10_secrets,
 }
 
