@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,9 +150,9 @@ class _Parser:
             if self.take("word") != "NEAR":
                 raise QuerySyntaxError("only NEAR takes a parenthesis")
             self.take("(")
-            phrases = [self.phrase()]
-            while self.kind() in ("word", "string", "^"):
-                phrases.append(self.phrase())
+            phrases = []
+            while self.kind() in ("word", "string") or not phrases:
+                phrases.append(self.phrase(may_begin=False))
             distance = NEAR_DISTANCE
             if self.kind() == ",":
                 self.at += 1
@@ -164,8 +165,8 @@ class _Parser:
             return Node("near", phrases=phrases, distance=distance) if len(phrases) > 1 else Node("phrase", phrases=phrases)
         return Node("phrase", phrases=[self.phrase()])
 
-    def phrase(self) -> Phrase:
-        initial = self.kind() == "^"
+    def phrase(self, may_begin: bool = True) -> Phrase:
+        initial = may_begin and self.kind() == "^"
         self.at += initial
         terms: list[str] = []
         while True:
@@ -216,23 +217,47 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def _near(phrases: list[int], trees: list[Phrase], distance: int, col: int) -> Column:
-    """Whether one occurrence of each phrase lies with at most ``distance`` tokens between the
-    first's end and the last's start. Some phrase comes last; each of the others then has an
-    occurrence that ends at most ``distance`` tokens before it, or at it."""
-
-    def last_is(k: int) -> Column:
-        def others(p: Column) -> Column:
-            conditions = [F.lit(True)]
-            for i, tree in zip(phrases, trees):
-                if i != phrases[k]:
-                    size = len(tree.terms)
-                    conditions.append(F.exists(F.col(f"p{i}_{col}"), lambda q, size=size: (q <= p) & (q + size + distance >= p)))
-            return _all(conditions)
-
-        return F.exists(F.col(f"p{phrases[k]}_{col}"), others)
-
-    return _any([last_is(k) for k in range(len(phrases))])
+def near_trimmed(positions: list[list[int]], sizes: list[int], distance: int) -> list[list[int]]:
+    """Of each phrase's starts in a column, those that meet the others': all starts lie so that no
+    phrase ends more than ``distance`` tokens before the last one's start. One cursor per phrase
+    moves on; whenever all agree their starts are kept, and the one moves on whose next start is the least."""
+    at, kept = [0] * len(positions), [[] for _ in positions]
+    if not all(positions):
+        return kept
+    while True:
+        last = max(p[i] for p, i in zip(positions, at))
+        settled = False
+        while not settled:
+            settled = True
+            for k, p in enumerate(positions):
+                while at[k] < len(p) and p[at[k]] < last - sizes[k] - distance:
+                    at[k] += 1
+                if at[k] == len(p):
+                    return kept
+                if p[at[k]] > last:
+                    last, settled = p[at[k]], False
+        for k, p in enumerate(positions):
+            if not kept[k] or p[at[k]] > kept[k][-1]:
+                kept[k].append(p[at[k]])
+        upcoming = [(p[i + 1], k) for k, (p, i) in enumerate(zip(positions, at)) if i + 1 < len(p)]
+        if not upcoming:
+            return kept
+        at[min(upcoming)[1]] += 1
+
+
+def _trim(columns: list[Column], sizes: list[int], distance: int) -> Column:
+    """:func:`near_trimmed` over Arrow batches: an array of the phrases' starts."""
+
+    def batch(starts: pd.DataFrame) -> pd.Series:
+        rows = zip(*(starts[c] for c in starts.columns))
+        return pd.Series([near_trimmed([list(x) for x in row], sizes, distance) for row in rows])
+
+    packed = F.struct(*(c.alias(f"x{i}") for i, c in enumerate(columns)))
+    return F.pandas_udf(batch, "array<array<int>>")(packed)
+
+
+def _nears(node: Node) -> list[Node]:
+    return ([node] if node.op == "near" else []) + [x for p in node.parts for x in _nears(p)]
 
 
 def _matches(node: Node, numbers: dict[int, int]) -> Column:
@@ -240,15 +265,23 @@ def _matches(node: Node, numbers: dict[int, int]) -> Column:
     if node.op == "phrase":
         return F.col(f"tf{numbers[id(node.phrases[0])]}") > 0
     if node.op == "near":
-        own = [numbers[id(p)] for p in node.phrases]
-        columns = frozenset.intersection(*(p.columns for p in node.phrases))
-        return _any([_near(own, node.phrases, node.distance, c) for c in sorted(columns)])
+        return F.col(f"tf{numbers[id(node.phrases[0])]}") > 0
     parts = [_matches(x, numbers) for x in node.parts]
     if node.op == "or":
         return _any(parts)
     return _all(parts) if node.op == "and" else parts[0] & ~parts[1]
 
 
+def _counted(node: Node, numbers: dict[int, int], under: Column, out: dict[int, Column]) -> dict[int, Column]:
+    """For each phrase, whether all nodes above it match; what NOT takes away never counts."""
+    here = under & _matches(node, numbers)
+    for p in node.phrases:
+        out[numbers[id(p)]] = here
+    for x in node.parts[: 1 if node.op == "not" else None]:
+        _counted(x, numbers, here, out)
+    return out
+
+
 def term_filter(phrases: list[Phrase], term: Column) -> Column:
     """Whether a term occurs in the phrases; equalities and prefixes, which reach the scan."""
     plain = sorted({t for p in phrases for t in (p.terms[:-1] if p.prefix else p.terms)})
@@ -293,11 +326,19 @@ def match(index: TextIndex, query: str | Node, strict: bool = False) -> DataFram
         i = numbers[id(p)]
         for c in range(len(COLUMNS)):
             grouped = grouped.withColumn(f"p{i}_{c}", _starts(i, p, c) if p.terms and c in p.columns else empty_list)
-        grouped = grouped.withColumn(f"tf{i}", sum((F.size(f"p{i}_{c}") for c in range(len(COLUMNS))), F.lit(0)))
-    grouped = grouped.select("chunk_id", *(f"tf{i}" for i in range(len(leaves))), _matches(tree, numbers).alias("hit"))
+        grouped = grouped.withColumn(f"in{i}", sum((F.size(f"p{i}_{c}") for c in range(len(COLUMNS))), F.lit(0)) > 0)
+    for node in _nears(tree):  # of a NEAR's phrases only what meets counts
+        own = [numbers[id(p)] for p in node.phrases]
+        for c in sorted(frozenset.intersection(*(p.columns for p in node.phrases))):
+            met = _trim([F.col(f"p{i}_{c}") for i in own], [len(p.terms) for p in node.phrases], node.distance)
+            grouped = grouped.withColumn("__met", met).withColumns({f"p{i}_{c}": F.col("__met")[k] for k, i in enumerate(own)})
+    grouped = grouped.withColumns({f"tf{i}": sum((F.size(f"p{i}_{c}") for c in range(len(COLUMNS))), F.lit(0)) for i in range(len(leaves))})
+    counted = _counted(tree, numbers, F.lit(True), {})
+    tfs = [F.when(counted.get(i, F.lit(False)), F.col(f"tf{i}")).otherwise(0).alias(f"tf{i}") for i in range(len(leaves))]
+    grouped = grouped.select("chunk_id", *(f"in{i}" for i in range(len(leaves))), *tfs, _matches(tree, numbers).alias("hit"))
 
     # one row: how many rows each phrase is in, next to the corpus statistics
-    counts = grouped.agg(*(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(leaves))))
+    counts = grouped.agg(*(F.count_if(f"in{i}").alias(f"n{i}") for i in range(len(leaves))))
     stats = index.lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("length").alias("avgdl"))
     scored = grouped.where("hit").join(index.lengths, "chunk_id").crossJoin(F.broadcast(counts.crossJoin(stats)))
     score = F.lit(0.0)
