@@ -63,15 +63,19 @@ def boilerplate(rows: DataFrame, sites: int = SITES, companies: int = COMPANIES,
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"),
         F.hll_sketch_estimate(F.hll_sketch_agg("company", F.lit(LG_K))).alias("companies"),
     )
+    least = {"site": ("sites", sites), "company": ("companies", companies)}
+    near = {c: F.col(e).between(n * (1 - margin), n * (1 + margin)) for c, (e, n) in least.items()}
     low = (F.col("sites") < sites * (1 - margin)) | (F.col("companies") < companies * (1 - margin))
-    high = (F.col("sites") > sites * (1 + margin)) & (F.col("companies") > companies * (1 + margin))
-    estimates = cut(estimates.where(~low).withColumn("sure", high))
-    near = spread.join(estimates.where("not sure").select("key"), "key", "left_semi")
-    # one count at a time, so that no row is expanded; distinct pairs combine before the shuffle
-    for column, least in (("site", sites), ("company", companies)):
-        counted = near.select("key", column).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("key")
-        exact = counted if column == "site" else exact.join(counted, "key", "left_semi")
-    return estimates.where("sure").select("key").union(exact)
+    estimates = cut(estimates.where(~low).select("key", *(x.alias(f"near_{c}") for c, x in near.items())))
+    passed = []
+    for column, (_, n) in least.items():
+        unsure = estimates.where(f"near_{column}").select("key")
+        # the rows of a common line are counted where they lie: its few sites, or companies, are all that moves
+        if unsure.count() <= BROADCAST_LINES:
+            unsure = F.broadcast(unsure)
+        counted = spread.join(unsure, "key", "left_semi").select("key", column).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        passed.append(estimates.where(f"not near_{column}").select("key").union(counted.where(F.col("n") >= n).select("key")))
+    return passed[0].join(passed[1], "key", "left_semi")
 
 
 def _bare_key(line: str) -> bytes | None:
