@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Every operator splits words at these characters and no others.
 SPACE = r"[\x20\x09-\x0D]"
@@ -39,6 +40,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_sample(rows: DataFrame, most: int, seed: int, most_labels: int) -> DataFrame:
+    """Up to ``most`` rows of ``rows(id, label)`` for each label: the first in a hashed order.
+
+    Labels are counted first. A label with many rows is thinned out by its hash, to four times the
+    bound on average, so what one label's ranking sees doesn't grow with the table. (That fewer
+    than ``most`` of so many stay is out of the question unless ids repeat.) The driver holds a row
+    for each label; more than ``most_labels`` are an error.
+    """
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(most_labels + 1).collect()
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
+    top = (1 << 63) - 1
+    bounds = [(r["label"], top if r["n"] <= 4 * most else int(4 * most / r["n"] * 2 * top) - top) for r in counts]
+    table = rows.sparkSession.createDataFrame(bounds, f"__label {rows.schema['label'].dataType.simpleString()}, __bound long")
+    order = F.xxhash64("id", F.lit(seed))
+    some = rows.join(F.broadcast(table), F.col("label") == F.col("__label")).where(order <= F.col("__bound"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(order, "id"))
+    return some.withColumn("__n", rank).where(F.col("__n") <= most).select("id", "label")
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"),

@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .common import bounded_sample
 
 UNDETERMINED = "und"
 HIDDEN = 8
@@ -210,14 +211,8 @@ def training_windows(df: DataFrame, id_col: str, text_col: str, lang_col: str, p
     """Windows of a bounded sample: ``per_language`` documents of each language, the first in a
     hashed order, ``WINDOWS_PER_DOC`` windows of each at hashed places."""
     labelled = df.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-    chosen = (
-        labelled.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= per_language)
-        .select(F.col("doc_id").alias("__doc"))
-        .distinct()
-    )
+    narrow = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"))
+    chosen = bounded_sample(narrow, per_language, SEED, MAX_LANGUAGES).select(F.col("id").alias("__doc")).distinct()
     data = F.col(text_col).cast("binary")
     place = lambda i: F.pmod(F.xxhash64(F.col(id_col), i), F.greatest(F.octet_length(F.col(text_col)) - TRAIN_SPAN, F.lit(0)) + 1)
     windows = F.transform(F.sequence(F.lit(1), F.lit(WINDOWS_PER_DOC)), lambda i: F.substring(data, (place(i) + 1).cast("int"), F.lit(TRAIN_SPAN)))
@@ -227,8 +222,6 @@ def training_windows(df: DataFrame, id_col: str, text_col: str, lang_col: str, p
     found: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
         found.setdefault(r["lang"], []).extend(bytes(w).ljust(TRAIN_SPAN, b" ") for w in r["windows"])
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return {k: np.frombuffer(b"".join(v), np.uint8).reshape(-1, TRAIN_SPAN).astype(np.intp) for k, v in found.items()}
 
 
