@@ -255,3 +255,11 @@ def test_streaming(spark, tmp_path):
     pages = lib.store.tables()["pages"]
     assert pages.count() == len(GRAPH) and "Another text" in pages.where(F.col("url") == BASE).first()["markdown"]
     assert ingest.arrivals(spark.read.schema(ingest.LANDING).parquet(str(tmp_path / "in"))).agg(F.sum("pages"), F.sum("failures")).first() == (len(GRAPH) + 1, 1)
+
+
+def test_regressions(spark):
+    from quillmine.operators.compare import regressions
+
+    old = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 0.0), ("gone", 1.0)], "name string, mean double")
+    new = spark.createDataFrame([("a", 1.1), ("b", 1.3), ("b", 1.5), ("c", 1.0)], "name string, mean double")
+    assert {r["name"]: r["failed"] for r in regressions(old, new).collect()} == {"a": False, "b": True, "c": False}
