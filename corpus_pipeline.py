@@ -47,10 +47,19 @@ STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_dup
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
-    folder, docs = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", documents(spark, sf_dir)
+    """All stages over ``documents``, each written as Parquet to the shared folder and read again.
+    A stage's table goes when the next one's is complete; the last one's is the result."""
+    folder, docs, before = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", documents(spark, sf_dir), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _delete(spark, before)
+        before = f"{folder}/{name}"
     return docs
