@@ -10,7 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .common import bounded_sample
 
 SPACES = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -172,13 +173,8 @@ class LineField:
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality") -> LineField | None:
     """Fit the field to a bounded sample of labelled documents, each line labelled as its document;
     None if one of the qualities 0 and 1 has no document with a word."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(SEED)), "id")
-    chosen = (
-        labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("label"))
-        .where("label in (0, 1) and id is not null")
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= DOCS_PER_CLASS)
-    )
+    marked = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null")
+    chosen = bounded_sample(marked, DOCS_PER_CLASS, SEED, 2)
     rows = df.select(F.col(id_col).alias("doc"), F.slice(F.split(F.col(text_col), "\n"), 1, TRAIN_LINES).alias("lines"))
     # at most DOCS_PER_CLASS rows of each class, so small enough to broadcast
     rows = rows.join(F.broadcast(chosen), rows["doc"] == chosen["id"]).where("lines is not null")
