@@ -30,7 +30,7 @@ SHARD_BLOCKS = 4096
 MAX_SOURCES = 100_000
 MAX_SHARDS = 4096
 #: Documents that one cumulative sum runs over, on average.
-BUCKET_ROWS = 1000
+BUCKET_ROWS = 250
 MAX_BUCKETS = 1 << 16
 SEED = 20_260
 
