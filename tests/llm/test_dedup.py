@@ -248,6 +248,8 @@ def test_a_group_with_two_passages_elects_again(spark):
     _, key, c, f, e = substring_dedup.signatures(words, bounds)
     place = substring_dedup.pack_place(c, f, e)
     assert [x.tolist() for x in substring_dedup.unpack_place(place)] == [c.tolist(), f.tolist(), e.tolist()]
+    packed = substring_dedup.unpack_claims(substring_dedup.pack_claims(key, place, f.astype(np.int64), e.astype(np.int64)))
+    assert [x.tolist() for x in packed] == [key.tolist(), place.tolist(), f.tolist(), e.tolist()]
     found, failed = substring_dedup.verify(words[:60].astype(np.uint32), words[60:].astype(np.uint32), 0, np.array([0]), np.array([10]))
     assert found == [] and failed.tolist() == [True]
     found, failed = substring_dedup.verify(words[:60].astype(np.uint32), words[:60].astype(np.uint32), 0, np.array([0, 5]), np.array([10, 4]))
