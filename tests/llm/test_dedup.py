@@ -256,6 +256,36 @@ def test_a_group_with_two_passages_elects_again(spark):
     assert found == [(0, 60, 1.0)] and failed.tolist() == [False, True]
 
 
+def test_a_passage_between_the_ends_of_a_place_is_verified():
+    rng = random.Random(5)
+    passage = text_of(rng, 50)
+    mine, theirs = (" ".join(text_of(rng, 10) + passage + text_of(rng, 10)).encode() for _ in range(2))
+    words, _ = substring_dedup.WordHashes()([mine, theirs])
+    found, failed = substring_dedup.verify(words[:70], words[70:], 0, np.array([0]), np.array([20]))
+    assert [x[:2] for x in found] == [(10, 60)] and found[0][2] >= 0.8 and failed.tolist() == [False]
+
+
+def test_similarity_of_all_starts_is_jaccard():
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 40, 120).astype(np.uint64)
+    b = np.where(rng.random(120) < 0.1, rng.integers(0, 60, 120).astype(np.uint64), a)
+    want = np.array([len(x & y) / len(x | y) for x, y in ((set(a[i : i + 30].tolist()), set(b[i : i + 30].tolist())) for i in range(91))])
+    got = substring_dedup.jaccards(a, b, np.arange(91), 30, 0.8)
+    assert (want >= 0.8).any() and (want < 0.8).any()
+    assert np.allclose(got[want >= 0.8], want[want >= 0.8]) and (got[want < 0.8] < 0.8).all()
+
+
+def test_passages_of_fifty_words_are_always_found(spark):
+    rng = random.Random(13)
+    docs = []
+    for i in range(150):
+        passage = text_of(rng, 50)
+        docs += [(2 * i + j, " ".join(text_of(rng, 60) + passage + text_of(rng, 60))) for j in (0, 1)]
+    got = rows(substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert {(r["doc_id"], r["rep_id"]) for r in got} == {(2 * i + 1, 2 * i) for i in range(150)}
+    assert all(r["start"] <= 60 and r["end"] >= 110 and r["start"] == r["rep_start"] for r in got)
+
+
 def test_repeated_passages_odd(odd, none):
     got = rows(substring_dedup.repeated_passages(odd))
     assert got == [] and substring_dedup.repeated_passages(none).count() == 0
