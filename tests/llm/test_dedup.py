@@ -286,6 +286,25 @@ def test_passages_of_fifty_words_are_always_found(spark):
     assert all(r["start"] <= 60 and r["end"] >= 110 and r["start"] == r["rep_start"] for r in got)
 
 
+def test_places_of_a_key_with_other_words_are_kept(spark):
+    """A phrase that holds both minima and recurs among different items has places of its own."""
+    rng = random.Random(21)
+    hashes = substring_dedup.WordHashes()
+    for _ in range(400):
+        phrase = text_of(rng, 12)
+        text = " ".join(w for _ in range(6) for w in phrase + text_of(rng, 12)).encode()
+        words, bounds = hashes([text])
+        _, key, centre, first, last = substring_dedup.signatures(words, bounds)
+        want = {(k, p) for k, p in zip(key.tolist(), substring_dedup.pack_place(centre, first, last).tolist())}
+        if len(set(key.tolist())) < len(want) - 2:
+            break
+    every = b"\xff" * 1024
+    df = spark.createDataFrame([(1, bytearray(text)), (2, bytearray(b"same words again " * 200))], "doc long, text binary")
+    got = rows(substring_dedup.signature_rows(df, among=every))
+    assert {(r["key"], r["place"]) for r in got if r["doc"] == 1} == want
+    assert sum(r["doc"] == 2 for r in got) < 200  # of equal places one in each span
+
+
 def test_repeated_passages_odd(odd, none):
     got = rows(substring_dedup.repeated_passages(odd))
     assert got == [] and substring_dedup.repeated_passages(none).count() == 0
