@@ -305,6 +305,29 @@ def test_places_of_a_key_with_other_words_are_kept(spark):
     assert sum(r["doc"] == 2 for r in got) < 200  # of equal places one in each span
 
 
+def test_what_is_not_verified_is_carried_on():
+    keys, places = np.array([7, 8]), substring_dedup.pack_place(np.array([20, 40]), np.array([5, 38]), np.array([20, 39]))
+    scores = np.zeros(10)
+    scores[2:5] = 0.9  # starts 12 to 14
+    key, place = substring_dedup.left_over(keys, places, scores, 10)
+    centre, first, last = substring_dedup.unpack_place(place)
+    assert list(zip(key, centre, first, last)) == [(7, 20, 5, 11), (7, 20, 15, 20), (8, 40, 38, 39)]
+
+
+def test_near_passages_around_a_common_phrase_are_linked(spark):
+    """Pairs of similar passages that share a phrase with all others, so that these win elections."""
+    rng = random.Random(23)
+    phrase, docs, n = text_of(rng, 34), [], 100
+    for i in range(n):
+        near = text_of(rng, 8) + phrase + text_of(rng, 8)
+        for j in (0, 1):
+            near[2] = f"v{i}x{j}"
+            docs.append((i + n * j, " ".join(text_of(rng, 30) + near + text_of(rng, 30))))
+    got = rows(substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")))
+    found = {(r["doc_id"], r["rep_id"]) for r in got}
+    assert found <= {(i + n, i) for i in range(n)} and len(found) >= 0.95 * n
+
+
 def test_repeated_passages_odd(odd, none):
     got = rows(substring_dedup.repeated_passages(odd))
     assert got == [] and substring_dedup.repeated_passages(none).count() == 0
