@@ -31,7 +31,10 @@ ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 0123456789abcde
 """
 #: Words that make the text around a candidate sensitive.
 SENSITIVE = re.compile(r"(?ai)passw|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer|signature|passphrase")
-CANDIDATE = re.compile(r"(?a)(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+#: The first characters of a candidate, and all of it from there on; it must have a digit.
+HEAD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16}")
+CANDIDATE = re.compile(r"[A-Za-z+/_=-]*[0-9][A-Za-z0-9+/_=-]*")
+LEAST = 16
 #: Characters before a candidate in which a sensitive word must stand.
 REACH = 48
 #: Characters on either side that prime the compressor.
@@ -66,15 +69,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def novel_spans(text: str, meter: NoveltyMeter, covered: list[tuple[int, int, str]], least: float = NOVELTY) -> list[tuple[int, int, str]]:
     """Candidates after a sensitive word, outside the covered spans, that stay incompressible."""
-    found, seen, last = [], 0, -1
+    found, seen = [], 0
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), seen), min(len(text), word.end() + REACH + 512)):
-            if m.start() - word.end() > REACH:
-                break
+        # heads that begin within reach; a candidate is looked at once, so long ones cost their length
+        for head in HEAD.finditer(text, max(word.end(), seen), max(seen, min(len(text), word.end() + REACH + LEAST))):
+            m = CANDIDATE.match(text, head.start())
+            seen = m.end() if m else head.end()
+            if not m:
+                continue
             start, end = m.span()
-            if start <= last or any(a < end and start < b for a, b, _ in covered):
+            if any(a < end and start < b for a, b, _ in covered):
                 continue
-            seen = last = end
             if meter.novelty(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND]) >= least:
                 found.append((start, end, "novel"))
     return found

@@ -334,6 +334,15 @@ def test_base_spans(parts):
     assert sorted(secrets.base_spans(text)) == sorted(base_brute(text))
 
 
+@pytest.mark.parametrize("n", [16, 512, 513, 5000])
+def test_novel_strings_of_any_length(n):
+    rng = random.Random(n)
+    own = "7" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n - 1))
+    for text in (f"send the bearer {own} along", f"token{' ' * 48}{own}", f"the secret, a token, is {own}.", f"auth x {own}"):
+        assert [text[a:b] for a, b, _ in secrets.novel_spans(text, secrets.NoveltyMeter(), [])] == [own]
+    assert secrets.novel_spans(f"token{' ' * 49}{own}", secrets.NoveltyMeter(), []) == []
+
+
 def test_novel_strings():
     meter = secrets.NoveltyMeter()
     text = "the bearer auth header AbC9dEf8GhIj7KlMnOp6qrSt and password in identifier_name_number_1234, then the bearer aaaaaaaaaaaaaaaaaaaa1"
