@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,8 @@ RRF_K = 60
 FETCH_MULTIPLIER, FETCH_LEAST = 3, 50
 MAX_PER_PAGE = 2
 SNIPPET_LENGTH = 200
+#: Numbers in a block of a matrix product of queries and vectors.
+CELLS = 4_000_000
 
 
 def fetch_size(top_k: int) -> int:
@@ -57,21 +61,44 @@ def knn_sites(near: DataFrame, site_id: int | None, top_k: int, prefilter: bool
     return near if prefilter or site_id is None else near.where(F.col("site_id") == site_id)
 
 
+def _nearest_rows(matrix: np.ndarray, block: np.ndarray, chunk: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of each query's ``top_k`` in a block of vectors, in the order of distance, id."""
+    # |q - v|^2 = |q|^2 + |v|^2 - 2 qv picks candidates, which are then measured directly: all that
+    # the error of this sum leaves within the k-th, for equal distances go by id
+    own, other = (matrix**2).sum(1), (block**2).sum(1)
+    square = own[:, None] + other - 2 * matrix @ block.T
+    k = min(len(chunk), top_k)
+    error = 4 * (matrix.shape[1] + 4) * np.finfo(np.float64).eps * (own + other.max())
+    within = square <= (np.partition(square, k - 1, axis=1)[:, k - 1] + 2 * error)[:, None]
+    best_d, best_i = np.empty((len(matrix), k)), np.empty((len(matrix), k), np.int64)
+    for n, near in enumerate(within):
+        some = np.flatnonzero(near)
+        exact = np.sqrt(((matrix[n] - block[some]) ** 2).sum(1))
+        order = np.lexsort((chunk[some], exact))[:k]
+        best_d[n], best_i[n] = exact[order], chunk[some][order]
+    return best_d, best_i
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, top_k: int, max_queries: int = 100_000) -> DataFrame:
     """``query_id, chunk_id, distance, rank`` for many queries (``query_id, embedding``) at once.
 
-    The queries are collected, behind a check of their number, and go to every task; each task keeps
-    its ``top_k`` for each query by block matrix products, so what is shuffled is bounded by
-    tasks x queries x k. More queries than ``max_queries`` are to be run in several calls.
+    The queries come to the driver in order and go to every task, ``max_queries`` at a time, each time
+    with a pass over the vectors; each task keeps its ``top_k`` for each query by block matrix
+    products, so what is shuffled is bounded by tasks x queries x k. The driver holds the queries.
     """
-    rows = queries.orderBy("query_id").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries; split them")
     schema = "query_id long, chunk_id long, distance double"
-    if not rows:
+    rows, found = queries.orderBy("query_id").toLocalIterator(), []
+    while part := list(itertools.islice(rows, max_queries)):
+        found.append(_nearest(vectors, np.array([r["query_id"] for r in part]), np.array([r["embedding"] for r in part], np.float64), top_k, schema))
+    if not found:
         return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    ids = np.array([r["query_id"] for r in rows])
-    matrix = np.array([r["embedding"] for r in rows], np.float64)
+    near = functools.reduce(DataFrame.union, found)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= top_k)
+
+
+def _nearest(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, top_k: int, schema: str) -> DataFrame:
+    """Each task's ``top_k`` for each of the queries."""
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best_d, best_i = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
@@ -80,20 +107,16 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, top_k: int, max_queries: i
             if not len(batch):
                 continue
             block, chunk = np.array(batch["embedding"].tolist(), np.float64), batch["chunk_id"].to_numpy()
-            # |q - v|^2 = |q|^2 + |v|^2 - 2 qv picks candidates, which are then measured directly
-            square = (matrix**2).sum(1)[:, None] + (block**2).sum(1) - 2 * matrix @ block.T
-            k = min(len(chunk), top_k + 8)
-            some = np.argpartition(square, k - 1, axis=1)[:, :k]
-            exact = np.sqrt(((matrix[:, None, :] - block[some]) ** 2).sum(2))
-            best_d, best_i = np.concatenate([best_d, exact], axis=1), np.concatenate([best_i, chunk[some]], axis=1)
+            step = max(1, CELLS // len(block))
+            parts = [_nearest_rows(matrix[n : n + step], block, chunk, top_k) for n in range(0, len(ids), step)]
+            best_d = np.concatenate([best_d, np.concatenate([d for d, _ in parts])], axis=1)
+            best_i = np.concatenate([best_i, np.concatenate([i for _, i in parts])], axis=1)
             order = np.lexsort((best_i, best_d), axis=1)[:, :top_k]
             best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
         n = best_d.shape[1]
         yield pd.DataFrame({"query_id": np.repeat(ids, n), "chunk_id": best_i.ravel(), "distance": best_d.ravel()})
 
-    near = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").where("embedding is not null").mapInPandas(nearest, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    return vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").where("embedding is not null").mapInPandas(nearest, schema)
 
 
 def ranked(hits: DataFrame, *order: Column | str, name: str = "rank", per: tuple[str, ...] = ()) -> DataFrame:

@@ -149,6 +149,18 @@ def test_knn(spark):
     assert [r["chunk_id"] for r in ranking.knn_sites(near, 2, 1, prefilter=True).collect()] == [4]
 
 
+def test_knn_batch_keeps_the_least_ids_of_equal_vectors_and_splits_queries(spark):
+    rng = random.Random(3)
+    ids = list(range(300))
+    rng.shuffle(ids)
+    table = [(i, [0.1, 0.2, 0.3] if i % 3 else [0.3, 0.1, 0.2]) for i in ids]
+    v = spark.createDataFrame(table, "chunk_id long, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(n, [0.1, 0.2, 0.3 + n]) for n in range(7)], "query_id long, embedding array<float>")
+    whole = sorted(map(tuple, ranking.knn_batch(v, q, 5).select("query_id", "rank", "chunk_id").collect()))
+    assert [x[2] for x in whole if x[0] == 0] == [1, 2, 4, 5, 7]
+    assert sorted(map(tuple, ranking.knn_batch(v, q, 5, max_queries=3).select("query_id", "rank", "chunk_id").collect())) == whole
+
+
 CHUNK_ROWS = [(1, 1, 0, "Guide > Routing", "How routing works with paths", 5), (2, 1, 1, "Guide > Rendering", "How rendering works", 4), (3, 2, 0, "Deploy", "routing to servers\n\n```sh\nrun it\n```", 5)]
 
 
