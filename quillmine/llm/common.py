@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 #: Every operator splits words at these characters and no others.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that a Python worker holds as objects at a time; a longer text goes alone.
+SLICE = 1 << 20
+#: Bytes of an Arrow batch between Spark and its Python workers.
+ARROW_BATCH = "4m"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +50,53 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession, size: str = ARROW_BATCH) -> None:
+    """Let Spark hand Python workers Arrow batches of some ``size`` bytes instead of its default of
+    10,000 rows, whatever their size, so that neither side holds more."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) != size:
+        spark.conf.set(name, size)
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts are some ``size`` bytes together, a longer text with those before it."""
+    if len(texts):
+        sums = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        ends = [*(np.flatnonzero(np.diff(sums // size)) + 1).tolist(), len(texts)]
+        yield from zip([0, *ends[:-1]], ends)
+
+
+def map_texts(df: DataFrame, id_col: str, text_col: str, schema: str, start: Callable[[], Callable[[int | None, object], Iterable[tuple]]], as_type: str = "string") -> DataFrame:
+    """Rows of ``schema`` for each ``(id, text)`` of ``df``: ``start()`` gives, once in a task, the function that makes
+    them. A worker holds one slice of texts and its rows as objects, whatever the size of Spark's Arrow batches."""
+    bound_batches(df.sparkSession)
+    held = to_arrow_schema(StructType.fromDDL(schema))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_of = start()
+        for batch in batches:
+            docs, texts = batch.column(0), batch.column(1)
+            for a, b in slices(texts):
+                rows = [r for d, t in zip(docs.slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist()) for r in rows_of(d, t)]
+                columns = zip(*rows) if rows else [()] * len(held)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, held)], schema=held)
+
+    return df.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast(as_type).alias("text")).mapInArrow(mapped, schema)
+
+
 def bounded_sample(rows: DataFrame, most: int, seed: int, most_labels: int) -> DataFrame:
     """Up to ``most`` rows of ``rows(id, label)`` for each label: the first in a hashed order.
 

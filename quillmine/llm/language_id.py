@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import bounded_sample
+from .common import bound_batches, bounded_sample, named, slices, unused
 
 UNDETERMINED = "und"
 HIDDEN = 8
@@ -212,13 +213,17 @@ def training_windows(df: DataFrame, id_col: str, text_col: str, lang_col: str, p
     hashed order, ``WINDOWS_PER_DOC`` windows of each at hashed places."""
     labelled = df.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     narrow = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"))
-    chosen = bounded_sample(narrow, per_language, SEED, MAX_LANGUAGES).select(F.col("id").alias("__doc")).distinct()
+    chosen_id = unused(df, "chosen_id")
+    chosen = bounded_sample(narrow, per_language, SEED, MAX_LANGUAGES).select(F.col("id").alias(chosen_id)).distinct()
     data = F.col(text_col).cast("binary")
     place = lambda i: F.pmod(F.xxhash64(F.col(id_col), i), F.greatest(F.octet_length(F.col(text_col)) - TRAIN_SPAN, F.lit(0)) + 1)
     windows = F.transform(F.sequence(F.lit(1), F.lit(WINDOWS_PER_DOC)), lambda i: F.substring(data, (place(i) + 1).cast("int"), F.lit(TRAIN_SPAN)))
     # at most per_language rows of each language, so small enough to broadcast
-    rows = labelled.join(F.broadcast(chosen), F.col(id_col) == F.col("__doc")).where(F.col(text_col).rlike(r"\p{L}"))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("doc_id"), windows.alias("windows")).limit(per_language * MAX_LANGUAGES).collect()
+    rows = labelled.join(F.broadcast(chosen), F.col(id_col) == F.col(chosen_id)).where(F.col(text_col).rlike(r"\p{L}"))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("doc_id"), windows.alias("windows"))
+    # ids that repeat are ranked once more: the first rows of each language in a fixed order, tasks keep no more than these
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id", "windows"))
+    rows = rows.withColumn("n", rank).where(F.col("n") <= per_language).collect()
     found: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
         found.setdefault(r["lang"], []).extend(bytes(w).ljust(TRAIN_SPAN, b" ") for w in r["windows"])
@@ -237,28 +242,27 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def _scorer(net: LanguageNet | None):
-    """A Pandas function from (text as bytes, whether it has a letter) to a language and a score."""
+    """An Arrow function from (text as bytes, whether it has a letter) to a language and a score."""
 
-    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, letters in batches:
-            known = [t if t is not None and has and net is not None else b"" for t, has in zip(texts, letters)]
-            if net is None:
-                yield pd.DataFrame({"lang": [UNDETERMINED] * len(known), "score": 0.0})
-                continue
-            p = net.predict(known)
-            best = p.argmax(axis=1)
-            yield pd.DataFrame({
-                "lang": [net.languages[b] if t else UNDETERMINED for b, t in zip(best, known)],
-                "score": np.where([bool(t) for t in known], np.clip(p.max(axis=1), 0, 1), 0.0),
-            })
+            for a, b in slices(texts, LOAD):
+                known = [t if t is not None and has and net is not None else b"" for t, has in zip(texts.slice(a, b - a).to_pylist(), letters.slice(a, b - a).to_pylist())]
+                best, score = np.zeros(len(known), np.int64), np.zeros(len(known))
+                if net is not None:
+                    p = net.predict(known)
+                    best, score = p.argmax(axis=1), np.where([bool(t) for t in known], np.clip(p.max(axis=1), 0, 1), 0.0)
+                langs = [net.languages[k] if t else UNDETERMINED for k, t in zip(best, known)]
+                yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
 
     return scored
 
 
-def with_language(df: DataFrame, net: LanguageNet | None, text_col: str, column: str = "__lang") -> DataFrame:
+def with_language(df: DataFrame, net: LanguageNet | None, text_col: str, column: str) -> DataFrame:
     """``df`` and a struct ``column`` of ``lang`` and ``score``."""
-    has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return df.withColumn(column, F.pandas_udf(_scorer(net), "lang string, score double")(F.col(text_col).cast("binary"), has_letter))
+    bound_batches(df.sparkSession)
+    has_letter = F.coalesce(named(text_col).rlike(r"\p{L}"), F.lit(False))
+    return df.withColumn(column, F.arrow_udf(_scorer(net), "lang string, score double")(named(text_col).cast("binary"), has_letter))
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -271,12 +275,13 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     learned from. Repeated rows are repeated; extra columns are ignored.
     """
     net = train(df, id_col, text_col, lang_col)
-    rows = with_language(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), net, "text")
-    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("__lang.lang").alias("lang_pred"), F.col("__lang.score").alias("score"))
+    rows = with_language(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), net, "text", "found")
+    return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
 def keep_identified(df: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``df`` whose language is determined with a score of at least ``least``."""
     net = train(df, id_col, text_col, lang_col)
-    rows = with_language(df, net, text_col)
-    return rows.where((F.col("__lang.lang") != UNDETERMINED) & (F.col("__lang.score") >= least)).select(*(F.col(f"`{c}`") for c in df.columns))
+    found = unused(df, "found")
+    rows = with_language(df, net, text_col, found)
+    return rows.where((F.col(found)["lang"] != UNDETERMINED) & (F.col(found)["score"] >= least)).select(*map(named, df.columns))

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, map_texts, unused
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -51,11 +48,6 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
-
-
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     """Masks such that any two words of ``bits`` bits within ``radius`` agree under one of them.
 
@@ -68,7 +60,7 @@ def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     return [sum(1 << i for i, m in enumerate(vectors) if bin(m & v).count("1") % 2) for v in range(1, size)]
 
 
-def _signed(x: int) -> int:
+def _as_long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -84,7 +76,7 @@ def links(prints: DataFrame, radius: int = RADIUS, pair_bucket: int = PAIR_BUCKE
     if not 1 <= radius <= 2:
         raise ValueError("radius must be 1 or 2")
     masks = covering_masks(radius)
-    tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))
+    tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_as_long(m))).alias("key")) for i, m in enumerate(masks)))
     dealt = prints.select("fp", "node", F.explode(tables).alias("x")).select("fp", "node", "x.t", "x.key")
     sizes = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     dealt = dealt.join(sizes, ["t", "key"])
@@ -99,7 +91,7 @@ def links(prints: DataFrame, radius: int = RADIUS, pair_bucket: int = PAIR_BUCKE
         F.explode(F.filter("members", lambda y: (y["node"] < F.col("m.node")) & near(F.col("m"), y))).alias("y"),
     ).select("a", F.col("y.node").alias("b"))
 
-    flips = [F.array(F.lit(0), *(F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1)) for m in masks]
+    flips = [F.array(F.lit(0), *(F.lit(_as_long(1 << i)) for i in range(64) if not m >> i & 1)) for m in masks]
     choice = F.element_at(F.array(*flips), F.col("t") + 1)
     large = dealt.where(F.col("size") > pair_bucket).select("fp", "node", F.explode(F.transform(choice, lambda b: F.col("fp").bitwiseXOR(b))).alias("v"))
     large = large.groupBy("v").agg(F.collect_set(member).alias("members")).where(F.size("members") > 1)
@@ -122,7 +114,7 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id each get a row. A null id never becomes a component's id unless all ids of its fingerprint
     are null: these rows get a null component. Extra columns are ignored.
     """
-    prints = cut(df.select(F.col(id_col).alias("doc_id"), F.pandas_udf(_fingerprints, "long")(F.col(text_col).cast("binary")).alias("fp")))
+    prints = cut(map_texts(df, id_col, text_col, "doc_id long, fp long", lambda: lambda doc, text: [(doc, _as_long(fingerprint(text)))], "binary"))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
     components = connected_components(links(nodes.where("node is not null"), radius))
     labels = nodes.join(components, nodes["node"] == components["id"], "left").select("fp", F.coalesce("component", "node").alias("component_id"))
@@ -134,6 +126,7 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its component, with their columns; one row
     where several repeat that id, and every row without an id."""
-    kept = simhash_dedup(df, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    kept_id = unused(df, "kept_id")
+    kept = simhash_dedup(df, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
     once = df.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return once.join(kept, once[id_col] == kept["__kept_id"], "left_semi").union(df.where(F.col(id_col).isNull()))
+    return once.join(kept, once[id_col] == kept[kept_id], "left_semi").union(df.where(F.col(id_col).isNull()))
