@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut
+from .common import cut, map_texts
 
 WINDOW = 2048
 END_ID = 1
@@ -22,7 +22,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one packing task takes on average.
 TASK_PIECES = 20_000
 #: Units whose ids a worker remembers.
-WORD_CACHE = 500_000
+WORD_CACHE = 100_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -36,8 +36,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 _LOW = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u024f"
 _NUM = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _UNITS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LOW}]+|[{_NUM}]|[^\t-\r \x85\xa0{_LOW}{_NUM}]+")
-#: Texts with other letters, a dotted capital I or a special token's text take the tokenizer's own way.
+#: Texts with other letters, before or after lower-casing, a dotted capital I or a special token's text take the
+#: tokenizer's own way.
 _OTHER = re.compile("[^\x00-\u024f]|\u0130|<\\|")
+_HIGH = re.compile("[^\x00-\u024f]")
 
 
 def _byte_letters() -> list[str]:
@@ -88,7 +90,9 @@ class WordEncoder:
         """Little-endian 32-bit ids."""
         text = text or ""
         if not _OTHER.search(text):
-            return self._all(_UNITS.findall(text.lower()), self.units, self._unit)
+            low = text.lower()
+            if text.isascii() or not _HIGH.search(low):
+                return self._all(_UNITS.findall(low), self.units, self._unit)
         return self._all([w.decode() for w in text.encode().split()], self.words, self._word)
 
 
@@ -103,22 +107,19 @@ def cut_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     blank text is that one id.
     """
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(path)
-        end = END_ID.to_bytes(4, "little")
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"].array, batch["text"].array):
-                ids = encoder.encode(text) + end
-                n = len(ids) // 4
-                for start in range(0, n, window):
-                    part = ids[4 * start : 4 * (start + window)]
-                    rows.append((doc, start, len(part) // 4, zlib.crc32(part), n))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
-
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
-        pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    )
+    def start():
+        encoder, end = WordEncoder(path), END_ID.to_bytes(4, "little")
+
+        def pieces(doc: int | None, text: str | None) -> Iterator[tuple]:
+            ids = encoder.encode(text) + end
+            n = len(ids) // 4
+            for at in range(0, n, window):
+                part = ids[4 * at : 4 * (at + window)]
+                yield doc, at, len(part) // 4, zlib.crc32(part), n
+
+        return pieces
+
+    return map_texts(df, id_col, text_col, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", start)
 
 
 class OpenWindows:
