@@ -19,16 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import WORD, cut
+from .common import WORD, cut, named, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 PASSES = 2
 BLOCK_WORDS = 4096
-SHARD_BLOCKS = 4096
-#: Bounds of what the driver holds: sources, and shards of the whole mix.
+SHARD_BLOCKS = 256
+#: Bounds of what the driver holds: sources, shards of the whole mix, and numbers in the table of both.
 MAX_SOURCES = 100_000
 MAX_SHARDS = 4096
+MAX_TABLE = 1_000_000
+#: Words of a shard, on average, that lie in one task when the mix is laid out in its order.
+GROUP_WORDS = 1 << 16
 #: Documents that one cumulative sum runs over, on average.
 BUCKET_ROWS = 250
 MAX_BUCKETS = 1 << 16
@@ -96,12 +99,22 @@ def split_tree(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, draws))
-    p, n = good / (good + bad), good + bad  # beyond the generator's range, its normal limit
-    return round(rng.normal(draws * p, math.sqrt(draws * p * (1 - p) * (n - draws) / (n - 1))))
-
-
-def plan(sizes: list[tuple[str | None, int]], block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> tuple[list[Source], int]:
-    """Sources in code point order (null last) with targets, blocks, permutation and shards' draws."""
+    # beyond the generator's range, by inversion: weights relative to the mode from the ratios of neighbouring terms,
+    # over all counts within 40 standard deviations or so (what lies outside is below any double's resolution)
+    low, high, n = max(0, draws - bad), min(good, draws), good + bad
+    mode = (draws + 1) * (good + 1) // (n + 2)
+    reach = int(40 * math.sqrt(draws * (good / n) * (bad / n) * ((n - draws) / (n - 1)))) + 40
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(first, last, dtype=np.float64)
+    steps = np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(bad - draws + k + 1)
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return first + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
+
+
+def plan(sizes: list[tuple[str | None, int]], block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, tree_seed: int | None = None) -> tuple[list[Source], int]:
+    """Sources in code point order (null last) with targets, blocks, permutation and shards' draws.
+    The tree's own seed decides which shard gets which draws, and no source's total."""
     sizes = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
     targets = fill_targets([w for _, w in sizes], weights)
     rng = np.random.default_rng(seed)
@@ -128,18 +141,20 @@ def plan(sizes: list[tuple[str | None, int]], block_words: int = BLOCK_WORDS, sh
             s.draws += full + (s.last > 0)
             s.last = s.last or s.block
         found.append(s)
-    shards = min(MAX_SHARDS, max(1, -(-sum(s.draws for s in found) // shard_blocks)))
-    dealt = split_tree([s.draws for s in found], shards, seed).cumsum(axis=0)
+    most = max(1, min(MAX_SHARDS, MAX_TABLE // max(1, len(found))))
+    shards = min(most, max(1, -(-sum(s.draws for s in found) // shard_blocks)))
+    dealt = split_tree([s.draws for s in found], shards, seed if tree_seed is None else tree_seed).cumsum(axis=0)
     for i, s in enumerate(found):
         s.ends = tuple(int(x) for x in dealt[:, i])
     return found, shards
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """One row per input row: ``doc_id, source, size, source_size, target, taken, pieces``.
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, tree_seed: int | None = None) -> DataFrame:
+    """One row per input row: ``doc_id, size, source_size, target, taken, source, pieces``.
 
     ``pieces`` lists what the mix takes of the row: ``start`` and ``words`` (a range of its words),
-    ``pass``, ``shard`` and ``turn``, the row's place in the shard's shuffled order. Null texts and
+    ``pass``, ``shard``, the output shard that the tree dealt this draw to, and ``turn``, its place in
+    the shard's shuffled order. Null texts and
     texts without a word have size 0 and no piece. A null source is a source of its own. Rows that
     repeat an id are rows of their own, told apart by their order in the hash where they tie, which
     is the same for equal rows. Extra columns are ignored; an empty table gives no rows.
@@ -148,24 +163,25 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     over hash buckets of some ``BUCKET_ROWS`` rows, so a hot source spreads over many; their bases
     come from a table of one row per source and bucket. The driver gets one row per source.
     """
-    return _lay_out(_sizes(df, id_col, text_col, source_col, seed), block_words, shard_blocks, seed, weights)
+    return _lay_out(_sizes(df, id_col, text_col, source_col, seed), block_words, shard_blocks, seed, weights, tree_seed).drop("shards")
 
 
-def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, mark: str | None = None) -> DataFrame:
     return df.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        named(id_col).alias("doc_id"),
+        named(source_col).alias("source"),
+        F.regexp_count(F.coalesce(named(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        *([F.col(mark).alias("mark")] if mark else []),
     ).withColumn("order", F.xxhash64("doc_id", F.lit(seed)))
 
 
-def _lay_out(rows: DataFrame, block_words: int, shard_blocks: int, seed: int, weights: tuple[int, ...]) -> DataFrame:
+def _lay_out(rows: DataFrame, block_words: int, shard_blocks: int, seed: int, weights: tuple[int, ...], tree_seed: int | None = None) -> DataFrame:
     spark = rows.sparkSession
     rows = cut(rows)
     found = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources, shards = plan([(r["source"], r["words"]) for r in found], block_words, shard_blocks, seed, weights)
+    sources, shards = plan([(r["source"], r["words"]) for r in found], block_words, shard_blocks, seed, weights, tree_seed)
     most = max([r["n"] for r in found], default=0)
     buckets = min(MAX_BUCKETS, max(1, -(-most // BUCKET_ROWS)))
     schema = StructType(
@@ -182,9 +198,8 @@ def _lay_out(rows: DataFrame, block_words: int, shard_blocks: int, seed: int, we
     within = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
     laid = laid.join(sums, laid["source"].eqNullSafe(sums["s"]) & (laid["bucket"] == sums["b"])).withColumn("at", F.col("at") + F.col("base"))
-    # one row per source; a few sources' rows are broadcast, many (long lists of shards) are not
-    side = F.broadcast(table) if len(sources) * shards <= 1_000_000 else table
-    laid = laid.join(side, laid["source"].eqNullSafe(side["key"]))
+    # one row per source, MAX_TABLE numbers of shards' ends in all (or one for each source)
+    laid = laid.join(F.broadcast(table), laid["source"].eqNullSafe(table["key"]))
 
     # each (block, pass) that a document's words [at, at + size) touch
     touched = F.when((F.col("size") > 0) & (F.col("draws") > 0), F.sequence(F.expr("at div block"), F.expr("(at + size - 1) div block"))).otherwise(F.array().cast("array<bigint>"))
@@ -201,13 +216,15 @@ def _lay_out(rows: DataFrame, block_words: int, shard_blocks: int, seed: int, we
     # the shard of a draw: how many shards end at or before it
     return laid.select(
         "doc_id",
-        "source",
         "size",
         "source_size",
         "target",
         F.expr("aggregate(pieces, 0L, (s, x) -> s + x.words)").alias("taken"),
+        "source",
         F.expr(f"""transform(pieces, x -> named_struct('start', x.start, 'words', x.words, 'pass', x.pass,
             'shard', cast({_rank("x.draw", shards)} as bigint), 'turn', xxhash64(x.draw, source, doc_id, x.start, {seed})))""").alias("pieces"),
+        F.lit(shards).alias("shards"),
+        *([F.col("mark")] if "mark" in rows.columns else []),
     )
 
 
@@ -219,23 +236,41 @@ def _rank(draw: str, shards: int) -> str:
     return f"aggregate(sequence(1, {halvings}), named_struct('lo', 0, 'hi', {shards - 1}), (s, k) -> if(s.lo >= s.hi, s, if(ends[(s.lo + s.hi) div 2] <= {draw}, named_struct('lo', cast((s.lo + s.hi) div 2 + 1 as int), 'hi', s.hi), named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) div 2 as int)))), s -> s.lo)"
 
 
-def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", seed: int = SEED) -> DataFrame:
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", seed: int = SEED, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, weights: tuple[int, ...] = WEIGHTS, tree_seed: int | None = None, group_words: int = GROUP_WORDS) -> DataFrame:
     """The mix itself: ``df``'s rows once for each pass that takes words of them, with the text cut
-    to those words (the whole text, unchanged, where it takes all). All columns are kept;
-    ``length_col`` is brought up to date. Rows without an id can't be told apart and are
-    left out; rows that repeat an id count as one document, any of them where they differ.
+    to those words (the whole text, unchanged, where it takes all), in the order of the mix: the
+    rows of a shard lie together, by turn, a row where its first words in that pass do. A task holds
+    a range of turns of a shard, some ``group_words`` words, or several.
+
+    All columns are kept; ``length_col`` is brought up to date if there is such a column. Rows
+    without an id can't be told apart and are left out, as are rows without a word; rows that repeat
+    an id count as one document, that with the least hash of text and source. An empty table gives
+    no rows.
     """
-    taken = df.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    sizes = _sizes(df, id_col, text_col, source_col, seed).where("doc_id is not null").dropDuplicates(["doc_id"])
-    parts = _lay_out(sizes, BLOCK_WORDS, SHARD_BLOCKS, seed, WEIGHTS).where("taken > 0")
-    parts = parts.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))).alias("__pass"), "pieces")
-    parts = parts.select("__id", "__size", F.expr("array_sort(transform(filter(pieces, x -> x.pass = __pass), x -> named_struct('start', x.start, 'words', x.words)))").alias("__parts")).where("size(__parts) > 0")
-    out = taken.join(parts, taken[id_col] == parts["__id"])
+    key, mark, words_of, pass_at, parts_at, shard_at, turn_at, group_at, own_mark = (unused(df, x) for x in ("mix_id", "mix_mark", "mix_size", "mix_pass", "mix_parts", "mix_shard", "mix_turn", "mix_group", "mix_own"))
+    marked = df.where(named(id_col).isNotNull()).withColumn(mark, F.xxhash64(named(text_col), named(source_col)))
+    sizes = _sizes(marked, id_col, text_col, source_col, seed, mark)
+    sizes = sizes.groupBy("doc_id", "order").agg(F.min_by(F.struct("source", "size", "mark"), F.struct("mark", "size")).alias("own")).select("doc_id", "own.*", "order")
+    sizes = cut(sizes)
+    laid = _lay_out(sizes, block_words, shard_blocks, seed, weights, tree_seed).where("taken > 0")
+    words = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] * SHARE
+    parts = laid.select(F.col("doc_id").alias(key), F.col("size").alias(words_of), F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))).alias(pass_at), "pieces", "shards", F.col("mark").alias(own_mark))
+    parts = parts.select("*", F.expr(f"array_sort(filter(pieces, x -> x.pass = `{pass_at}`), (x, y) -> cast(x.start - y.start as int))").alias(parts_at)).where(f"size(`{parts_at}`) > 0")
+    # a shard's turns in as many ranges as it has groups of words
+    groups = F.greatest(F.lit(1.0), F.ceil(F.lit(words) / F.col("shards") / group_words)).cast("double")
+    first = F.col(parts_at)[0]
+    parts = parts.select(
+        key, own_mark, words_of, pass_at, F.transform(parts_at, lambda p: F.struct(p["start"].alias("start"), p["words"].alias("words"))).alias(parts_at),
+        first["shard"].alias(shard_at), first["turn"].alias(turn_at), F.floor((first["turn"].cast("double") / 2.0**64 + 0.5) * groups).alias(group_at),
+    )
+    out = marked.join(parts, (named(id_col) == F.col(key)) & (F.col(mark) == F.col(own_mark)))
+    out = out.dropDuplicates([key, pass_at])
     text = f"`{text_col}`"
-    words = f"regexp_extract_all({text}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"
-    cut_text = f"array_join(flatten(transform(__parts, p -> slice({words}, cast(p.start + 1 as int), cast(p.words as int)))), ' ')"
-    whole = "aggregate(__parts, 0L, (s, p) -> s + p.words) = __size"
+    words_in = f"regexp_extract_all({text}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"
+    cut_text = f"array_join(flatten(transform(`{parts_at}`, p -> slice({words_in}, cast(p.start + 1 as int), cast(p.words as int)))), ' ')"
+    whole = f"aggregate(`{parts_at}`, 0L, (s, p) -> s + p.words) = `{words_of}`"
     out = out.withColumn(text_col, F.expr(f"if({whole}, {text}, {cut_text})"))
     if length_col and length_col in df.columns:
-        out = out.withColumn(length_col, F.length(text_col).cast(df.schema[length_col].dataType))
-    return out.select(*(out[c] for c in df.columns))
+        out = out.withColumn(length_col, F.length(named(text_col)).cast(df.schema[length_col].dataType))
+    out = out.repartition(F.col(shard_at), F.col(group_at)).sortWithinPartitions(shard_at, turn_at, key, pass_at)
+    return out.select(*map(named, df.columns))
