@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import datetime
+import bisect
+import calendar
+import collections
+import functools
 import hashlib
+import itertools
 import math
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import map_texts
 
 ROUNDS = 8
-#: The default key; a deployment passes its own.
-KEY = b"quillmine pseudonyms"
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+FIRST_YEAR, LAST_YEAR = 1900, 2099
 
 _TEXT = re.compile(r"[0-9@]")
 _EMAIL = re.compile(r"(?a)(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]{0,62}[A-Za-z0-9_])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])")
@@ -32,9 +33,10 @@ _NUMBER = re.compile(
 )
 
 
-def permute(n: int, size: int, tweak: str, key: bytes = KEY) -> int:
+def permute(n: int, size: int, tweak: str, key: bytes) -> int:
     """A keyed permutation of 0..size-1: a Feistel network over two digits of nearly equal radix,
-    walked on while it leaves the range."""
+    walked on while it leaves the range. On a few values it is a small table by nature: a one-letter
+    name becomes one of 26."""
     if size < 2:
         return n
     a = math.isqrt(size - 1) + 1
@@ -141,41 +143,68 @@ def _iban(text: str, key: bytes) -> str | None:
     return "".join(c if c == " " else next(it) for c in text)
 
 
+@functools.cache
+def _days(leap: bool, widths: tuple[int, int], order: str) -> tuple[list[tuple[int, int]], dict[tuple[int, int], int]]:
+    """The pairs of numbers that a date of a year can be written with in two fields of these widths (a
+    field of one digit holds 1 to 9), and their places. ``order``: "md", "dm", or "any" where either reads."""
+    year = 2000 if leap else 1999
+    last = [0, *(calendar.monthrange(year, m)[1] for m in range(1, 13))]
+
+    def valid(m: int, d: int) -> bool:
+        return 1 <= m <= 12 and 1 <= d <= last[m]
+
+    most = [9 if w == 1 else 31 for w in widths]
+    found = [(a, b) for a in range(1, most[0] + 1) for b in range(1, most[1] + 1) if (order != "dm" and valid(a, b)) or (order != "md" and valid(b, a))]
+    return found, {x: i for i, x in enumerate(found)}
+
+
+@functools.cache
+def _years(widths: tuple[int, int], order: str) -> list[int]:
+    """Dates before each year from FIRST_YEAR on, and of all years."""
+    sizes = [len(_days(calendar.isleap(y), widths, order)[0]) for y in range(FIRST_YEAR, LAST_YEAR + 1)]
+    return list(itertools.accumulate(sizes, initial=0))
+
+
 def _date(text: str, key: bytes) -> str | None:
+    """Dates are permuted among all strings of their written shape (the mark, which field is the
+    year, the other fields' widths) that are dates, so no two of a shape become the same. Where
+    day and month can't be told apart (slashes, year last) a string counts that is a date either way."""
     mark = next(c for c in text if not c.isdigit())
     parts = text.split(mark)
-    ymd = [int(x) for x in (parts if len(parts[0]) == 4 else parts[::-1])]
-    swapped = len(parts[0]) != 4 and mark == "/" and ymd[1] > 12  # month first
-    if swapped:
-        ymd[1], ymd[2] = ymd[2], ymd[1]
-    try:
-        day = datetime.date(*ymd).toordinal()
-    except ValueError:
+    ahead = len(parts[0]) == 4
+    year, pair = int(parts[0] if ahead else parts[2]), parts[1:] if ahead else parts[:2]
+    order = "md" if ahead else "any" if mark == "/" else "dm"
+    widths = (len(pair[0]), len(pair[1]))
+    if not FIRST_YEAR <= year <= LAST_YEAR:
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    at = _days(calendar.isleap(year), widths, order)[1].get((int(pair[0]), int(pair[1])))
+    if at is None:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", key))
-    out = [new.year, new.month, new.day] if not swapped else [new.year, new.day, new.month]
-    if len(parts[0]) == 4:
-        return mark.join(f"{x:0{len(p)}}" for x, p in zip(out, parts))
-    return mark.join(f"{x:0{len(p)}}" for x, p in zip(out[::-1], parts))
+    before = _years(widths, order)
+    n = permute(before[year - FIRST_YEAR] + at, before[-1], f"date:{mark}:{ahead}:{widths}", key)
+    y = bisect.bisect_right(before, n) - 1
+    new = _days(calendar.isleap(FIRST_YEAR + y), widths, order)[0][n - before[y]]
+    fields = [f"{x:0{w}}" for x, w in zip(new, widths)]
+    return mark.join([str(FIRST_YEAR + y), *fields] if ahead else [*fields, str(FIRST_YEAR + y)])
 
 
 REPLACE = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
 
 
-def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]]]:
+def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with its personal values replaced, and ``(start, end, kind)`` of the originals."""
     if not _TEXT.search(text):
         return text, []
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
         found += [(*m.span(), "email", _email(m[0], key)) for m in _EMAIL.finditer(text)]
-    taken = [(a, b) for a, b, _, _ in found]
-    at = 0
+    taken = [(a, b) for a, b, _, _ in found]  # in order and apart
+    at = next_taken = 0
     while m := _NUMBER.search(text, at):
         kind = m.lastgroup
-        new = None if any(a < m.end() and m.start() < b for a, b in taken) else REPLACE[kind](m[0], key)
+        while next_taken < len(taken) and taken[next_taken][1] <= m.start():
+            next_taken += 1
+        new = None if next_taken < len(taken) and taken[next_taken][0] < m.end() else REPLACE[kind](m[0], key)
         if new is None:  # look again from within: what failed may hold another kind
             step = re.compile(r"[A-Za-z0-9]+").match(text, m.start())
             at = max(m.start() + 1, step.end() if step else 0)
@@ -189,7 +218,7 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int,
     return "".join([*out, text[last:]]), [(a, b, k) for a, b, k, _ in sorted(found)]
 
 
-def pseudonymise_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def pseudonymise_documents(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, text, n_email, n_iban, n_card, n_ssn, n_phone, n_ip,
     n_date, spans``; spans are kind:start:end in the original text, code points, end exclusive.
 
@@ -200,16 +229,10 @@ def pseudonymise_documents(df: DataFrame, id_col: str = "doc_id", text_col: str
     read where they lie. A null text stays null, without spans; a null id stays null, repeated rows
     are repeated, extra columns are ignored and an empty table gives no rows.
     """
-    names = ["doc_id", "text", *(f"n_{k}" for k in KINDS), "spans"]
-
-    def replaced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"].array, batch["text"].array):
-                new, spans = pseudonymise(text, key) if text is not None else (None, [])
-                rows.append((doc, new, *(sum(s[2] == k for s in spans) for k in KINDS), ",".join(f"{k}:{a}:{b}" for a, b, k in spans)))
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
-        replaced, "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string"
-    )
+
+    def replaced(doc: int | None, text: str | None) -> list[tuple]:
+        new, spans = pseudonymise(text, key) if text is not None else (None, [])
+        counts = collections.Counter(k for _, _, k in spans)
+        return [(doc, new, *(counts[k] for k in KINDS), ",".join(f"{k}:{a}:{b}" for a, b, k in spans))]
+
+    return map_texts(df, id_col, text_col, "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string", lambda: replaced)
