@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
+import collections
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts, named
+
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -18,23 +21,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
-#: Words and punctuation that code and configuration repeat; they prime the dictionary.
-IDENTIFIERS = """
-import from return def class function const let var public private static void string int bool true false null None
-self this new if else for while try except catch throw raise async await export default require module package
-http https localhost www com org net api url uri host port path user username name id key value type data config
-settings environment env variable request response header authorization bearer basic content-type application/json
-client_id client_secret access_key secret_key access_token refresh_token auth_token api_key apikey private_key
-public_key password passwd pwd passphrase credential credentials certificate signature salt hash md5 sha1 sha256
-database connection username: password: secret= token= key= = "" '' : { } [ ] ( ) ; , . -- ## // /* */ <> &amp;
-ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 0123456789abcdef aaaaaaaa 00000000 xxxxxxxx 12345678
-"""
+#: An identifier in code: a name before a sign that assigns, calls, indexes or reaches into it.
+IDENTIFIER = r"([A-Za-z_][A-Za-z_]{2,14})(?=\x20?[=:(\[{]|\.[A-Za-z_])"
+#: The dictionary: so many identifiers of the corpus, those of the most documents; at least so many documents each.
+DICTIONARY_WORDS = 4096
+DICTIONARY_DOCS = 5
 #: Words that make the text around a candidate sensitive.
 SENSITIVE = re.compile(r"(?ai)passw|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer|signature|passphrase")
-#: The first characters of a candidate, and all of it from there on; it must have a digit.
+#: The first characters of a candidate, and all of it from there on.
 HEAD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16}")
-CANDIDATE = re.compile(r"[A-Za-z+/_=-]*[0-9][A-Za-z0-9+/_=-]*")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: Names change from small to capital letters too, but seldom write two capitals in a row.
+_RISES, _CAPITALS = re.compile("[a-z][A-Z]"), re.compile("(?=[A-Z][A-Z])")
 LEAST = 16
+#: Runs that are no secret however long.
+ALPHABETS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 0123456789abcdef 12345678 00000000 xxxxxxxx"
 #: Characters before a candidate in which a sensitive word must stand.
 REACH = 48
 #: Characters on either side that prime the compressor.
@@ -43,13 +44,23 @@ AROUND = 512
 NOVELTY = 0.6
 
 
+def identifiers(df: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS, docs: int = DICTIONARY_DOCS) -> str:
+    """The corpus's own identifiers, those of the most rows last (a compressor reaches near bytes
+    for less). All rows are counted; names of letters and underscores of 15 at most can't hold a
+    candidate. The driver gets ``words`` rows."""
+    found = df.select(F.explode(F.array_distinct(F.regexp_extract_all(named(text_col), F.lit(IDENTIFIER), F.lit(1)))).alias("word"))
+    counted = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= docs)
+    return " ".join(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()[::-1])
+
+
 class NoveltyMeter:
     """Bytes that a string adds to its surroundings when zstandard compresses both, primed with
-    the identifier dictionary."""
+    a dictionary of identifiers and the alphabets that codes are written in."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS, level: int = 3):
-        words = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compressor = zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=False)
+    def __init__(self, words: str = "", level: int = 3):
+        primer = f"{ALPHABETS} {words}".encode()
+        held = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.compressor = zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False)
 
     def size(self, data: bytes) -> int:
         return len(self.compressor.compress(data))
@@ -70,45 +81,54 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def novel_spans(text: str, meter: NoveltyMeter, covered: list[tuple[int, int, str]], least: float = NOVELTY) -> list[tuple[int, int, str]]:
     """Candidates after a sensitive word, outside the covered spans, that stay incompressible."""
     found, seen = [], 0
+    covered = sorted(covered)
+    starts, reach = [a for a, _, _ in covered], list(itertools.accumulate((b for _, b, _ in covered), max))
     for word in SENSITIVE.finditer(text):
         # heads that begin within reach; a candidate is looked at once, so long ones cost their length
         for head in HEAD.finditer(text, max(word.end(), seen), max(seen, min(len(text), word.end() + REACH + LEAST))):
             m = CANDIDATE.match(text, head.start())
-            seen = m.end() if m else head.end()
-            if not m:
-                continue
             start, end = m.span()
-            if any(a < end and start < b for a, b, _ in covered):
+            seen = end
+            if not drawn(m[0]):
+                continue
+            before = bisect.bisect_left(starts, end)  # spans that begin before its end; does one reach into it?
+            if before and reach[before - 1] > start:
                 continue
             if meter.novelty(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND]) >= least:
                 found.append((start, end, "novel"))
     return found
 
 
+def drawn(candidate: str) -> bool:
+    """Whether a string may be a code rather than a word or a name: it has a digit, or cases as chance mixes them."""
+    return any(c.isdigit() for c in candidate) or (len(_RISES.findall(candidate)) > 1 and len(_CAPITALS.findall(candidate)) > 1)
+
+
 def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelty: float = NOVELTY) -> DataFrame:
-    """One row per input row: ``doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans``.
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelty: float = NOVELTY, words: str | None = None) -> DataFrame:
+    """One row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel``.
 
-    Whole texts are scanned where they lie; nothing is shuffled. A null text counts as empty, a
-    null id stays null, repeated rows are repeated, extra columns are ignored and an empty table
-    gives no rows. Offsets count code points, ends exclusive.
+    ``words`` primes the novelty meter; without it the identifiers of all of ``df`` do
+    (:func:`identifiers`: one aggregation of distinct names). Whole texts are scanned where they
+    lie; nothing else is shuffled. A null text counts as empty, a null id stays null, repeated rows
+    are repeated, extra columns are ignored and an empty table gives no rows. Offsets count code
+    points, ends exclusive.
     """
+    words = identifiers(df, text_col) if words is None else words
+
+    def start():
+        meter = NoveltyMeter(words)
+
+        def scanned(doc: int | None, text: str | None) -> list[tuple]:
+            text = text or ""
+            base = base_spans(text)
+            spans = base + novel_spans(text, meter, base, novelty)
+            n = collections.Counter(s[2] for s in spans)
+            return [(doc, n["assign"], n["access"], n["hex"], hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans), n["novel"])]
+
+        return scanned
 
-    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        meter = NoveltyMeter()
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"].array, batch["text"].array):
-                text = "" if text is None else text
-                base = base_spans(text)
-                spans = base + novel_spans(text, meter, base, novelty)
-                n = [sum(s[2] == k for s in spans) for k in KINDS]
-                rows.append((doc, *n, hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"]).astype({"doc_id": "Int64"})
-
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
-        scanned, "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
-    )
+    return map_texts(df, id_col, text_col, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long", start)
