@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-from .common import bounded_sample
+from .common import bound_batches, bounded_sample, cut, named, slices
+from .line_dedup import BROADCAST_LINES, boilerplate, line_key, occurrences
 
 SPACES = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -19,17 +26,21 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 #: Share of a document's words in content lines from which it is kept.
 CONTENT_SHARE = 0.5
-#: Training: labelled documents of each quality at most, and lines of each.
-DOCS_PER_CLASS = 1500
+#: Training: labelled documents of each quality at most, and of each the features of so many lines that follow one
+#: another, from a place in the document that its hash decides (a bound on rows and on text).
+DOCS_PER_CLASS = 600
 TRAIN_LINES = 48
-STEPS = 200
+STEPS = 80
+#: Rounds in which the lines' hidden labels are guessed anew, and how much each line of a document leans to its label.
+GUESSES = 3
+LEAN = 1.0
 RATE = 0.1
 DECAY = 1e-3
 SEED = 11
 
 #: Words that notices and navigation repeat.
 NOTICE = re.compile(rb"(?i)copyright|licen[cs]e|all rights|cookie|subscribe|click here|log ?in|sign up|share this|read more|terms of")
-FEATURES = 13
+FEATURES = 14
 BOILERPLATE, CONTENT = 0, 1
 
 
@@ -78,7 +89,9 @@ def measure(text: bytes) -> tuple[Base, list[bytes], list[bool]]:
     return base, lines, dup
 
 
-def features(line: bytes, dup: bool) -> list[float]:
+def features(line: bytes, dup: bool, spread: bool) -> list[float]:
+    """What the field sees of a line: ``dup`` if it repeats an earlier one of its document, ``spread``
+    if it stands on many sites."""
     words = line.split()
     n, size = len(words), max(1, len(line.translate(None, SPACES)))
     ascii_upper = len(line) - len(line.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -99,7 +112,8 @@ def features(line: bytes, dup: bool) -> list[float]:
         1 - len(set(words)) / max(1, n),
         float(line.rstrip(SPACES)[-1:] in (b".", b"?", b'"', b")")),
         float(NOTICE.search(line) is not None),
-        min(1.0, len(line[:64].translate(None, b"abcdefghijklmnopqrstuvwxyz ")) / 64),
+        len(line.translate(None, b"abcdefghijklmnopqrstuvwxyz ")) / max(1, len(line)),
+        float(spread),
     ]
 
 
@@ -141,8 +155,9 @@ class LineField:
         grads = [np.einsum("dl,dlf->f", (one - gold)[:, :, 1], x), (two - gold_two).sum(axis=(0, 1)), (one - gold)[:, 0].sum(axis=0)]
         return (total.sum() - own) / docs, [g / docs for g in grads]
 
-    def train(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int = STEPS, rate: float = RATE) -> float:
-        params = [self.emit, self.step, self.first]
+    def train(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int = STEPS, rate: float = RATE, alone: bool = False) -> float:
+        """Gradient steps (Adam) from where the field is; ``alone``: of the features' weights only."""
+        params = [self.emit] if alone else [self.emit, self.step, self.first]
         first, second, loss = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0.0
         for k in range(1, steps + 1):
             loss, grads = self.gradients(x, y, mask)
@@ -153,9 +168,10 @@ class LineField:
                 p -= rate / (1 - 0.9**k) * m / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         return float(loss)
 
-    def decode(self, x: np.ndarray) -> list[int]:
-        """The best labels of one document's lines, by the Viterbi algorithm; ties go to content."""
-        emit = (x @ self.emit).tolist()
+    def decode(self, x: np.ndarray, lean: np.ndarray | float = 0.0) -> list[int]:
+        """The best labels of one document's lines, by the Viterbi algorithm; ties go to content.
+        ``lean`` is added to the content label's score, of all lines or of each."""
+        emit = (x @ self.emit + lean).tolist()
         (bb, bc), (cb, cc) = self.step.tolist()
         b, c, back = self.first[0], self.first[1] + emit[0], []
         for e in emit[1:]:
@@ -170,62 +186,146 @@ class LineField:
         return out[::-1]
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality") -> LineField | None:
-    """Fit the field to a bounded sample of labelled documents, each line labelled as its document;
-    None if one of the qualities 0 and 1 has no document with a word."""
-    marked = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null")
-    chosen = bounded_sample(marked, DOCS_PER_CLASS, SEED, 2)
-    rows = df.select(F.col(id_col).alias("doc"), F.slice(F.split(F.col(text_col), "\n"), 1, TRAIN_LINES).alias("lines"))
-    # at most DOCS_PER_CLASS rows of each class, so small enough to broadcast
-    rows = rows.join(F.broadcast(chosen), rows["doc"] == chosen["id"]).where("lines is not null")
-    rows = rows.select("doc", "label", F.transform("lines", lambda x: F.substring(x, 1, 2000)).alias("lines")).limit(4 * DOCS_PER_CLASS).collect()
-    found = []
-    for r in sorted(rows, key=lambda r: (r["doc"], r["label"])):
-        lines = [x.encode() for x in r["lines"] if x.strip(" \t\n\v\f\r")]
-        seen: set[bytes] = set()
-        if lines:
-            found.append((r["label"], [features(x, x in seen or bool(seen.add(x))) for x in lines]))
+class Spread:
+    """Tells the lines that stand on many sites, by their hashes."""
+
+    def __init__(self, keys: frozenset[bytes] = frozenset()):
+        self.keys = keys
+
+    def __call__(self, line: bytes) -> bool:
+        return bool(self.keys) and hashlib.md5(line.strip(SPACES)).digest() in self.keys
+
+
+def line_features(lines: list[bytes], dup: list[bool], spread: list[bool]) -> tuple[list[list[float]], list[int]]:
+    """Features and words of the lines that have a word."""
+    some = [(features(x, d, s), len(x.split())) for x, d, s in zip(lines, dup, spread) if x.strip(SPACES)]
+    return [f for f, _ in some], [n for _, n in some]
+
+
+def fit(found: list[tuple[int, np.ndarray]], steps: int = STEPS, guesses: int = GUESSES, lean: float = LEAN) -> LineField | None:
+    """A field from ``(quality, features)`` of documents, whose lines' labels are hidden.
+
+    A document's quality is evidence on its lines, not their label. At first each line is guessed
+    to be as its document, but that spread lines are boilerplate wherever they stand, and only the
+    features' weights are fitted, line by line: such labels never change within a document, so
+    steps fitted to them would carry one label through every document. Then, in turns, the lines
+    are guessed anew (the field's best labelling where each line leans to its document's quality
+    and spread lines stay boilerplate) and the whole field is fitted to the guess.
+    None if one of the qualities has no document.
+    """
     if len({label for label, _ in found}) < 2:
         return None
-    x, mask = np.zeros((len(found), TRAIN_LINES, FEATURES)), np.zeros((len(found), TRAIN_LINES), bool)
-    for i, (_, rows_) in enumerate(found):
-        x[i, : len(rows_)], mask[i, : len(rows_)] = rows_, True
-    y = np.array([label for label, _ in found])[:, None] * mask
+    length = max(len(x) for _, x in found)
+    x, mask = np.zeros((len(found), length, FEATURES)), np.zeros((len(found), length), bool)
+    for i, (_, own) in enumerate(found):
+        x[i, : len(own)], mask[i, : len(own)] = own, True
+    spread = x[:, :, -1] > 0
+    y = np.array([label for label, _ in found])[:, None] * mask * ~spread
     field = LineField()
-    field.train(x, y, mask)
+    for turn in range(guesses):
+        field.train(x, y, mask, steps, alone=not turn)
+        if turn + 1 < guesses:
+            for i, (label, own) in enumerate(found):
+                leaning = np.where(spread[i, : len(own)], -1e6, lean if label else -lean)
+                y[i, : len(own)] = field.decode(own, leaning)
     return field
 
 
-def content_share(field: LineField | None, lines: list[bytes], dup: list[bool]) -> float:
-    """Share of the words that lie in content lines; 1 without a field."""
-    some = [(x, d, len(x.split())) for x, d in zip(lines, dup)]
-    some = [s for s in some if s[2]]
-    if field is None or not some:
-        return 1.0 if some else 0.0
-    labels = field.decode(np.array([features(x, d) for x, d, _ in some]))
-    return sum(n for (_, _, n), label in zip(some, labels) if label == CONTENT) / sum(n for _, _, n in some)
-
+def spread_lines(df: DataFrame, site_col: str = "source", text_col: str = "text") -> DataFrame:
+    """``key`` of the lines that stand on many sites (:func:`~.line_dedup.boilerplate`), counted over all of ``df``."""
+    return cut(boilerplate(cut(occurrences(df, site_col, text_col))))
 
-def quality(df: DataFrame, field: LineField | None, id_col: str = "doc_id", text_col: str = "text", share: float = CONTENT_SHARE) -> DataFrame:
-    """One row per input row: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, content_share, kept``.
 
-    Whole texts are read where they lie; nothing is shuffled. A null, empty or blank text has no
-    words, fails the base rules and is not kept. A null id stays null, repeated rows are repeated,
-    extra columns are ignored, an empty table gives no rows. Without a field the base rules decide.
-    """
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"]
+def train(df: DataFrame, labels: DataFrame, spread: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality") -> LineField | None:
+    """Fit the field to a bounded sample of labelled documents (:func:`fit`); None if one of the
+    qualities 0 and 1 has no document with a word. Features are computed where the documents lie."""
+    marked = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null")
+    chosen = bounded_sample(marked, DOCS_PER_CLASS, SEED, 2)
+    rows = with_spread(df.select(named(id_col).cast("long").alias("doc"), named(text_col).cast("binary").alias("text")), spread)
+    # at most DOCS_PER_CLASS rows of each class, so small enough to broadcast
+    rows = rows.join(F.broadcast(chosen), rows["doc"] == chosen["id"])
+    # an id that repeats is ranked once more, and tasks keep no more rows than the bound
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("doc", F.xxhash64("text")))
+    rows = rows.withColumn("n", rank).where(F.col("n") <= DOCS_PER_CLASS).drop("n")
+    bound_batches(df.sparkSession)
+    tell = _teller(rows, spread)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told = tell()
+        for batch in batches:
+            out = []
+            for doc, text, label, marks in zip(batch["doc"], batch["text"], batch["label"], batch["spread"]):
+                _, lines, dup = measure(text or b"")
+                x, _ = line_features(lines, dup, told(lines, marks))
+                first = zlib.crc32(str(doc).encode()) % max(1, len(x) - TRAIN_LINES + 1)
+                out.append((doc, label, np.array(x[first : first + TRAIN_LINES], np.float64).tobytes()))
+            yield pd.DataFrame(out, columns=["doc", "label", "x"])
+
+    found = rows.select("doc", "text", "label", "spread").mapInPandas(measured, "doc long, label int, x binary").collect()
+    order = sorted(found, key=lambda r: (r["doc"], r["label"], r["x"]))
+    return fit([(r["label"], np.frombuffer(r["x"]).reshape(-1, FEATURES)) for r in order if r["x"]])
+
+
+def with_spread(rows: DataFrame, spread: DataFrame | None, most: int = BROADCAST_LINES) -> DataFrame:
+    """``rows(.., text)`` with ``spread``, the places of its lines that are among the hashes: null while
+    these are few enough to go to every task (:func:`_teller`), else by a join of hashes."""
+    if spread is None or spread.count() <= most:
+        return rows.withColumn("spread", F.lit(None).cast("array<int>"))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    lines = rows.select("row", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("at", "line"))
+    places = lines.select("row", "at", line_key(F.col("line")).alias("key")).join(spread, "key", "left_semi").groupBy("row").agg(F.collect_list("at").alias("spread"))
+    return rows.join(places, "row", "left").drop("row").withColumn("spread", F.coalesce("spread", F.array().cast("array<int>")))
+
+
+def _teller(rows: DataFrame, spread: DataFrame | None, most: int = BROADCAST_LINES):
+    """What makes, in a task, the function from lines and places to a flag for each line."""
+    few = spread is not None and spread.count() <= most
+    shared = rows.sparkSession.sparkContext.broadcast(frozenset(bytes(r["key"]) for r in spread.collect()) if few else frozenset())
+
+    def start():
+        known = Spread(shared.value)
+
+        def told(lines: list[bytes], places) -> list[bool]:
+            if places is not None:
+                held = set(places)
+                return [i in held for i in range(len(lines))]
+            return [known(x) for x in lines]
+
+        return told
+
+    return start
+
+
+def quality(df: DataFrame, field: LineField | None, spread: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", share: float = CONTENT_SHARE) -> DataFrame:
+    """One row per input row: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, kept, content_share, n_lines, n_content``.
+
+    The field labels every line with a word of every whole text; ``content_share`` is the share of
+    the words in content lines, ``n_content`` the number of these among ``n_lines``. Texts are read
+    where they lie; nothing is shuffled while the spread lines' hashes fit their bound. A null,
+    empty or blank text has no words, fails the base rules and is not kept. A null id stays null,
+    repeated rows are repeated, extra columns are ignored, an empty table gives no rows. Without a
+    field the base rules decide.
+    """
+    bound_batches(df.sparkSession)
+    rows = with_spread(df.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("binary").alias("text")), spread)
+    tell = _teller(rows, spread)
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_lines long, n_content long"
+    held = to_arrow_schema(StructType.fromDDL(schema))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = tell()
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"].array, batch["text"].array):
-                base, lines, dup = measure(text or b"")
-                part = content_share(field, lines, dup)
-                failed = base.failed
-                rows.append((doc, base.n_words, base.word_chars, base.n_symbols, base.n_dup_lines, base.n_repeat_words, failed, part, not failed and part >= share))
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInPandas(
-        measured, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
-    )
+            docs, texts, marks = batch.columns
+            for a, b in slices(texts):
+                rows = []
+                for doc, text, places in zip(*(c.slice(a, b - a).to_pylist() for c in (docs, texts, marks))):
+                    base, lines, dup = measure(text or b"")
+                    x, words = line_features(lines, dup, told(lines, places) if field is not None else [False] * len(lines))
+                    labels = field.decode(np.array(x)) if field is not None and x else [CONTENT] * len(x)
+                    part = sum(n for n, label in zip(words, labels) if label == CONTENT) / sum(words) if words else 0.0
+                    failed = base.failed
+                    rows.append((doc, base.n_words, base.word_chars, base.n_symbols, base.n_dup_lines, base.n_repeat_words, failed, not failed and part >= share, part, len(x), sum(labels)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), held)], schema=held)
+
+    return rows.select("doc_id", "text", "spread").mapInArrow(measured, schema)

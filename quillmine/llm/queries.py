@@ -10,6 +10,9 @@ from .packing import pack_documents
 from .secrets import scan
 from .simhash import simhash_dedup
 
+#: Key of the registered query alone, so that its results can be compared; the operator has no default.
+PII_KEY = b"registered query op8"
+
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
@@ -29,11 +32,12 @@ def op4_packing(spark, sf_dir):
 
 def op5_quality(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return quality.quality(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    spread = quality.spread_lines(docs)
+    return quality.quality(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), spread), spread)
 
 
 def op6_mixing(spark, sf_dir):
-    return mix(documents(spark, sf_dir)).drop("pieces")
+    return mix(documents(spark, sf_dir))
 
 
 def op7_line_dedup(spark, sf_dir):
@@ -41,7 +45,7 @@ def op7_line_dedup(spark, sf_dir):
 
 
 def op8_pii(spark, sf_dir):
-    return pii.pseudonymise_documents(documents(spark, sf_dir))
+    return pii.pseudonymise_documents(documents(spark, sf_dir), PII_KEY)
 
 
 def op9_substring_dedup(spark, sf_dir):
