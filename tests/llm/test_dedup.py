@@ -1,4 +1,5 @@
 import hashlib
+import math
 import itertools
 import random
 import re
@@ -119,23 +120,22 @@ def test_components_of_a_chain_and_a_star(spark):
 # ---- lines
 
 
-def lines_brute(table, sites, companies):
-    spread = {}
+def lines_brute(table, sites, share=line_dedup.DISTINCT_SHARE):
+    strip, spread = (lambda x: x.strip(" \t\n\v\f\r")), {}
     for _, text, source in table:
-        lines = [x for x in (text or "").split("\n") if text is not None and x.strip(" \t\n\v\f\r")]
-        if not lines:
-            continue
-        md5 = lambda x: hashlib.md5(x.strip(" \t\n\v\f\r").encode()).hexdigest()
-        company = min((-len(x), md5(x)) for x in lines)[1]
+        lines = {strip(x) for x in (text or "").split("\n")} - {""}
+        at = sorted((-math.log((int(hashlib.md5(x.encode()).hexdigest()[:12], 16) + 0.5) / 2**48) / len(x), x) for x in lines)
         for x in lines:
-            s = spread.setdefault(md5(x), (set(), set()))
+            rest = [y for _, y in at if y != x][:1]
+            s = spread.setdefault(x, (set(), set(), [0]))
             s[0].add(source)
-            s[1].add(company)
-    gone = {k for k, (s, c) in spread.items() if len(s) >= sites and len(c) >= companies}
+            s[1].update(rest)
+            s[2][0] += 1
+    gone = {x for x, (s, c, n) in spread.items() if len(s) >= sites and len(c) >= max(sites, math.ceil(n[0] * share))}
     out = []
     for i, text, _ in table:
         lines = text.split("\n") if text is not None else []
-        stay = [x for x in lines if not x.strip(" \t\n\v\f\r") or hashlib.md5(x.strip(" \t\n\v\f\r").encode()).hexdigest() not in gone]
+        stay = [x for x in lines if strip(x) not in gone]
         out.append((i, None if text is None else "\n".join(stay), len(lines), len(lines) - len(stay)))
     return sorted(out, key=str)
 
@@ -152,18 +152,48 @@ def test_line_dedup(spark, broadcast):
         table.append((i, "\n".join(body) if i % 17 else None, rng.choice(["a", "b", "c", "d", None])))
     table += [(200 + i, "copied one\ncopied two that is longest", "abcd"[i % 4]) for i in range(30)]  # copies keep their lines
     df = spark.createDataFrame(table, "doc_id long, text string, source string")
-    got = line_dedup.line_dedup(df, sites=4, companies=12, broadcast_lines=broadcast)
-    assert sorted(map(tuple, rows(got.select("doc_id", "text", "n_lines", "n_removed"))), key=str) == lines_brute(table, 4, 12)
+    got = line_dedup.line_dedup(df, sites=4, broadcast_lines=broadcast)
+    assert sorted(map(tuple, rows(got.select("doc_id", "text", "n_lines", "n_removed"))), key=str) == lines_brute(table, 4)
     kept = {r["doc_id"]: r["n_removed"] for r in rows(got)}
     assert all(kept[200 + i] == 0 for i in range(30)) and any(kept.values())
 
 
 def test_line_dedup_odd(odd, none):
     for limit in (0, 100):
-        got = line_dedup.line_dedup(odd, sites=1, companies=1, broadcast_lines=limit)
+        got = line_dedup.line_dedup(odd, sites=1, broadcast_lines=limit)
         assert [c for c in got.columns if c not in ("n_lines", "n_removed")] == [c for c in odd.columns if c != "n_lines"]
-        assert sorted(map(tuple, rows(got.select("doc_id", "text", "n_lines", "n_removed"))), key=str) == lines_brute([(r["doc_id"], r["text"], r["source"]) for r in rows(odd)], 1, 1)
+        assert sorted(map(tuple, rows(got.select("doc_id", "text", "n_lines", "n_removed"))), key=str) == lines_brute([(r["doc_id"], r["text"], r["source"]) for r in rows(odd)], 1)
         assert line_dedup.line_dedup(none, broadcast_lines=limit).count() == 0
+    assert line_dedup.line_dedup(odd, counts=False).columns == odd.columns
+
+
+def test_planted_boilerplate_goes_and_copies_stay(spark):
+    """Notices on ten sites or more, short or the longest line of their pages, alone or with others of
+    the same template, against exact and near copies of documents on as many sites."""
+    rng = random.Random(8)
+    word = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    notices = [word(60), word(4), word(30), word(9)]
+    table, planted, clean = [], set(notices), set()
+    for i in range(240):
+        own = [word(rng.randint(4, 25)) for _ in range(rng.randint(2, 9))]
+        clean.update(own)
+        here = notices[:2] if i % 3 == 0 else [n for n in notices if rng.random() < 0.3]  # a template of two, or some
+        table.append([*here[:1], *own, *here[1:]])
+    for group in range(12):  # copies of a document; from the seventh on, a word of two lines differs in each
+        own = [word(rng.randint(4, 25)) for _ in range(12)]
+        for _ in range(30):
+            lines = list(own)
+            if group >= 6:
+                for _ in range(2):
+                    at = rng.randrange(len(lines))
+                    lines[at] = lines[at].rsplit(" ", 1)[0] + " " + word(1)
+            clean.update(lines)
+            table.append(lines)
+    rng.shuffle(table)
+    data = [(i, "\n".join(x), f"s{i % 15}") for i, x in enumerate(table)]
+    got = rows(line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string, source string")))
+    gone = set().union(*(set(data[r["doc_id"]][1].split("\n")) - set(r["text"].split("\n")) for r in got))
+    assert gone == planted and not gone & clean
 
 
 # ---- passages
