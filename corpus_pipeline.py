@@ -21,8 +21,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take boilerplate lines out of the texts; every document stays, with its length up to date."""
-    out = line_dedup(docs).select(*docs.columns)
+    """Take boilerplate lines out of the texts; every document stays, with its length up to date (if there is such a column)."""
+    out = line_dedup(docs, counts=False)
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -32,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw the sources to their target weights: a document comes once for each pass that takes it."""
+    """Draw the sources to their target weights, in the mix's order: a document comes once for each pass that takes it."""
     return mixed_documents(docs)
 
 
@@ -54,7 +56,14 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet to the shared folder and read again.
-    A stage's table goes when the next one's is complete; the last one's is the result."""
+    A stage's table goes when the next one's is complete; the last one's is the result.
+
+    Null, empty and blank texts have no language and go in the first stage; null sources are a
+    source of their own. Rows without an id pass until the mixture, which can't tell them apart and
+    leaves them out; rows that repeat an id count as one document from the near duplicates on (the
+    one that stays is any of them there). Extra columns are kept until the last stage, whose rows
+    are pieces; an empty table gives no rows.
+    """
     folder, docs, before = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", documents(spark, sf_dir), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
