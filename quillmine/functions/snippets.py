@@ -17,8 +17,6 @@ PARTS = "struct<description:string,code_blocks:array<struct<language:string,code
 
 _FENCE = re.compile(r"^```([^\n]*)\n(.*?)\n?```$", re.M | re.S)
 _HEADING = re.compile(r"#{1,6}\s+.*$")
-_ROW = re.compile(r"\|.*\|\s*$")
-_RULE = re.compile(r"\|(?:\s*:?-+:?\s*\|)+\s*$")
 #: Stands for a fence that was taken out; a paragraph of it alone is none.
 _TAKEN = "CODE"
 
@@ -28,15 +26,26 @@ def clip(text: str, length: int = DESCRIPTION_LENGTH) -> str:
     return flat[:length] + "..." if len(flat) > length else flat
 
 
-def cells(row: str) -> list[str]:
-    return [c.strip() for c in re.sub(r"\|\s*$", "", row.removeprefix("|")).split("|")]
+def pipe_cells(line: str) -> list[str] | None:
+    """The cells of a line that begins and ends with a pipe."""
+    line = line.strip()
+    if len(line) < 2 or line[0] != "|" or line[-1] != "|":
+        return None
+    return [cell.strip() for cell in line[1:-1].split("|")]
+
+
+def draws_rule(cells: list[str] | None) -> bool:
+    """Whether cells draw the line under a header: dashes, a colon at either end allowed."""
+    dashes = [cell.removeprefix(":").removesuffix(":") for cell in cells or [""]]
+    return all(d and not d.strip("-") for d in dashes)
 
 
 def table(block: str) -> dict | None:
-    lines = [x.strip() for x in block.split("\n")]
-    if len(lines) < 3 or not _ROW.match(lines[0]) or not _RULE.match(lines[1]):
+    """A block of a header, a rule and more lines as a table; lines without pipes among them are passed over."""
+    header, rule, *rest = [pipe_cells(line) for line in block.split("\n")] + [None, None]
+    if len(rest) < 3 or header is None or not draws_rule(rule):
         return None
-    return {"headers": cells(lines[0]), "rows": [cells(x) for x in lines[2:] if _ROW.match(x)]}
+    return {"headers": header, "rows": [row for row in rest if row is not None]}
 
 
 def snippet_parts(markdown: str | None) -> dict:

@@ -91,3 +91,9 @@ def html_title(html: Column) -> Column:
 def html_links(html: Column) -> Column:
     """Raw href values of all links, by pattern."""
     return F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']+)["']"""), F.lit(1))
+
+
+def iso_time(milliseconds: Column) -> Column:
+    """Milliseconds since 1970 as ISO 8601 in UTC, with three digits of the second."""
+    seconds = F.timestamp_millis(milliseconds)
+    return F.date_format(F.to_utc_timestamp(seconds, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

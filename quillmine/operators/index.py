@@ -1,7 +1,7 @@
 """The text index: tokens, postings and corpus statistics as DataFrames.
 
-A chunk table has ``chunk_id, text, heading_path``. Postings are derived from it, so they can't get
-out of step; for an incremental build, derive them for the changed pages' chunks alone.
+A chunk table has ``chunk_id, text, heading_path``. A collection stores postings and lengths beside
+its chunks, and derives them anew for changed pages alone.
 """
 
 from __future__ import annotations
@@ -88,9 +88,22 @@ def tokenise(chunks: DataFrame, tokenizer: str = "native") -> DataFrame:
 
 
 def postings(chunks: DataFrame, tokenizer: str = "native") -> DataFrame:
-    """``chunk_id, col, term, positions`` with ascending 0-based positions."""
-    tokens = tokenise(chunks, tokenizer).select("chunk_id", "col", F.posexplode("tokens").alias("pos", "term"))
-    return tokens.groupBy("chunk_id", "col", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """``chunk_id, col, term, positions`` with ascending 0-based positions.
+
+    All tokens of a chunk lie in one row, so they are grouped there and nothing is shuffled: sorted
+    by term and position, cut where a term begins.
+    """
+    pairs = F.sort_array(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    rows = tokenise(chunks, tokenizer).where(F.size("tokens") > 0).select("chunk_id", "col", pairs.alias("pairs"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("pairs") - 1), lambda i: (i == 0) | (F.col("pairs")[i]["term"] != F.col("pairs")[i - 1]["term"]))
+    rows = rows.select("chunk_id", "col", "pairs", begins.alias("begins"))
+
+    def run(at: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("begins", k + 1), F.size("pairs"))
+        held = F.transform(F.slice("pairs", at + 1, end - at), lambda x: x["pos"])
+        return F.struct(F.col("pairs")[at]["term"].alias("term"), held.alias("positions"))
+
+    return rows.select("chunk_id", "col", F.explode(F.transform("begins", run)).alias("x")).select("chunk_id", "col", "x.term", "x.positions")
 
 
 def lengths(chunks: DataFrame, tokenizer: str = "native") -> DataFrame:
@@ -109,8 +122,11 @@ def corpus_stats(lengths_: DataFrame) -> DataFrame:
     )
 
 
-def term_frequencies(postings_: DataFrame) -> DataFrame:
-    """``term, df, cf``: rows with the term, and its occurrences."""
+def term_frequencies(postings_: DataFrame, columns: int = len(COLUMNS)) -> DataFrame:
+    """``term, df, cf``: rows with the term, and its occurrences. With one indexed column a posting
+    is a row; with more a row counts once."""
+    if columns == 1:
+        return postings_.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).alias("cf"))
     per_row = postings_.groupBy("term", "chunk_id").agg(F.sum(F.size("positions")).alias("tf"))
     return per_row.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 

@@ -1,20 +1,24 @@
 """Changes of a collection's tables as transformations: each takes tables and returns new ones.
 
 Nothing is updated in place. A change is a join of the stored rows with what came in, which makes
-it safe to run again; :class:`Collection` writes the results as a new snapshot.
+it safe to run again; :class:`Collection` writes the results as a new snapshot. Rows are dealt over
+buckets by their ids, and a change reads and writes the buckets that it touches.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
-from functools import reduce
+from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import content_hash, utf8_size
-from ..schema import TABLES, VERSION
+from ..schema import BUCKET_BITS, BUCKETED, SITE_BUCKETS, SORTED, TABLES, VERSION
 
 PAGE_CONTENT = ("title", "etag", "last_modified", "content_hash", "markdown", "markdown_size", "fetched_at", "depth")
 PAGE_TOUCHED = ("etag", "last_modified", "fetched_at")
@@ -26,6 +30,30 @@ def stable_id(*columns: Column | str) -> Column:
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 63) - 1))
 
 
+def bucket_of(id_: Column | str) -> Column:
+    """The bucket of a page's or a chunk's id: its low bits."""
+    return F.col(id_).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)) if isinstance(id_, str) else id_.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))
+
+
+def _in_bucket(hash_: Column, bucket: Column) -> Column:
+    return hash_.bitwiseAND(F.lit(((1 << 63) - 1) ^ ((1 << BUCKET_BITS) - 1))).bitwiseOR(bucket.cast("long"))
+
+
+def site_bucket(site_id: Column, place: Column) -> Column:
+    return F.pmod(F.xxhash64(site_id, place.cast("long")), F.lit(1 << BUCKET_BITS))
+
+
+def page_id_of(site_id: Column, url: Column) -> Column:
+    """A page's id from its natural key. A site's pages lie in ``SITE_BUCKETS`` buckets, by the URL."""
+    hashed = F.xxhash64(site_id, url)
+    return _in_bucket(hashed, site_bucket(site_id, F.pmod(F.shiftrightunsigned(hashed, 40), F.lit(SITE_BUCKETS))))
+
+
+def chunk_id_of(page_id: Column, ord_: Column, text: Column) -> Column:
+    """A chunk's id, in its page's bucket."""
+    return _in_bucket(F.xxhash64(page_id, ord_, text), bucket_of(page_id))
+
+
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row for each key: the first in ``order``."""
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -50,7 +78,7 @@ def classify(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         .otherwise("updated")
     )
     new = incoming.drop("page_id").join(old, ["site_id", "url"], "left").withColumn("state", state).drop("__old_hash")
-    return new.withColumn("page_id", F.coalesce("page_id", stable_id("site_id", "url")))
+    return new.withColumn("page_id", F.coalesce("page_id", page_id_of(F.col("site_id"), F.col("url"))))
 
 
 def upsert_pages(stored: DataFrame, classified: DataFrame) -> DataFrame:
@@ -78,9 +106,16 @@ def replace_chunks(stored: DataFrame, changed: DataFrame, new: DataFrame) -> Dat
     return kept.select(*stored.columns).unionByName(new.select(*stored.columns))
 
 
+def replace_index(stored: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored postings or lengths without those of ``gone(chunk_id)``, and the new ones."""
+    kept = stored.join(gone.select("chunk_id"), "chunk_id", "left_anti")
+    return kept.select(*stored.columns).unionByName(new.select(*stored.columns))
+
+
 def store_vectors(stored: DataFrame, new: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """Stored vectors with the new ones in place of the old; empty vectors are no vectors, and those
-    of chunks that are gone (if ``chunks`` is given) go too."""
+    of chunks that are gone (if ``chunks`` is given) go too. ``new`` is read twice: write it down
+    first where it is dear."""
     new = new.where(F.size("embedding") > 0)
     out = stored.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new.select(*stored.columns))
     return out if chunks is None else out.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
@@ -138,14 +173,14 @@ def without_site(tables: dict[str, DataFrame], site_id: int) -> dict[str, DataFr
 
 
 def without_pages(tables: dict[str, DataFrame], which: Column) -> dict[str, DataFrame]:
-    """All tables without some pages, their chunks and vectors."""
+    """All tables without some pages, their chunks, and these chunks' vectors and postings."""
     pages = tables["pages"].where(which).select("page_id")
     chunks = tables["chunks"].join(pages, "page_id", "left_semi").select("chunk_id")
     return {
         **tables,
         "pages": tables["pages"].where(~which),
         "chunks": tables["chunks"].join(pages, "page_id", "left_anti").select(*tables["chunks"].columns),
-        "vectors": tables["vectors"].join(chunks, "chunk_id", "left_anti"),
+        **{n: tables[n].join(chunks, "chunk_id", "left_anti").select(*tables[n].columns) for n in ("vectors", "postings", "lengths") if n in tables},
     }
 
 
@@ -199,59 +234,179 @@ def owning_site(urls: DataFrame, sites: DataFrame) -> DataFrame:
     return urls.join(met.groupBy("url").agg(F.min("site_id").alias("site_id")), "url", "left")
 
 
+class Conflict(RuntimeError):
+    """Another writer has changed the same rows since they were read."""
+
+
 class Collection:
     """A collection's tables on storage that all executors share.
 
-    Every change writes a new snapshot folder and then a file that names it; readers follow the
-    newest complete one. What is being read is never overwritten, and a lost driver leaves the
-    last snapshot as it was. Tables that a change leaves alone are not rewritten: the new snapshot
-    names the folder where they lie.
+    The large tables lie in buckets (the low bits of their ids). A change writes new folders for
+    the buckets that it touches and then one listing, a small file that names every bucket's
+    current folder; readers follow the newest complete listing. What is being read is never
+    overwritten, and a lost driver leaves the last listing as it was. A listing is made under the
+    next number, which only one writer can; the other one merges its buckets into the newer listing
+    and tries again, or is told of the :class:`Conflict` if they are the same. (The file system
+    must refuse to create a file that exists, as HDFS and local disks do.)
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
     def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _snapshots(self) -> list[str]:
-        fs, path = self._fs()
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(n for n in names if n.startswith("snapshot-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS")))
-
-    def places(self) -> dict[str, str]:
-        """Where each table's current rows lie."""
-        found = self._snapshots()
-        if not found:
-            return {}
-        return {r["table"]: r["place"] for r in self.spark.read.schema("table string, place string, version int").json(f"{self.folder}/{found[-1]}").collect()}
-
-    def tables(self) -> dict[str, DataFrame]:
-        places = self.places()
-        return {n: self.spark.read.schema(s).parquet(places[n]) if n in places else self.spark.createDataFrame([], s) for n, s in TABLES.items()}
-
-    def commit(self, changed: dict[str, DataFrame]) -> None:
-        """Write the changed tables and make them current together."""
-        places, number = self.places(), len(self._snapshots())
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> list[int]:
+        fs, path = self._fs(), self._path()
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n.removeprefix("snapshot-")) for n in names if n.startswith("snapshot-"))
+
+    def _read(self, number: int, patience: float = 5.0) -> dict | None:
+        """A listing; None if its writer didn't finish it (it is given a while)."""
+        name, fs = f"snapshot-{number:010}", self._fs()
+        until = time.monotonic() + patience
+        while True:
+            if fs.getFileStatus(self._path(name)).isDirectory():  # as the first version wrote them
+                rows = self.spark.read.schema("table string, place string, version int").json(f"{self.folder}/{name}").collect()
+                return {"version": 1, "places": {(r["table"], None): r["place"] for r in rows}}
+            stream = fs.open(self._path(name))
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            try:
+                found = json.loads(text)
+                return {"version": found["version"], "places": {(t, b): p for t, b, p in found["places"]}}
+            except (ValueError, KeyError):
+                if time.monotonic() > until:
+                    return None
+                time.sleep(0.1)
+
+    def listing(self) -> tuple[int, dict]:
+        """The newest complete listing, and the highest number that was taken when it was looked for
+        (-1: none yet; it is another one's if a writer died over it)."""
+        numbers = self._numbers()
+        for number in reversed(numbers):
+            found = self._read(number)
+            if found is not None:
+                return numbers[-1], found
+        return max(numbers, default=-1), {"version": VERSION, "places": {}}
+
+    def places(self) -> dict[tuple[str, int | None], str]:
+        """Where each table's, or bucket's, current rows lie."""
+        return self.listing()[1]["places"]
+
+    def tables(self, buckets: Iterable[int] | None = None) -> dict[str, DataFrame]:
+        """All tables, of these buckets alone if they are given."""
+        version, places = (x := self.listing()[1])["version"], x["places"]
+        if version != VERSION:
+            raise RuntimeError(f"the collection is of version {version}: migrate() it to {VERSION}")
+        wanted = None if buckets is None else set(buckets)
+        out = {}
+        for name, schema in TABLES.items():
+            held = [p for (t, b), p in sorted(places.items(), key=str) if t == name and (b is None or wanted is None or b in wanted)]
+            out[name] = self.spark.read.schema(schema).parquet(*held) if held else self.spark.createDataFrame([], schema)
+        return out
+
+    def _write(self, name: str, df: DataFrame) -> dict[tuple[str, int | None], str]:
+        """Write a table's rows to a new folder; where each bucket lies in it."""
+        place = f"{self.folder}/data/{name}-{uuid.uuid4().hex}"
+        fields = self.spark.createDataFrame([], TABLES[name]).schema
+        df = df.select(*(F.col(f.name).cast(f.dataType) for f in fields))
+        order = SORTED.get(name, ())
+        if name not in BUCKETED:
+            df.write.parquet(place)
+            return {(name, None): place}
+        df = df.withColumn("bucket", bucket_of(BUCKETED[name]))
+        df.repartition("bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(place)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        names = [s.getPath().getName() for s in self._fs().listStatus(path)]
+        return {(name, int(n.removeprefix("bucket="))): f"{place}/{n}" for n in names if n.startswith("bucket=")}
+
+    def commit(self, changed: dict[str, DataFrame], buckets: dict[str, Iterable[int]] | None = None) -> int:
+        """Write changed tables and make them current together; the listing's number.
+
+        Of a table in ``buckets`` only these buckets are replaced, by the rows given (none: they
+        become empty); others are replaced whole.
+        """
+        base = self.listing()[1]
+        written: dict[tuple[str, int | None], str] = {}
         for name, df in changed.items():
-            places[name] = f"{self.folder}/data/{name}-{uuid.uuid4().hex}"
-            df.select(*(F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], TABLES[name]).schema)).write.parquet(places[name])
-        rows = [(n, p, VERSION) for n, p in sorted(places.items())]
-        listing = self.spark.createDataFrame(rows, "table string, place string, version int")
-        listing.coalesce(1).write.mode("errorifexists").json(f"{self.folder}/snapshot-{number:010}")
+            written |= self._write(name, df)
+        whole = {n for n in changed if n not in (buckets or {})}
+        touched = {(n, b) for n, own in (buckets or {}).items() if n in changed for b in own}
+
+        def ours(key: tuple[str, int | None]) -> bool:
+            return key[0] in whole or key in touched
+
+        if stray := [k for k in written if not ours(k)]:
+            raise ValueError(f"rows outside of the buckets that are replaced: {stray[:3]}")
+        while True:
+            top, now = self.listing()
+            if any(ours(k) and now["places"].get(k) != base["places"].get(k) for k in now["places"].keys() | base["places"].keys()):
+                raise Conflict(f"changed meanwhile: {sorted(changed)}")
+            places = {k: p for k, p in now["places"].items() if not ours(k)} | written
+            text = json.dumps({"version": VERSION, "places": [[t, b, p] for (t, b), p in sorted(places.items(), key=str)]})
+            if self._create(f"snapshot-{top + 1:010}", text):
+                return top + 1
+
+    def _create(self, name: str, text: str) -> bool:
+        """Make a file with this text; False if there is one."""
+        try:
+            stream = self._fs().create(self._path(name), False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName() or self._fs().exists(self._path(name)):
+                return False
+            raise
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        return True
+
+    def migrate(self) -> int:
+        """Bring an older collection to this version; the version that it had. Ids are made anew
+        (they say where rows lie) and the text index is derived from the chunks."""
+        from .index import lengths, postings
+
+        _, found = self.listing()
+        if found["version"] == VERSION:
+            return VERSION
+        old = {n: self.spark.read.schema(TABLES[n]).parquet(p) for (n, _), p in found["places"].items()}
+        empty = {n: self.spark.createDataFrame([], s) for n, s in TABLES.items()}
+        pages = old.get("pages", empty["pages"]).withColumn("new_page", page_id_of(F.col("site_id"), F.col("url")))
+        chunks = old.get("chunks", empty["chunks"]).join(pages.select("page_id", "new_page"), "page_id")
+        chunks = chunks.withColumn("new_chunk", chunk_id_of(F.col("new_page"), F.col("ord"), F.col("text")))
+        vectors = old.get("vectors", empty["vectors"]).join(chunks.select("chunk_id", "new_chunk"), "chunk_id")
+        renamed = chunks.drop("page_id", "chunk_id").withColumnsRenamed({"new_page": "page_id", "new_chunk": "chunk_id"})
+        self.commit({
+            **{n: old[n] for n in ("sites", "meta") if n in old},
+            "pages": pages.drop("page_id").withColumnRenamed("new_page", "page_id"), "chunks": renamed,
+            "vectors": vectors.drop("chunk_id").withColumnRenamed("new_chunk", "chunk_id"), "postings": postings(renamed), "lengths": lengths(renamed),
+        })
+        return found["version"]
 
     def vacuum(self) -> int:
-        """Delete table folders that the current snapshot doesn't name; how many went. Run it when
-        no reader follows an older snapshot."""
-        fs, _ = self._fs()
-        data = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/data")
-        named = {p.rsplit("/", 1)[1] for p in self.places().values()}
-        old = [s.getPath() for s in fs.listStatus(data) if s.getPath().getName() not in named] if fs.exists(data) else []
-        return sum(bool(fs.delete(p, True)) for p in old)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+        """Delete folders and listings that the current listing doesn't need; how many folders went.
+        Run it when no reader follows an older listing and no writer is at work."""
+        fs, data = self._fs(), self._path("data")
+        number, found = self.listing()
+        for n in self._numbers():
+            if n < number:
+                fs.delete(self._path(f"snapshot-{n:010}"), True)
+        named = {p.rsplit("/bucket=", 1)[0].rsplit("/", 1)[1] for p in found["places"].values()}
+        used = {p for p in found["places"].values()}
+        gone = 0
+        for status in fs.listStatus(data) if fs.exists(data) else []:
+            path = status.getPath()
+            if path.getName() not in named:
+                gone += bool(fs.delete(path, True))
+                continue
+            for part in fs.listStatus(path):
+                name = part.getPath().getName()
+                if name.startswith("bucket=") and f"{self.folder}/data/{path.getName()}/{name}" not in used:
+                    gone += bool(fs.delete(part.getPath(), True))
+        return gone

@@ -182,7 +182,7 @@ def corpus_stats(spark, sf):
 
 @query("term_df", f"WITH {TOKENS}, p AS (SELECT chunk_id, unnest(t) AS term FROM toks) SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM p GROUP BY term")
 def term_df(spark, sf):
-    return index.term_frequencies(text_index(spark, sf).postings)
+    return index.term_frequencies(text_index(spark, sf).postings, columns=1)
 
 
 # ---- vectors

@@ -100,13 +100,15 @@ def site_guard(sites: DataFrame, pages: DataFrame, site_id: int, indexing: bool
     """None if the site has pages, a hint if it has none; raises LookupError if there is no site."""
     site = sites.where(F.col("site_id") == site_id).select("name").first()
     if site is None:
-        raise LookupError(f"No site with id {site_id}")
+        raise LookupError(f"there is no site {site_id}")
     if not pages.where(F.col("site_id") == site_id).isEmpty():
         return None
-    name = f"Site #{site_id} ({site['name']})"
-    if indexing:
-        return f"{name} crawl is still running: no pages indexed yet. Look at its status before searching."
-    return f"{name} has no pages indexed yet. Add it (or look at its status) before searching."
+    return f"{site['name']} ({site_id}) holds no pages " + ("so far; it is being crawled, try again later" if indexing else "to search; crawl it first")
+
+
+def hit_pages(hits: DataFrame) -> DataFrame:
+    """One row: how many hits there are, and on how many distinct pages."""
+    return hits.agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("page_url").alias("pages"))
 
 
 def rendered(hits: DataFrame) -> DataFrame:

@@ -13,9 +13,19 @@ PAGES = (
 )
 CHUNKS = "chunk_id long, page_id long, ord int, heading_path string, text string, token_count int"
 VECTORS = "chunk_id long, embedding array<float>"
+POSTINGS = "chunk_id long, col int, term string, positions array<int>"
+LENGTHS = "chunk_id long, length long"
 META = "key string, value string"
-TABLES = {"sites": SITES, "pages": PAGES, "chunks": CHUNKS, "vectors": VECTORS, "meta": META}
-VERSION = 1
+TABLES = {"sites": SITES, "pages": PAGES, "chunks": CHUNKS, "vectors": VECTORS, "postings": POSTINGS, "lengths": LENGTHS, "meta": META}
+#: The id whose low bits say in which bucket a row of a table lies; the other tables are small and lie whole.
+BUCKETED = {"pages": "page_id", "chunks": "page_id", "vectors": "chunk_id", "postings": "chunk_id", "lengths": "chunk_id"}
+#: Order of a table's rows within its files, so that row groups are pruned.
+SORTED = {"postings": ("term", "chunk_id"), "pages": ("url",)}
+BUCKET_BITS = 12
+#: Buckets that a site's pages are dealt over.
+SITE_BUCKETS = 16
+#: 1: tables lie whole, no index. 2: buckets, and the text index is stored.
+VERSION = 2
 OPTIONS = "struct<includePatterns:array<string>,excludePatterns:array<string>,maxDepth:int,maxPages:int>"
 
 # Bounds of the arguments: least, most, default.

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BATCH, TIMEOUT, PROBE_TIMEOUT = 16, 60.0, 5.0
+BATCH, TIMEOUT, PROBE_TIMEOUT, WORKERS = 16, 60.0, 5.0, 4
+EMBEDDED = "struct<vector:array<float>,error:string>"
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
@@ -31,18 +33,31 @@ def http_embedder(base_url: str, model: str, token: str | None = None, timeout:
     return embed
 
 
-def in_batches(embed: Embedder, texts: list[str], size: int = BATCH) -> list[list[float]]:
-    return [v for i in range(0, len(texts), size) for v in embed(texts[i : i + size])]
+def in_batches(embed: Embedder, texts: list[str], size: int = BATCH, workers: int = WORKERS) -> list[list[float]]:
+    """Vectors in the texts' order; requests of ``size`` texts, ``workers`` at a time."""
+    parts = [texts[i : i + size] for i in range(0, len(texts), size)]
+    if len(parts) < 2:
+        return [v for part in parts for v in embed(part)]
+    with ThreadPoolExecutor(min(workers, len(parts))) as pool:
+        return [v for part in pool.map(embed, parts) for v in part]
 
 
-def embedded(text: Column, embed: Embedder, size: int = BATCH) -> Column:
-    """Vectors of a text column, as float arrays; requests hold ``size`` texts, in order."""
+def embedded(text: Column, embed: Embedder, size: int = BATCH, workers: int = WORKERS) -> Column:
+    """``struct(vector, error)`` of a text column. A request that fails gives its texts no vector and
+    the error instead: pages are indexed without vectors rather than not at all."""
 
-    def batch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def safe(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+        try:
+            vectors = embed(texts)
+            return [(list(vectors[i]) if i < len(vectors) else None, None) for i in range(len(texts))]
+        except Exception as e:  # noqa: BLE001  whatever an embedder raises
+            return [(None, f"{type(e).__name__}: {e}")] * len(texts)
+
+    def batch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series(in_batches(embed, texts.fillna("").tolist(), size))
+            yield pd.DataFrame(in_batches(safe, texts.fillna("").tolist(), size, workers), columns=["vector", "error"])
 
-    return F.pandas_udf(batch, "array<float>")(text)
+    return F.pandas_udf(batch, EMBEDDED)(text)
 
 
 def probe(embed: Embedder | None) -> tuple[int | None, str | None]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
+import http.client
 import math
 import random
 import time
@@ -25,6 +25,10 @@ from .sitemap import inflate, is_gzip
 AGENT = "quillmine/1.0"
 TIMEOUT, BODY_BYTES, RETRIES, RETRY_BASE = 20.0, 5 << 20, 3, 0.5
 PER_SECOND = 2.0
+#: What a server's wish to wait counts for at most, in seconds.
+LONGEST_WAIT = 120.0
+#: What a bad connection, answer, encoding or address raises.
+FAILURES = (OSError, ValueError, zlib.error, http.client.HTTPException)
 FETCHED = "url string, status int, headers map<string,string>, body string, final_url string, truncated boolean, error string"
 
 
@@ -77,7 +81,7 @@ def _decoded(data: bytes, encoding: str | None, most: int) -> tuple[bytes, bool]
 
 def http_get(url: str, agent: str = AGENT, etag: str | None = None, modified: str | None = None, timeout: float = TIMEOUT, most: int = BODY_BYTES) -> Response:
     """One request. ``etag`` and ``modified`` make it conditional. HTTP errors are responses."""
-    headers = {"User-Agent": agent, "Accept": "text/html, application/xhtml+xml, application/xml;q=0.9, */*;q=0.8", "Accept-Encoding": "gzip, deflate"}
+    headers = {"User-Agent": agent, "Accept": "text/html, text/*;q=0.7, */*;q=0.3", "Accept-Encoding": "gzip, deflate"}
     if etag:
         headers["If-None-Match"] = etag
     if modified:
@@ -91,19 +95,22 @@ def http_get(url: str, agent: str = AGENT, etag: str | None = None, modified: st
         if answer.status == 304:
             return Response(304, found, "", answer.url or url)
         data, more = bounded(answer.read, most)
+        declared = found.get("content-length", "")
+        if not more and declared.isdigit() and len(data) < int(declared):
+            raise http.client.IncompleteRead(data, int(declared) - len(data))
         data, rest = _decoded(data, found.get("content-encoding"), most)
         body = inflate(data) if is_gzip(url) and data[:2] == b"\x1f\x8b" else data.decode("utf-8", "ignore" if more or rest else "replace")
         return Response(answer.status, found, body, answer.url or url, more or rest)
 
 
 def fetch(url: str, get: Callable[..., Response] = http_get, retries: int = RETRIES, base: float = RETRY_BASE, sleep: Callable[[float], None] = time.sleep, **options) -> Response:
-    """``get`` with retries: 429 waits as it asks, 5xx and network errors back off. The last
+    """``get`` with retries: 429 waits as it asks (``LONGEST_WAIT`` at most), 5xx and failures back off. The last
     response is returned as it is; an error of the last attempt is raised if there was no response."""
     last: Response | None = None
     for attempt in range(retries + 1):
         try:
             answer = get(url, **options)
-        except (OSError, ValueError, zlib.error, gzip.BadGzipFile):
+        except FAILURES:
             if attempt == retries:
                 if last is not None:
                     return last
@@ -115,29 +122,32 @@ def fetch(url: str, get: Callable[..., Response] = http_get, retries: int = RETR
             return answer
         last = Response(answer.status, answer.headers, "", answer.url)
         asked = retry_after(answer.headers.get("retry-after")) if answer.status == 429 else None
-        sleep(backoff(attempt, base) if asked is None else asked)
+        sleep(backoff(attempt, base) if asked is None else min(asked, LONGEST_WAIT))
     raise AssertionError("unreachable")
 
 
-def requests_per_second(delay: float | None, default: float = PER_SECOND) -> float:
+def requests_per_second(delay: float | None, default: float | None = PER_SECOND) -> float | None:
     """A crawl delay as a rate; delays of more than a second are honoured."""
     return 1 / delay if delay and delay > 0 else default
 
 
-def load_robots(origin: str, get: Callable[[str], Response]) -> Robots:
-    """The origin's rules; anything but a 200 allows all."""
+def load_robots(origin: str, get: Callable[[str], Response]) -> tuple[Robots, str]:
+    """The origin's rules and their text; anything but a 200 allows all."""
     try:
         answer = get(f"{origin}/robots.txt")
-    except OSError:
-        return parse_robots("")
-    return parse_robots(answer.body if answer.status == 200 else "")
+    except FAILURES:
+        return parse_robots(""), ""
+    text = answer.body if answer.status == 200 else ""
+    return parse_robots(text), text
 
 
-def fetch_pages(urls: DataFrame, get: Callable[..., Response] = http_get, per_second: float = PER_SECOND, conditional: bool = False, partitions: int | None = None, **options) -> DataFrame:
-    """Fetch ``urls(url[, etag, last_modified])``: a row of ``FETCHED`` for each.
+def fetch_pages(urls: DataFrame, get: Callable[..., Response] = http_get, per_second: float = PER_SECOND, conditional: bool = True, partitions: int | None = None, **options) -> DataFrame:
+    """Fetch ``urls(url[, per_second][, etag, last_modified])``: a row of ``FETCHED`` for each.
 
     An origin's URLs lie in one task, which spaces its requests out, so a site sees one client at
-    its rate whatever the cluster's size. Failed URLs have a null status and an error.
+    its rate (a row's own ``per_second``, where it has one) whatever the cluster's size. Failed URLs
+    have a null status and an error; no answer, however broken, ends the task. Rows with an etag or a
+    date of their last change ask for the page only if it is another one (``conditional``).
     """
 
     def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,17 +158,17 @@ def fetch_pages(urls: DataFrame, get: Callable[..., Response] = http_get, per_se
                 wait = next_at.get(r["origin"], 0) - time.monotonic()
                 if wait > 0:
                     time.sleep(wait)
-                next_at[r["origin"]] = time.monotonic() + 1 / per_second
+                next_at[r["origin"]] = time.monotonic() + 1 / (r.get("per_second") or per_second)
                 known = {"etag": r.get("etag"), "modified": r.get("last_modified")} if conditional else {}
                 try:
                     a = fetch(r["url"], get, **known, **options)
                     rows.append((r["url"], a.status, a.headers, a.body, a.url or r["url"], a.truncated, None))
-                except OSError as e:
-                    rows.append((r["url"], None, None, None, r["url"], False, str(e)))
+                except FAILURES as e:
+                    rows.append((r["url"], None, None, None, r["url"], False, f"{type(e).__name__}: {e}"))
             out = pd.DataFrame(rows, columns=["url", "status", "headers", "body", "final_url", "truncated", "error"])
             yield out.astype({"status": "Int32"})
 
-    columns = ["url", *(c for c in ("etag", "last_modified") if conditional and c in urls.columns)]
+    columns = ["url", *(c for c in ("per_second", "etag", "last_modified") if c in urls.columns)]
     dealt = urls.select(*columns, origin_of(F.col("url")).alias("origin"))
     dealt = dealt.repartition(partitions, "origin") if partitions else dealt.repartition("origin")
     return dealt.mapInPandas(fetched, FETCHED)

@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.html import page_markdown
 from ..operators.store import latest
 from ..plans.site import Library
-from ..sources.shared import cut
 
 LANDING = "site_id long, url string, status int, body string, fetched_at timestamp, depth int"
 
@@ -21,16 +20,16 @@ def landing_pages(spark: SparkSession, folder: str, max_files: int = 100) -> Dat
 
 def ingest_stream(library: Library, responses: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Index a stream of responses. A batch is an upsert by URL and hash, so that one that runs
-    again after a failure changes nothing; readers see whole batches."""
+    again after a failure changes nothing; readers see whole batches, and a batch rewrites the buckets
+    that its pages lie in."""
 
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.where((F.col("status") == 200) & (F.col("body") != ""))
         rows = latest(rows, ["site_id", "url"], F.desc("fetched_at"), F.desc(F.xxhash64("body")))
         pages = rows.select("site_id", "url", page_markdown(F.col("url"), F.col("body")).alias("page"), "fetched_at", "depth")
-        pages = cut(pages.where("page.markdown is not null").select("site_id", "url", "page.title", "page.markdown", "fetched_at", "depth"))
-        for r in pages.select("site_id").distinct().collect():  # the sites of one bounded batch
-            own = pages.where(F.col("site_id") == r["site_id"]).drop("site_id")
-            library.store.commit(library.ingest(r["site_id"], own)[0])
+        pages = pages.where("page.markdown is not null").select("site_id", "url", "page.title", "page.markdown", "fetched_at", "depth")
+        changed, buckets, _ = library.ingest(pages)  # all sites of the batch at once: one commit
+        library.store.commit(changed, buckets)
 
     writer = responses.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

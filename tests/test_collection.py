@@ -1,5 +1,8 @@
 import datetime
+import http.server
+import json
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +11,8 @@ from quillmine.operators import ranking, store
 from quillmine.operators.index import TextIndex
 from quillmine.plans import crawl, search, site
 from quillmine.schema import CHUNKS, META, PAGES, SITES, VECTORS, checked
-from quillmine.sources.embeddings import embedded, in_batches, probe
-from quillmine.sources.fetch import Response, fetch_pages, table_source
+from quillmine.sources.embeddings import embedded, http_embedder, in_batches, probe
+from quillmine.sources.fetch import Response, fetch, fetch_pages, http_source, table_source
 from quillmine.streaming import ingest
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -213,8 +216,11 @@ def test_embedding(spark):
 
     assert in_batches(embed, ["a"] * 5, 2) == [[1.0, 1.0]] * 5 and calls == [2, 2, 1]
     assert probe(embed) == (2, None) and probe(None)[0] is None and probe(lambda t: 1 / 0)[1].startswith("ZeroDivision")
+    assert in_batches(lambda ts: [[float(t)] for t in ts], [str(i) for i in range(100)], 3, 4) == [[float(i)] for i in range(100)]
     got = spark.createDataFrame([("abc",), (None,)], "t string").select(embedded(F.col("t"), lambda ts: [[float(len(t))] for t in ts]).alias("e")).collect()
-    assert [list(r["e"]) for r in got] == [[3.0], [0.0]]
+    assert [(list(r["e"]["vector"]), r["e"]["error"]) for r in got] == [([3.0], None), ([0.0], None)]
+    got = spark.createDataFrame([("abc",)], "t string").select(embedded(F.col("t"), lambda ts: 1 / 0).alias("e")).collect()
+    assert got[0]["e"]["vector"] is None and got[0]["e"]["error"].startswith("ZeroDivisionError")
 
 
 def test_fetch_pages(spark):
@@ -226,7 +232,7 @@ def test_fetch_pages(spark):
         return Response(200, {"etag": "e"}, "body", url)
 
     got = {r["url"]: r for r in fetch_pages(urls, get, per_second=1000, retries=0).collect()}
-    assert got["https://a.b/1"]["body"] == "body" and got["https://a.b/1"]["headers"] == {"etag": "e"} and got["https://a.b/2"]["error"] == "down"
+    assert got["https://a.b/1"]["body"] == "body" and got["https://a.b/1"]["headers"] == {"etag": "e"} and got["https://a.b/2"]["error"] == "OSError: down"
 
 
 def test_library(spark, source, tmp_path):
@@ -238,7 +244,10 @@ def test_library(spark, source, tmp_path):
     listed = lib.list_sites().collect()
     assert len(listed) == 1 and listed[0]["page_count"] == 5 and listed[0]["name"] == "h.org/docs"
     status = lib.index_status(report.site_id)
-    assert status["status"] == "idle" and status["chunk_count"] >= 5 and status["error"] is None
+    assert status["status"] == "idle" and status["chunk_count"] >= 5 and status["error"] is None and status["warnings"] == []
+    assert site.status_line(status).startswith(f"[{report.site_id}] h.org/docs: idle; pages 5") and site.report_line(report).endswith(": 5 new, 0 changed, 0 as before, 3 left out")
+    assert site.site_lines(lib.list_sites()) == f"[{report.site_id}] h.org/docs <{BASE}> pages 5, crawled 2024-01-01T00:00:00.000"
+    assert lib.hint(report.site_id) is None
     doc = lib.get_doc(BASE + "a/", max_chars=100)
     assert doc["source"] == "cache" and doc["title"] == "a"
     fresh = lib.get_doc(BASE + "a/private/x/", persist=True)
@@ -247,6 +256,10 @@ def test_library(spark, source, tmp_path):
         lib.get_doc("https://h.org/none")
     hits, mode = lib.search("words AND content")
     assert mode == "hybrid" and hits.count() > 0
+    counted = search.hit_pages(hits).first()
+    assert counted["hits"] == hits.count() and counted["pages"] == len({r["page_url"] for r in hits.collect()})
+    with pytest.raises(LookupError):
+        lib.search("words", site_id=7)
     assert lib.refresh_site(report.site_id, "full").pages_added == 5
     assert lib.store.vacuum() > 0
     assert lib.remove_site(report.site_id)["pages"] == 5 and lib.list_sites().count() == 0
@@ -254,6 +267,202 @@ def test_library(spark, source, tmp_path):
         lib.site(report.site_id)
 
 
+def test_a_change_reads_and_writes_its_own_buckets(spark, source, tmp_path):
+    log = tmp_path / "texts"
+
+    def embed(texts):
+        with log.open("a") as f:
+            f.writelines(json.dumps(t) + "\n" for t in texts)
+        return [[1.0, 2.0] for _ in texts]
+
+    seen = lambda: [t for t in map(json.loads, log.read_text().splitlines()) if t != "probe"]
+    lib = site.Library(spark, str(tmp_path / "lib"), source, embed=embed, now=lambda: T0)
+    first = lib.add_site(BASE)
+    chunks = lib.store.tables()["chunks"]
+    assert sorted(seen()) == sorted(r["text"] for r in chunks.collect())  # each text once
+    assert first.chunks_embedded == chunks.count() == lib.store.tables()["vectors"].count()
+    before = lib.store.places()
+    row = lib.store.tables()["pages"].where(F.col("url") == BASE + "b/").first()
+    fresh = spark.createDataFrame([(first.site_id, row["url"], "b", "# b\n\nquite another zebra text", T0, 1)], "site_id long, url string, title string, markdown string, fetched_at timestamp, depth int")
+    changed, buckets, counts = lib.ingest(fresh)
+    lib.store.commit(changed, buckets)
+    after = lib.store.places()
+    moved = {k for k in before.keys() | after.keys() if before.get(k) != after.get(k)}
+    assert counts["pages_updated"] == 1 and {b for _, b in moved} == {row["page_id"] & 4095} and {t for t, _ in moved} == {"pages", "chunks", "vectors", "postings", "lengths"}
+    assert len(seen()) == len(set(seen())) == chunks.count() + 1
+    # what is stored is what an index built anew would hold
+    kept, built = lib.index(), TextIndex.build(lib.store.tables()["chunks"])
+    key = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert key(kept.postings) == key(built.postings) and key(kept.lengths) == key(built.lengths)
+    hits, _ = lib.search("zebra", mode="bm25")
+    assert [r["page_url"] for r in hits.collect()] == [BASE + "b/"]
+    plan = ranking.bm25_top(search.fts.match(lib.index(), "zebra"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,zebra)" in plan and "regexp_extract_all" not in plan
+    assert lib.store.tables()["chunks"].join(lib.store.tables()["vectors"], "chunk_id").count() == lib.store.tables()["vectors"].count()
+
+
+def test_writers_that_meet(spark, tmp_path):
+    one, two = (store.Collection(spark, str(tmp_path / "c")) for _ in range(2))
+    row = lambda i, h: spark.createDataFrame([(i, 1, f"u{i}", None, None, None, h, "m", 1, T0, 0)], PAGES)
+    one.commit({"pages": row(5, "a").union(row(6, "a"))})
+    write = one._write
+
+    def meanwhile(name, df):
+        out = write(name, df)
+        two.commit({"pages": row(6, "b")}, {"pages": [6]})  # before one's listing is made
+        one._write = write
+        return out
+
+    one._write = meanwhile
+    one.commit({"pages": row(5, "c")}, {"pages": [5]})
+    assert {r["page_id"]: r["content_hash"] for r in two.tables()["pages"].collect()} == {5: "c", 6: "b"}
+    one._write = lambda name, df: (write(name, df), two.commit({"pages": row(5, "d")}, {"pages": [5]}))[0]
+    with pytest.raises(store.Conflict):
+        one.commit({"pages": row(5, "e")}, {"pages": [5]})
+    assert {r["page_id"]: r["content_hash"] for r in one.tables([5])["pages"].collect()} == {5: "d"}
+    with pytest.raises(ValueError):
+        two.commit({"pages": row(7, "x")}, {"pages": [5]})
+    two.commit({"pages": row(5, "x").limit(0)}, {"pages": [5]})
+    assert [r["page_id"] for r in two.tables()["pages"].collect()] == [6]
+
+
+def test_migration(spark, tmp_path):
+    folder = str(tmp_path / "c")
+    held = {
+        "sites": spark.createDataFrame([(1, "https://h.org/", "h", None, None, T0, T0, None)], SITES), "pages": pages_of(spark, [(1, "https://h.org/a", "A", "m")]),
+        "chunks": spark.createDataFrame([(10, 1, 0, "", "some words", 3)], CHUNKS), "vectors": spark.createDataFrame([(10, [1.0])], VECTORS),
+    }
+    for name, df in held.items():
+        df.write.parquet(f"{folder}/data/{name}-0")
+    listing = spark.createDataFrame([(n, f"{folder}/data/{n}-0", 1) for n in held], "table string, place string, version int")
+    listing.coalesce(1).write.json(f"{folder}/snapshot-0000000000")
+    c = store.Collection(spark, folder)
+    with pytest.raises(RuntimeError):
+        c.tables()
+    assert c.migrate() == 1 and c.migrate() == 2
+    t = c.tables()
+    page, chunk = t["pages"].first(), t["chunks"].first()
+    assert page["url"] == "https://h.org/a" and chunk["page_id"] == page["page_id"] != 1 and chunk["chunk_id"] & 4095 == page["page_id"] & 4095
+    assert t["vectors"].first()["chunk_id"] == chunk["chunk_id"] and {r["term"] for r in t["postings"].collect()} == {"some", "words"} and t["sites"].count() == 1
+
+
+SITE = {
+    "/robots.txt": (200, {}, "User-agent: *\nDisallow: /docs/private\nCrawl-delay: 0.01\nSitemap: {base}/extra.xml"),
+    "/extra.xml": (200, {}, "<urlset><url><loc>{base}/docs/lonely/</loc></url><url><loc>{base}/docs/private/x/</loc></url></urlset>"),
+    "/docs/": (200, {"ETag": "e1", "Last-Modified": "Mon, 01 Jan 2024 00:00:00 GMT"}, page("root", ["a/", "torn/", "short/", "odd/", "private/y/"])),
+    "/docs/a/": (200, {}, page("a")), "/docs/lonely/": (200, {}, page("lonely")), "/docs/private/y/": (200, {}, page("y")), "/docs/private/x/": (200, {}, page("x")),
+    "/docs/torn/": (200, {"Content-Encoding": "gzip"}, "this is no gzip"), "/docs/short/": (200, {"Content-Length": "9999"}, "cut off"), "/docs/odd/": None,
+}
+
+
+@pytest.fixture
+def server():
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append((self.path, {k.lower(): v for k, v in self.headers.items()}))
+            answer = SITE.get(self.path, (404, {}, "none"))
+            if answer is None:  # no HTTP at all
+                self.wfile.write(b"\x00\x01 nonsense\r\n\r\n")
+                return
+            status, headers, body = answer
+            body = body.replace("{base}", base).encode()
+            if self.headers.get("If-None-Match") == headers.get("ETag", "-"):
+                status, body = 304, b""
+            self.send_response(status)
+            for k, v in ({"Content-Length": str(len(body))} | headers).items():
+                self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_POST(self):
+            asked.append((self.path, {k.lower(): v for k, v in self.headers.items()}))
+            data = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if any("lonely" in t for t in data["input"]):
+                self.send_error(500)
+                return
+            body = json.dumps({"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(data["input"])))]}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    run = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    base = f"http://127.0.0.1:{run.server_port}"
+    threading.Thread(target=run.serve_forever, daemon=True).start()
+    yield base, asked
+    run.shutdown()
+
+
+def test_a_site_over_the_network(spark, server, tmp_path):
+    """Rules, sitemaps, damaged answers, a failing embedder and conditional requests, over a real socket."""
+    base, asked = server
+    lib = site.Library(spark, str(tmp_path / "lib"), http_source(per_second=50, retries=1, base=0.01), http_embedder(f"{base}/v1/", "m", "secret-token"), model="m")
+    report = lib.add_site(f"{base}/docs/")
+    paths = [p for p, _ in asked]
+    found = {r["url"].removeprefix(base) for r in lib.store.tables()["pages"].collect()}
+    assert found == {"/docs/", "/docs/a/", "/docs/lonely/"} and report.pages_added == 3 and "/docs/private/x/" not in paths and "/docs/private/y/" not in paths  # root, a and what only a sitemap names
+    assert paths.count("/docs/torn/") == paths.count("/docs/short/") == paths.count("/docs/odd/") == 2  # tried again, then left out
+    assert len(report.warnings) == 1 and "no vector" in report.warnings[0] and lib.store.tables()["vectors"].count() == report.chunks_embedded
+    assert lib.site(report.site_id)["robots_txt"].startswith("User-agent") and ("/v1/embeddings" in paths)
+    assert next(h["authorization"] for p, h in asked if p == "/v1/embeddings") == "Bearer secret-token"
+    row = lib.store.tables()["pages"].where(F.col("url") == f"{base}/docs/").first()
+    assert row["etag"] == "e1" and row["last_modified"].startswith("Mon")
+    assert lib.refresh_page(f"{base}/docs/") == "unchanged" and asked[-1][1]["if-none-match"] == "e1"
+    assert {r["key"]: r["value"] for r in lib.store.tables()["meta"].collect()} == {"dim": "2", "model": "m"}
+    with pytest.raises(PermissionError):
+        lib.get_doc(f"{base}/docs/private/y/")
+    # another embedder's vectors take the place of the old ones
+    wider = site.Library(spark, str(tmp_path / "lib"), http_source(per_second=50, retries=0), lambda ts: [[1.0, 2.0, 3.0] for _ in ts], model="n")
+    assert wider.embedder()[1] is None and wider.store.tables()["vectors"].count() == 0
+    assert {r["key"]: r["value"] for r in wider.store.tables()["meta"].collect()} == {"dim": "3", "model": "n"}
+    dead = site.Library(spark, str(tmp_path / "lib"), http_source(), lambda ts: 1 / 0)
+    assert dead.embedder()[0] is None and dead.search("words")[1] == "bm25"
+
+
+def test_background_crawls_fold(spark, source, tmp_path):
+    gate = threading.Event()
+
+    def slow(urls):
+        gate.wait(60)
+        return source(urls)
+
+    lib = site.Library(spark, str(tmp_path / "lib"), slow, now=lambda: T0)
+    report = lib.add_site(BASE, wait=False)
+    assert report.status == "indexing" and lib.add_site(BASE, wait=False) is report and lib.index_status(report.site_id)["status"] == "indexing"
+    assert "being crawled" in lib.hint(report.site_id) and "indexing" in site.site_lines(lib.list_sites())
+    gate.set()
+    assert lib.add_site(BASE) is report and report.status == "idle" and report.pages_added == 6
+    lib.source = lambda urls: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        lib.refresh_site(report.site_id)
+    status = lib.index_status(report.site_id)
+    assert status["status"] == "failed" and "division" in status["error"]
+    assert site.report_line(lib.last[report.site_id].report).endswith("the crawl failed (division by zero)")
+
+
+def test_pages_are_remembered(spark, source, tmp_path):
+    clock = [T0]
+    calls = []
+    lib = site.Library(spark, str(tmp_path / "lib"), lambda urls: calls.append(1) or source(urls), now=lambda: clock[0])
+    assert lib.get_doc(BASE)["source"] == "fetched" and lib.get_doc(BASE)["source"] == "memory-cache" and len(calls) == 2  # rules and page
+    clock[0] += datetime.timedelta(minutes=31)
+    assert lib.get_doc(BASE)["source"] == "fetched" and len(calls) == 3  # the rules are known
+    with pytest.raises(LookupError):
+        lib.get_doc(BASE + "a/", persist=True)
+    assert site.site_lines(lib.list_sites()) == "The collection has no sites."
+
+
+def test_waits_are_bounded():
+    waits = []
+    answers = iter([Response(429, {"retry-after": "86400"}), Response(200, {}, "x")])
+    assert fetch("u", lambda url: next(answers), sleep=waits.append).status == 200 and waits == [120.0]
+
+
 def test_streaming(spark, tmp_path):
     lib = site.Library(spark, str(tmp_path / "lib"), source=None, now=lambda: T0)
     rows = [(1, u, 200, b, T0, 0) for u, b in GRAPH.items()] + [(1, BASE + "bad", 500, "x", T0, 0)]
