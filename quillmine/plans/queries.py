@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking, html, snippets, text, urls
-from ..operators import fts, index, ranking, store
+from ..operators import compare, fts, index, ranking, store
 from ..operators.index import TextIndex
+from ..sources.fetch import table_source
 from . import crawl as crawling
-from .search import rendered, search_batch
-from .site import parsed_options
+from .search import hit_pages, rendered, search_batch
+from .site import listed_sites, parsed_options, status_of
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -147,7 +148,7 @@ def bm25_syntax_error(spark, sf):
 
 
 @query("bm25_batch", f"""
-    WITH {TOKENS}, q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}')[1:2]) AS ts FROM benchmark),
+    WITH {TOKENS}, q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}')) AS ts FROM benchmark),
     qt AS (SELECT query_id, len(ts) AS wanted, unnest(ts) AS term FROM q), post AS (SELECT chunk_id, unnest(t) AS term FROM toks),
     tf AS (SELECT chunk_id, term, count(*) AS tf FROM post SEMI JOIN qt USING (term) GROUP BY ALL),
     df AS (SELECT term, count(*) AS n FROM tf GROUP BY term), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM toks),
@@ -157,7 +158,7 @@ def bm25_syntax_error(spark, sf):
     SELECT query_id, chunk_id, round(bm25, 6) AS bm25 FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sc.bm25, 9), chunk_id) <= 10
 """)
 def bm25_batch(spark, sf):
-    terms = F.slice(index.native_tokens(F.col("text")), 1, 2)
+    terms = index.native_tokens(F.col("text"))
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
     found = search_batch(text_index(spark, sf), queries, 10_000_000).drop("rank")
     hits = ranking.ranked(found, F.round("bm25", 9), "chunk_id", per=("query_id",)).where("rank <= 10")
@@ -328,13 +329,14 @@ def snippet_fallback(spark, sf):
 
 
 @query("table_cells", rf"""
-    WITH c AS (SELECT doc_id, list_transform(string_split(regexp_replace(regexp_replace('|' || string_split(text, chr(10))[1] || '|', '^\|', ''), '\|\s*$', ''), '|'),
-        lambda x: regexp_replace(x, '^{W}+|{W}+$', '', 'g')) AS cells FROM documents) SELECT doc_id, len(cells) AS n, cells[1] AS first_cell, cells[-1] AS last_cell FROM c
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    c AS (SELECT doc_id, i, list_transform(string_split(regexp_replace(regexp_replace('|' || line || '|', '^\|', ''), '\|\s*$', ''), '|'), lambda x: regexp_replace(x, '^{W}+|{W}+$', '', 'g')) AS cells FROM l)
+    SELECT doc_id, i::INT AS line, len(cells) AS n, cells[1] AS first_cell, cells[-1] AS last_cell FROM c
 """)
 def table_cells(spark, sf):
-    row = F.concat(F.lit("|"), F.split("text", "\n")[0], F.lit("|"))
-    cells = table(spark, sf, "documents").select("doc_id", text.split_cells(row).alias("c"))
-    return cells.select("doc_id", F.size("c").cast("long").alias("n"), F.element_at("c", 1).alias("first_cell"), F.element_at("c", -1).alias("last_cell"))
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    cells = lines.select("doc_id", (F.col("at") + 1).alias("line"), text.split_cells(F.concat(F.lit("|"), F.col("line"), F.lit("|"))).alias("c"))
+    return cells.select("doc_id", "line", F.size("c").cast("long").alias("n"), F.element_at("c", 1).alias("first_cell"), F.element_at("c", -1).alias("last_cell"))
 
 
 @query("truncate_doc", "SELECT doc_id, substring(text, 1, 1000) AS text, length(text) > 1000 AS truncated FROM documents")
@@ -399,10 +401,16 @@ def derive_name(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.derive_name(F.col("url")).alias("name"))
 
 
-@query("url_dedupe", f"WITH {URLS}, b AS (SELECT host || rtrim(CASE WHEN path = '/' THEN '' ELSE path END, '/') AS key, page_id FROM n), a AS (SELECT string_split(key, '/')[1] AS host, min(page_id) AS page_id, count(*) AS n FROM b GROUP BY 1) SELECT host, page_id, n FROM a")
+TIONSH = "https://blog.tionsh.example.net/"
+
+
+@query("url_dedupe", f"""
+    WITH {URLS} SELECT scheme || '://' || host || {SLASHED} || {QUERY_TAIL} AS url, min(page_id) AS first_page, bool_or(scheme = 'https' AND host = 'blog.tionsh.example.net') AS accepted
+    FROM n GROUP BY 1
+""")
 def url_dedupe(spark, sf):
-    host = urls.host_of(urls.native_normalized(F.col("url")))
-    return table(spark, sf, "pages").groupBy(host.alias("host")).agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
+    raw = table(spark, sf, "pages").select(F.col("page_id").alias("parent"), F.lit(0).cast("long").alias("at"), F.col("url").alias("raw"))
+    return crawling.fresh_urls(raw, crawling.CrawlOptions(TIONSH)).select("url", F.col("found.parent").alias("first_page"), "accepted")
 
 
 @query("owning_site", f"WITH {URLS}, s AS (SELECT min(page_id) AS site_id, scheme, host FROM u GROUP BY ALL) SELECT u.url, s.site_id FROM u JOIN s USING (scheme, host)")
@@ -428,13 +436,13 @@ def html_title(spark, sf):
 
 
 @query("link_edges_in_scope", f"""
-    WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{LINK}', 1)) AS href FROM pages)
-    SELECT page_id, count(*) AS links, count(*) FILTER (starts_with(href, '/') OR starts_with(lower(href), 'http')) AS followed FROM l GROUP BY page_id
+    WITH {URLS}, l AS (SELECT page_id, unnest(regexp_extract_all(html, '{LINK}', 1)) AS href FROM pages)
+    SELECT l.page_id, count(*) AS links, count(*) FILTER (scheme = 'https' AND host = 'blog.tionsh.example.net' AND starts_with(href, '/')) AS followed FROM l JOIN u USING (page_id) GROUP BY l.page_id
 """)
 def link_edges_in_scope(spark, sf):
-    href = F.explode(text.html_links(F.col("html"))).alias("href")
-    followed = F.count_if(F.col("href").startswith("/") | F.lower("href").startswith("http"))
-    return table(spark, sf, "pages").select("page_id", href).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), followed.alias("followed"))
+    links = table(spark, sf, "pages").select("page_id", F.explode(html.links_of(F.col("html"), F.col("url"))).alias("link"))
+    judged = links.select("page_id", crawling.judged(F.col("link"), crawling.CrawlOptions(TIONSH)).alias("j"))
+    return judged.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_if("j.accepted").alias("followed"))
 
 
 @query("extract_article")
@@ -448,15 +456,19 @@ def html_to_markdown(spark, sf):
     return table(spark, sf, "pages").select("page_id", html.page_markdown(F.col("url"), F.col("html")).alias("p")).select("page_id", "p.title", "p.markdown")
 
 
-@query("html_links_parsed")
+@query("html_links_parsed", f"""
+    WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{LINK}', 1)) AS href, generate_subscripts(regexp_extract_all(html, '{LINK}', 1), 1) - 1 AS ord FROM pages)
+    SELECT page_id, ord::INT AS ord, regexp_extract(url, '^https?://[^/]+')
+        || array_to_string(list_transform(string_split(replace(href, '&amp;', '&'), ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE url_encode(c) END), '') AS link FROM l
+""")
 def html_links_parsed(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.posexplode(html.links_of(F.col("html"), F.col("url"))).alias("ord", "link"))
 
 
-def _composed(spark, sf) -> DataFrame:
-    """Documents as Markdown: a heading, the lines as paragraphs under a second one, a code block."""
+def _composed(spark, sf, end: Column | None = None) -> DataFrame:
+    """Documents as Markdown: a heading, the lines as paragraphs under a second one, a code block, and an end."""
     body = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
-    md = F.concat(F.lit("# "), F.col("lang"), F.lit("\n\n## "), F.col("source"), F.lit("\n\n"), body, F.lit("\n\n```sh\nrun "), F.col("source"), F.lit("\n```\n"))
+    md = F.concat(F.lit("# "), F.col("lang"), F.lit("\n\n## "), F.col("source"), F.lit("\n\n"), body, F.lit("\n\n```sh\nrun "), F.col("source"), F.lit("\n```\n"), *([end] if end is not None else []))
     return table(spark, sf, "documents").select("doc_id", md.alias("markdown"))
 
 
@@ -465,17 +477,40 @@ def chunk_markdown(spark, sf):
     return chunking.explode_chunks(_composed(spark, sf))
 
 
-@query("chunk_headings", "SELECT doc_id, lang || ' > ' || source AS heading_path FROM documents")
-def chunk_headings(spark, sf):
-    chunks = chunking.explode_chunks(_composed(spark, sf), labels=False)
-    return chunks.where(F.col("heading_path").contains(">")).select("doc_id", "heading_path").distinct()
+ENDS = r"'^\s+|\s+$'"
+LINES = "l AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"
+
 
+@query("chunk_sections", rf"""
+    WITH {LINES}, s AS (SELECT doc_id, 0 AS ord, lang AS heading_path, '# ' || lang AS text FROM documents
+        UNION ALL SELECT doc_id, i AS ord, lang || ' > s' || i AS heading_path, regexp_replace('## s' || i || chr(10) || chr(10) || line, {ENDS}, '', 'g') AS text FROM l)
+    SELECT doc_id, ord::INT AS ord, heading_path, text,
+        ceil(greatest(strlen(text) / 4.0, length(regexp_replace(text, '[^\x{{3000}}-\x{{9FFF}}\x{{A000}}-\x{{A4CF}}\x{{F900}}-\x{{FAFF}}\x{{20000}}-\x{{2FFFF}}]', '', 'g'))))::INT AS token_count FROM s
+""")
+def chunk_sections(spark, sf):
+    """Each line of a document as a section of its own under the document's heading."""
+    sections = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("## s"), (i + 1).cast("string"), F.lit("\n\n"), x))
+    md = F.concat(F.lit("# "), F.col("lang"), F.lit("\n\n"), F.array_join(sections, "\n\n"))
+    return chunking.explode_chunks(table(spark, sf, "documents").select("doc_id", md.alias("markdown")), labels=False)
 
-@query("snippet_parts", "SELECT doc_id, 'sh' AS language, 'run ' || source AS code, 1::BIGINT AS blocks FROM documents")
+
+PROSE = rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, {ENDS}, '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^#{{1,6}}\s+'))"
+FIRST_PROSE = rf"coalesce(regexp_replace(({PROSE})[1], '\s+', ' ', 'g'), 'end')"
+
+
+@query("snippet_parts", rf"""
+    SELECT doc_id, CASE WHEN length({FIRST_PROSE}) > 400 THEN substring({FIRST_PROSE}, 1, 400) || '...' ELSE {FIRST_PROSE} END AS description, 'sh' AS language, 'run ' || source AS code,
+        1::BIGINT AS blocks, 1::BIGINT AS tables, 'lang,size' AS headers, lang || ',' || length(text) || ',,x' AS cells FROM documents
+""")
 def snippet_parts(spark, sf):
-    parts = _composed(spark, sf).select("doc_id", snippets.parts_of(F.col("markdown")).alias("p"))
-    block = F.element_at("p.code_blocks", -1)
-    return parts.select("doc_id", block["language"].alias("language"), block["code"].alias("code"), F.size("p.code_blocks").cast("long").alias("blocks"))
+    """Documents with headings before, and a code block, a table of ragged rows and a paragraph after their lines."""
+    row = F.concat(F.lit("\n\n| lang | size |\n| :-- | --: |\n| "), F.col("lang"), F.lit(" | "), F.length("text").cast("string"), F.lit(" |\nno row\n|  | x |\n\nend\n"))
+    parts = _composed(spark, sf, row).select("doc_id", snippets.parts_of(F.col("markdown")).alias("p"))
+    block, found = F.element_at("p.code_blocks", -1), F.col("p.tables")[0]
+    return parts.select(
+        "doc_id", "p.description", block["language"].alias("language"), block["code"].alias("code"), F.size("p.code_blocks").cast("long").alias("blocks"),
+        F.size("p.tables").cast("long").alias("tables"), F.array_join(found["headers"], ",").alias("headers"), F.array_join(F.flatten(found["rows"]), ",").alias("cells"),
+    )
 
 
 @query("fts_snippet")
@@ -484,22 +519,60 @@ def fts_snippet(spark, sf):
     return hits.select("chunk_id", snippets.snippet_of(F.col("text"), fts.parse("tion thre").leaves()).alias("snippet"))
 
 
-@query("render_hits")
+@query("render_hits", """
+    WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS position, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS heading, CASE WHEN doc_id % 2 = 0 THEN source END AS title, * FROM documents)
+    SELECT doc_id, '### ' || position || '. ' || CASE WHEN heading <> '' THEN heading WHEN title IS NOT NULL THEN title ELSE '(untitled)' END || chr(10) || 'Source: ' || source || chr(10)
+        || 'Score: 0.' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || ' (' || lang || ')' || CASE WHEN text = '' THEN '' ELSE chr(10) || chr(10) || text END
+        || chr(10) || chr(10) || '```' || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'sh' END || chr(10) || source || chr(10) || '```' || chr(10) || chr(10) || '```' || chr(10) || lang || chr(10) || '```'
+        || chr(10) || chr(10) || '| a | b |' || chr(10) || '| --- | --- |'
+        || array_to_string(list_transform(range(1, least(doc_id % 25, 20) + 1), lambda i: chr(10) || '| ' || i || ' | ' || lang || ' |'), '')
+        || CASE WHEN doc_id % 25 > 20 THEN chr(10) || '| _… ' || (doc_id % 25 - 20) || ' more rows_ |' ELSE '' END AS text FROM h
+""")
 def render_hits(spark, sf):
-    hits = _fused(spark, sf, 10).join(docs(spark, sf), "chunk_id").withColumn("parts", snippets.parts_of(F.col("text")))
-    return rendered(hits.select(F.col("rank").alias("position"), F.col("site").alias("heading_path"), F.lit(None).cast("string").alias("page_title"), "page_url", "parts.*", "score", "source"))
+    """Documents as hits: three code blocks (two are shown) and a table of up to 24 rows (20 are)."""
+    block = lambda language, code: F.struct(language.alias("language"), code.alias("code"))
+    lang, source = F.col("lang"), F.col("source")
+    rows = F.transform(F.sequence(F.lit(1), F.lit(25)), lambda i: F.array(i.cast("string"), F.col("lang")))
+    rows = F.slice(rows, 1, (F.col("doc_id") % 25).cast("int"))
+    blocks = F.array(block(F.when(F.col("doc_id") % 5 != 0, "sh"), source), block(F.lit(None).cast("string"), lang), block(F.lit("x"), lang))
+    hits = ranking.ranked(table(spark, sf, "documents"), "doc_id", "doc_id", name="position").select(
+        "doc_id", "position", F.when(F.col("doc_id") % 3 == 0, "").otherwise(lang).alias("heading_path"), F.when(F.col("doc_id") % 2 == 0, source).alias("page_title"), source.alias("page_url"),
+        F.col("text").alias("description"), blocks.alias("code_blocks"), F.array(F.struct(F.array(F.lit("a"), F.lit("b")).alias("headers"), rows.alias("rows"))).alias("tables"),
+        ((F.col("doc_id") % 1000) / 1000).alias("score"), lang.alias("source"),
+    )
+    # the position says which document it is
+    return rendered(hits).join(hits.select("position", "doc_id"), "position").select("doc_id", "text")
 
 
 # ---- crawling and storing
 
+LINKED = "https://h.example/docs/"
+
+
+def linked_site(spark, sf, links: bool = True) -> DataFrame:
+    """``url, html``: a site whose page i links to the pages 2i + 1 and 2i + 2, page 0 at its root."""
+    href = lambda i: F.when(i == 0, LINKED).otherwise(F.concat(F.lit(LINKED + "p"), i.cast("string"), F.lit("/")))
+    i = F.col("page_id")
+    anchors = F.concat(F.lit('<a href="/docs/p'), (i * 2 + 1).cast("string"), F.lit('#top">next</a><a href="'), href(i * 2 + 2), F.lit('">more</a>')) if links else F.lit("")
+    body = F.lit("<main><h1>Page</h1><p>Some words that are long enough, with commas, to count as the content of a page.</p></main>")
+    return table(spark, sf, "pages").select(href(i).alias("url"), F.concat(F.lit("<html><body><nav>"), anchors, F.lit("</nav>"), body, F.lit("</body></html>")).alias("html"))
+
+
 EDGES = "e AS (SELECT page_id AS src, page_id * 2 + 1 AS dst FROM pages UNION SELECT page_id, page_id * 2 + 2 FROM pages)"
+REACHED = f"{EDGES}, r AS (SELECT 0::BIGINT AS i, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.i JOIN pages p ON p.page_id = e.dst WHERE r.depth < 5)"
 
 
-@query("crawl_bfs_depth", f"""
+@query("crawl_bfs_depth", f"WITH RECURSIVE {REACHED} SELECT CASE WHEN i = 0 THEN '{LINKED}' ELSE '{LINKED}p' || i || '/' END AS url, min(depth)::INT AS depth FROM r GROUP BY i")
+def crawl_bfs_depth(spark, sf):
+    found = crawling.crawl(spark, table_source(linked_site(spark, sf)), crawling.CrawlOptions(LINKED, max_depth=5, max_pages=20_000))
+    return found.pages.select("url", "depth")
+
+
+@query("reachable_depth", f"""
     WITH RECURSIVE {EDGES}, r AS (SELECT 0::BIGINT AS url, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 5)
     SELECT url, min(depth)::INT AS depth FROM r GROUP BY url
 """)
-def crawl_bfs_depth(spark, sf):
+def reachable_depth(spark, sf):
     from ..sources.shared import cut
 
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("src"))
@@ -507,6 +580,21 @@ def crawl_bfs_depth(spark, sf):
     return crawling.reachable(edges, spark.range(1).select(F.col("id").alias("url")), 5, cut)
 
 
+@query("crawl_warnings", f"""
+    WITH RECURSIVE {REACHED} SELECT 'linked' AS site, count(DISTINCT i) AS pages, 0 AS warnings, '' AS warning FROM r
+    UNION ALL SELECT 'shell', count(*), 1, '{crawling.SHELL}' FROM pages WHERE page_id = 0
+    UNION ALL SELECT 'nowhere', 0, 1, '{crawling.NO_PAGES.format(n=1).replace("'", "''")}'
+""")
+def crawl_warnings(spark, sf):
+    """What three crawls say: of a site whose pages link to others, of one whose pages don't, of one that isn't there."""
+    runs = [("linked", LINKED, True), ("shell", LINKED, False), ("nowhere", "https://nowhere.example/", True)]
+    rows = []
+    for name, base, links in runs:
+        found = crawling.crawl(spark, table_source(linked_site(spark, sf, links)), crawling.CrawlOptions(base, max_depth=5, max_pages=20_000))
+        rows.append((name, found.pages.count(), len(found.warnings), "; ".join(found.warnings)))
+    return spark.createDataFrame(rows, "site string, pages long, warnings int, warning string")
+
+
 OLD = "o AS (SELECT doc_id AS page_id, lang, 'u' || doc_id AS url, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 0)"
 
 
@@ -617,27 +705,61 @@ def kv_latest(spark, sf):
     return store.latest_values(table(spark, sf, "events"), "event_type", "value", F.desc("ts"), F.desc("event_id"))
 
 
-@query("list_sites", f"WITH {URLS} SELECT host AS name, count(*) AS page_count, min(page_id) AS first_page FROM u GROUP BY host")
+@query("put_meta", """
+    WITH m AS (SELECT event_type AS key, count(*)::VARCHAR AS value FROM events GROUP BY event_type)
+    SELECT key, value FROM m WHERE key NOT IN ('click', 'dim') UNION ALL VALUES ('click', 'new'), ('dim', '64')
+""")
+def put_meta(spark, sf):
+    held = table(spark, sf, "events").groupBy(F.col("event_type").alias("key")).agg(F.count(F.lit(1)).cast("string").alias("value"))
+    return store.put_meta(store.put_meta(held, {"click": "old"}), {"click": "new", "dim": "64"})
+
+
+def _sites(spark, sf) -> DataFrame:
+    """A site for each language, with the id of its first document."""
+    found = table(spark, sf, "documents").groupBy("lang").agg(F.min("doc_id").alias("site_id"))
+    return found.select("site_id", F.col("lang").alias("name"), F.concat(F.lit("https://"), "lang", F.lit(".example/")).alias("base_url"), F.lit(0).alias("created_at"), F.lit(None).cast("int").alias("last_crawled_at"))
+
+
+def _site_tables(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sites = _sites(spark, sf)
+    pages = table(spark, sf, "documents").join(sites.select("site_id", F.col("name").alias("lang")), "lang").select("site_id", F.col("doc_id").alias("page_id"))
+    return sites, pages, _chunks(spark, sf)
+
+
+SITE_COUNTS = f"{CHUNKS}, s AS (SELECT lang AS name, min(doc_id) AS site_id, count(*) AS page_count FROM documents GROUP BY lang), k AS (SELECT site AS name, count(*) AS chunk_count FROM c GROUP BY site)"
+
+
+@query("list_sites", f"WITH {SITE_COUNTS} SELECT site_id, name, 'https://' || name || '.example/' AS base_url, page_count, site_id = 1 AS indexing FROM s")
 def list_sites(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", urls.host_of(F.col("url")).alias("name"))
-    return pages.groupBy("name").agg(F.count(F.lit(1)).alias("page_count"), F.min("page_id").alias("first_page"))
+    return listed_sites(*_site_tables(spark, sf), running=[1]).select("site_id", "name", "base_url", "page_count", "indexing")
 
 
-@query("crawl_warnings", f"""
-    WITH {URLS}, l AS (SELECT page_id, len(regexp_extract_all(html, '{LINK}', 1)) AS n FROM pages), s AS (SELECT host, count(*) AS pages, sum(n) AS links FROM u JOIN l USING (page_id) GROUP BY host)
-    SELECT host AS name, (pages = 0)::INT + (links = 0 AND pages <= 1)::INT AS warnings FROM s
+@query("index_status", f"""
+    WITH {SITE_COUNTS} SELECT site_id, name, page_count, chunk_count, CASE WHEN site_id = 1 THEN 'indexing' WHEN site_id IN (2, 5) THEN 'failed' ELSE 'idle' END AS status,
+        CASE WHEN site_id IN (1, 2, 5) THEN 'down' END AS error FROM s JOIN k USING (name)
 """)
-def crawl_warnings(spark, sf):
-    links = F.size(text.html_links(F.col("html")))
-    sites = table(spark, sf, "pages").groupBy(urls.host_of(F.col("url")).alias("name")).agg(F.count(F.lit(1)).alias("pages"), F.sum(links).alias("links"))
-    found = F.array_compact(F.array(F.when(F.col("pages") == 0, "no pages"), F.when((F.col("links") == 0) & (F.col("pages") <= 1), "shell")))
-    return sites.select("name", F.size(found).alias("warnings"))
+def index_status(spark, sf):
+    found = status_of(*_site_tables(spark, sf), running=[1], errors={1: "down", 2: "down", 5: "down"})
+    return found.select("site_id", "name", "page_count", "chunk_count", "status", "error")
 
 
-@query("index_status", "SELECT lang AS site, count(*) AS page_count, CASE WHEN count(*) % 2 = 0 THEN 'idle' ELSE 'indexing' END AS status, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY lang")
-def index_status(spark, sf):
-    found = table(spark, sf, "documents").groupBy(F.col("lang").alias("site")).agg(F.count(F.lit(1)).alias("page_count"), F.sum(text.utf8_size(F.col("text"))).alias("bytes"))
-    return found.withColumn("status", F.when(F.col("page_count") % 2 == 0, "idle").otherwise("indexing"))
+@query("hit_pages", bm25_sql([tf("tion")], "tf0 > 0", tail=")", columns="*", more=", h AS (SELECT source FROM sc ORDER BY bm25, chunk_id LIMIT 50), z AS (").replace("SELECT * FROM sc )", "SELECT 1) SELECT count(*) AS hits, count(DISTINCT source) AS pages FROM h"))
+def hits_on_pages(spark, sf):
+    return hit_pages(ranking.bm25_top(fts.match(text_index(spark, sf), "tion"), 50).join(docs(spark, sf), "chunk_id"))
+
+
+@query("iso_times", "SELECT event_id, strftime(to_timestamp(event_id * 1234567 / 1000.0) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.') || lpad((event_id * 1234567 % 1000)::VARCHAR, 3, '0') || 'Z' AS iso FROM events")
+def iso_times(spark, sf):
+    return table(spark, sf, "events").select("event_id", text.iso_time(F.col("event_id") * 1_234_567).alias("iso"))
+
+
+@query("mean_regressions", """
+    WITH a AS (SELECT event_type AS name, min(value) AS before FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS name, min(value) AS after FROM events WHERE event_id % 2 = 1 GROUP BY 1)
+    SELECT name, before, after, CASE WHEN before > 0 THEN round(after / before, 6) END AS ratio, coalesce(before > 0 AND after / before > 1.2, false) AS failed FROM a JOIN b USING (name)
+""")
+def mean_regressions(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("name"), F.col("value").alias("mean"), (F.col("event_id") % 2).alias("half"))
+    return compare.regressions(rows.where("half = 0"), rows.where("half = 1")).withColumn("ratio", r6("ratio"))
 
 
 @query("crawl_options_json", "SELECT event_id, CASE WHEN json_valid(j) THEN (j->>'maxDepth')::INT END AS max_depth, CASE WHEN json_valid(j) THEN j->>'$.includePatterns[0]' END AS include FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '{broken' ELSE '{\"maxDepth\":' || event_id % 9 || ',\"includePatterns\":[\"/' || event_type || '/**\"]}' END AS j FROM events)")

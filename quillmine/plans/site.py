@@ -82,10 +82,6 @@ def iso(when: datetime.datetime | None) -> str:
     return "never" if when is None else when.isoformat(timespec="milliseconds")
 
 
-def site_status(running: bool, error: str | None) -> str:
-    return INDEXING if running else FAILED if error else IDLE
-
-
 class Library:
     """A collection with its page source and, if there is one, its embedder.
 
@@ -307,17 +303,12 @@ class Library:
         return listed_sites(tables["sites"], tables["pages"], tables["chunks"], list(self.running))
 
     def index_status(self, site_id: int) -> dict:
-        row = self.site(site_id)
+        self.site(site_id)
         tables = self._own(site_id)[0]
-        counts = site_counts(tables["sites"].where(F.col("site_id") == site_id), tables["pages"], tables["chunks"]).first()
-        task = self.running.get(site_id) or self.last.get(site_id)
-        error = task and task.report.error
-        running = site_id in self.running
-        return {
-            "site_id": site_id, "name": row["name"], "base_url": row["base_url"], "status": site_status(running, error),
-            "started_at": task.report.started_at if running else None, "page_count": counts["page_count"], "chunk_count": counts["chunk_count"],
-            "last_crawled_at": row["last_crawled_at"], "error": error, "warnings": list(task.report.warnings) if task else [],
-        }
+        task, running = self.running.get(site_id) or self.last.get(site_id), site_id in self.running
+        errors = {site_id: task.report.error} if task and task.report.error else {}
+        row = status_of(tables["sites"].where(F.col("site_id") == site_id), tables["pages"], tables["chunks"], [site_id] if running else [], errors).first()
+        return {**row.asDict(), "started_at": task.report.started_at if running else None, "warnings": list(task.report.warnings) if task else []}
 
     def get_doc(self, url: str, max_chars: int | None = None, persist: bool = False, robots_txt: str | None = None) -> dict:
         """A page's Markdown: stored, remembered, or fetched (if the robots.txt of its origin allows) and,
@@ -387,6 +378,18 @@ class Library:
         return site_guard(tables["sites"], tables["pages"], site_id, site_id in self.running)
 
 
+def status_of(sites: DataFrame, pages: DataFrame, chunks: DataFrame, running: list[int], errors: dict[int, str]) -> DataFrame:
+    """``site_id, name, base_url, status, page_count, chunk_count, last_crawled_at, error``: indexing while it
+    is being crawled, failed if its last crawl ended in an error, else idle."""
+    failed = F.lit(None).cast("string")
+    for site_id, error in errors.items():
+        failed = F.when(F.col("site_id") == site_id, error).otherwise(failed)
+    indexing = F.col("site_id").isin(running) if running else F.lit(False)
+    state = F.when(indexing, INDEXING).when(F.col("error").isNotNull(), FAILED).otherwise(IDLE)
+    counted = site_counts(sites, pages, chunks).withColumn("error", failed)
+    return counted.select("site_id", "name", "base_url", state.alias("status"), "page_count", "chunk_count", "last_crawled_at", "error")
+
+
 def _first(embed: Embedder, query: str) -> list[float]:
     return embed([query])[0]
 
