@@ -264,7 +264,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         first["shard"].alias(shard_at), first["turn"].alias(turn_at), F.floor((first["turn"].cast("double") / 2.0**64 + 0.5) * groups).alias(group_at),
     )
     out = marked.join(parts, (named(id_col) == F.col(key)) & (F.col(mark) == F.col(own_mark)))
-    out = out.dropDuplicates([key, pass_at])
+    out = out.dropDuplicates([key, own_mark, pass_at])  # equal rows; they lie together after the join
     text = f"`{text_col}`"
     words_in = f"regexp_extract_all({text}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"
     cut_text = f"array_join(flatten(transform(`{parts_at}`, p -> slice({words_in}, cast(p.start + 1 as int), cast(p.words as int)))), ' ')"
