@@ -21,8 +21,8 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one packing task takes on average.
 TASK_PIECES = 20_000
-#: Units whose ids a worker remembers.
-WORD_CACHE = 100_000
+#: Units whose ids a worker remembers: so many of late, and as many from before that.
+WORD_CACHE = 150_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -62,8 +62,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
-        self.units: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.units: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.cache = cache
         self.letters = _byte_letters()
 
@@ -75,16 +75,20 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         return struct_ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
-    def _all(self, parts: list[str], known: dict[str, bytes], find) -> bytes:
-        new = set(parts).difference(known)
-        if new:
-            if len(known) + len(new) > self.cache:
-                keep = {w: known[w] for w in set(parts).difference(new)}
-                known.clear()
-                known.update(keep)
-            for w in new:
-                known[w] = find(w)
-        return b"".join(map(known.__getitem__, parts))
+    def _all(self, parts: list[str], known: tuple[dict[str, bytes], dict[str, bytes]], find) -> bytes:
+        """Ids of the parts. When the newer memory is full it becomes the older one; what is used again
+        comes back from there, so common units are never forgotten."""
+        new, old = known
+        missing = set(parts).difference(new)
+        if missing:
+            if len(new) + len(missing) > self.cache:
+                old.clear()
+                old.update(new)
+                new.clear()
+                missing = set(parts)
+            for w in missing:
+                new[w] = old.get(w) or find(w)
+        return b"".join(map(new.__getitem__, parts))
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids."""
