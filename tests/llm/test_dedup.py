@@ -230,7 +230,7 @@ def test_signatures_hold_for_their_subsequences():
         m = text == i
         starts = sorted(s for a, b in zip(first[m], last[m]) for s in range(a, b + 1))
         n = max(0, bounds[i + 1] - bounds[i] - 4 - 45)
-        assert starts == sorted(list(range(n)) * substring_dedup.BANDS)  # each subsequence once in each band
+        assert starts == sorted(list(range(n)) * substring_dedup.FUNCTIONS)  # each subsequence once under each function
 
 
 def test_word_hashes_depend_on_the_words_alone():
@@ -317,7 +317,7 @@ def test_passages_of_fifty_words_are_always_found(spark):
 
 
 def test_places_of_a_key_with_other_words_are_kept(spark):
-    """A phrase that holds both minima and recurs among different items has places of its own."""
+    """A phrase that holds the minimum and recurs among different items has places of its own."""
     rng = random.Random(21)
     hashes = substring_dedup.WordHashes()
     for _ in range(400):
@@ -330,7 +330,7 @@ def test_places_of_a_key_with_other_words_are_kept(spark):
             break
     every = b"\xff" * 1024
     df = spark.createDataFrame([(1, bytearray(text)), (2, bytearray(b"same words again " * 200))], "doc long, text binary")
-    got = rows(substring_dedup.signature_rows(df, among=every))
+    got = rows(substring_dedup.signature_rows(df, among=every, thin=False))
     assert {(r["key"], r["place"]) for r in got if r["doc"] == 1} == want
     assert sum(r["doc"] == 2 for r in got) < 200  # of equal places one in each span
 
@@ -358,6 +358,99 @@ def test_near_passages_around_a_common_phrase_are_linked(spark):
     assert found <= {(i + n, i) for i in range(n)} and len(found) >= 0.95 * n
 
 
+def window_sets(words, span=substring_dedup.SPAN, size=substring_dedup.SHINGLE):
+    """The sets of shingles of all windows."""
+    low = [w.lower() for w in words]
+    shingles = [tuple(low[i : i + size]) for i in range(len(low) - size + 1)]
+    return shingles, [set(shingles[i : i + span]) for i in range(len(shingles) - span + 1)]
+
+
+def best_of_windows(mine, theirs):
+    """For each window of ``mine`` (sets) the best similarity to one of ``theirs`` (shingles, sets)."""
+    shingles, sets = theirs
+    out = []
+    for a in mine:
+        inside = np.concatenate([[0], np.cumsum([x in a for x in shingles])])
+        shared = inside[substring_dedup.SPAN :] - inside[: -substring_dedup.SPAN] if len(inside) > substring_dedup.SPAN else []
+        out.append(max((len(a & sets[t]) / len(a | sets[t]) for t in np.flatnonzero(np.asarray(shared) >= 0.7 * len(a))), default=0.0))
+    return out
+
+
+def caught(passages, start, wide=50, share=0.8):
+    """Whether the words of a window lie in passages, this share of them or more."""
+    held = set()
+    for r in passages:
+        held.update(range(max(start, r["start"]), min(start + wide, r["end"])))
+    return len(held) >= share * wide
+
+
+def test_passages_against_all_pairs(spark):
+    """Of the documents whose id is divisible by 20, all windows against all of earlier documents."""
+    docs = {r["doc_id"]: (r["text"] or "").split() for r in rows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))}
+    got = {}
+    for r in rows(substring_dedup.repeated_passages(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))):
+        got.setdefault(r["doc_id"], []).append(r)
+    holders, sets = {}, {}
+    for i, words in docs.items():
+        sets[i] = window_sets(words)
+        for x in set(sets[i][0]):
+            holders.setdefault(x, []).append(i)
+    counts = {b: [0, 0] for b in (0.8, 0.85, 0.9, 0.95, 1.0)}
+    wrong = clean = 0
+    for i in sorted(d for d in docs if d % 20 == 0):
+        met = {}
+        for x in set(sets[i][0]):
+            for j in holders[x]:
+                met[j] = met.get(j, 0) + 1
+        near = [j for j, n in met.items() if j < i and n >= 20]
+        best = [max(x) for x in zip(*(best_of_windows(sets[i][1], sets[j]) for j in near))] if near else [0.0] * len(sets[i][1])
+        for start, s in enumerate(best):
+            bucket = max((b for b in counts if b <= s + 1e-9), default=None)
+            if bucket:
+                counts[bucket][0] += caught(got.get(i, []), start)
+                counts[bucket][1] += 1
+        clean += max(best, default=0) < 0.8
+        wrong += max(best, default=0) < 0.8 and i in got
+    print("caught of", counts, "clean documents", clean, "with a passage", wrong)
+    assert sum(n for _, n in counts.values()) > 100 and not wrong
+    assert all(c >= 0.9 * n for c, n in counts.values() if n >= 20), counts
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(out))
+        kind = rng.random()
+        if kind < 0.6:
+            out[at] = f"new{rng.randrange(10**6)}"
+        elif kind < 0.8:
+            out.insert(at, f"new{rng.randrange(10**6)}")
+        else:
+            del out[at]
+    return out
+
+
+def test_recall_by_similarity(spark):
+    """Passages of 50 words, edited once or twice, in documents of other words."""
+    rng, docs, truth, n = random.Random(31), [], {}, 700
+    for i in range(n):
+        passage = text_of(rng, 50)
+        near = edited(rng, passage, 1 + i % 2)
+        docs += [(i, text_of(rng, 60) + passage + text_of(rng, 60)), (n + i, text_of(rng, 70) + near + text_of(rng, 50))]
+        truth[n + i] = max(best_of_windows(window_sets(docs[-1][1])[1], window_sets(docs[-2][1])))
+    got = {(r["doc_id"], r["rep_id"]) for r in rows(substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")))}
+    counts = {}
+    for i, s in truth.items():
+        if s >= 0.8:
+            b = min(0.95, int(s * 20) / 20)
+            c = counts.setdefault(b, [0, 0])
+            c[0] += (i, i - n) in got
+            c[1] += 1
+    print({b: (c, n, round(c / n, 3)) for b, (c, n) in sorted(counts.items())})
+    assert got <= {(i, i - n) for i in truth if truth[i] >= 0.8}
+    assert counts[0.8][1] > 50 and all(c >= 0.9 * n for c, n in counts.values()), counts
+
+
 def test_repeated_passages_odd(odd, none):
     got = rows(substring_dedup.repeated_passages(odd))
     assert got == [] and substring_dedup.repeated_passages(none).count() == 0
