@@ -147,8 +147,9 @@ def search_batch(index: TextIndex, queries: DataFrame, top_k: int) -> DataFrame:
     """Keyword search for many queries at once: ``query_id, chunk_id, bm25, rank``.
 
     ``queries(query_id, terms)``: each wants all of its distinct terms (any column). One plan for
-    all of them: term statistics, one join of the queries' terms with the postings, one aggregation
-    by query and chunk, the best ``top_k`` of each.
+    all of them. A query's rarest term gives its candidates; its other terms' postings are only
+    joined where there is a candidate, so a term that most chunks have costs what the rarest ones
+    beside it let through. Then one aggregation by query and chunk, the best ``top_k`` of each.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     wanted = queries.select("query_id", F.size(F.array_distinct("terms")).alias("wanted"))
@@ -158,9 +159,14 @@ def search_batch(index: TextIndex, queries: DataFrame, top_k: int) -> DataFrame:
     df = per_row.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weights = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.when(idf <= 0, F.lit(fts.IDF_FLOOR)).otherwise(idf))
+    ordered = ranked(terms.join(weights, "term"), "n", "term", per=("query_id",))
+    rarest = ordered.where("rank = 1").join(per_row, "term")
+    # of a candidate: all of its query's terms that its chunk has
+    others = rarest.select("query_id", "chunk_id").join(ordered.where("rank > 1"), "query_id").join(per_row, ["term", "chunk_id"])
+    columns = ("query_id", "chunk_id", "idf", "tf", "avgdl")
+    met = rarest.select(*columns).unionByName(others.select(*columns)).join(index.lengths, "chunk_id")
     length = fts.K1 * (1 - fts.B + fts.B * F.col("length") / F.col("avgdl"))
-    scored = per_row.join(weights, "term").join(index.lengths, "chunk_id")
-    scored = scored.select("term", "chunk_id", (F.col("idf") * F.col("tf") * (fts.K1 + 1) / (F.col("tf") + length)).alias("part"))
-    hits = scored.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("n"))
+    scored = met.select("query_id", "chunk_id", (F.col("idf") * F.col("tf") * (fts.K1 + 1) / (F.col("tf") + length)).alias("part"))
+    hits = scored.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("n"))
     hits = hits.join(wanted, "query_id").where("n = wanted").select("query_id", "chunk_id", (-F.col("score")).alias("bm25"))
     return ranked(hits, "bm25", "chunk_id", per=("query_id",)).where(F.col("rank") <= top_k)
