@@ -12,9 +12,9 @@ def odd(spark):
         (8, "line one\nline one\n\nline two\n", "en", "c", 28),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    for clash in ("hash", "norm", "fp", "node", "key", "size", "words", "kept", "id", "label", "rep", "doc", "place", "order", "bucket", "n_lines", "__x"):
+    for clash in ("hash", "norm", "fp", "node", "key", "size", "words", "kept", "id", "label", "rep", "doc", "place", "order", "bucket", "n_lines", "kept_id", "found", "cleaned", "row", "gone", "mix_id", "mix_pass", "spread", "part", "__x"):
         df = df.selectExpr("*", f"'x' as {clash}")
-    return df
+    return df.selectExpr("*", "'x' as `a.b`")
 
 
 @pytest.fixture

@@ -70,6 +70,13 @@ def test_language_accuracy(spark, small):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_of_a_long_text():
+    net = language_id.LanguageNet(["a", "b", "c", "d"])
+    began = time.perf_counter()
+    p = net.predict([b"some words of a long text " * 100_000, b"x"])
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-3) and time.perf_counter() - began < 60
+
+
 def test_language_odd(odd, none):
     got = rows(language_id.identify(odd))
     assert len(got) == 10 and all(r["lang_pred"] == "und" and r["score"] == 0 for r in got if r["doc_id"] in (1, 2, 3))
@@ -398,6 +405,13 @@ def test_mixing_meets_targets_exactly(spark, small, block):
     assert sorted(map(str, got)) == sorted(map(str, rows(mixing.mix(docs, block_words=block, shard_blocks=50))))
 
 
+def test_mixing_of_a_long_text(spark):
+    df = spark.createDataFrame([(1, "word " * 1_000_000, "a", 5_000_000), (2, "few words", "b", 9)], "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in rows(mixing.mix(df))}
+    assert got[1]["taken"] == round(got[1]["target"]) and len(got[1]["pieces"]) < 600
+    assert sum(len(WORD.findall(r["text"])) for r in rows(mixing.mixed_documents(df))) == sum(r["taken"] for r in got.values())
+
+
 def test_mixing_odd(odd, none):
     got = rows(mixing.mix(odd))
     assert len(got) == 10 and all(r["taken"] == 0 and r["size"] == 0 for r in got if r["doc_id"] in (1, 2, 3))
