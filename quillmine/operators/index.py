@@ -7,9 +7,13 @@ its chunks, and derives them anew for changed pages alone.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,23 +91,33 @@ def tokenise(chunks: DataFrame, tokenizer: str = "native") -> DataFrame:
     return chunks.select("chunk_id", F.explode(F.array(*columns)).alias("x")).select("chunk_id", "x.col", "x.tokens")
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``chunk_id, col, term, positions`` from rows of ``chunk_id, col, tokens``, whole batches at a time:
+    tokens as numbers of a dictionary, sorted by row and number, cut where either changes."""
+    for batch in batches:
+        ids, cols, tokens = batch.columns
+        coded = pc.dictionary_encode(tokens.flatten())
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        number = row * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(number, kind="stable")
+        begins = np.flatnonzero(np.diff(number[order], prepend=-1))
+        first = pa.array(order[begins])
+        positions = pa.ListArray.from_arrays(pa.array(np.append(begins, len(order)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+        rows = pa.array(row[order[begins]])
+        terms = coded.dictionary.take(coded.indices.take(first))
+        yield pa.RecordBatch.from_arrays([ids.take(rows), cols.take(rows), terms, positions], names=["chunk_id", "col", "term", "positions"])
+
+
 def postings(chunks: DataFrame, tokenizer: str = "native") -> DataFrame:
     """``chunk_id, col, term, positions`` with ascending 0-based positions.
 
-    All tokens of a chunk lie in one row, so they are grouped there and nothing is shuffled: sorted
-    by term and position, cut where a term begins.
+    All tokens of a chunk lie in one row, so they are grouped where they lie, in Arrow batches:
+    nothing is shuffled and no row is looked at by itself.
     """
-    pairs = F.sort_array(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
-    rows = tokenise(chunks, tokenizer).where(F.size("tokens") > 0).select("chunk_id", "col", pairs.alias("pairs"))
-    begins = F.filter(F.sequence(F.lit(0), F.size("pairs") - 1), lambda i: (i == 0) | (F.col("pairs")[i]["term"] != F.col("pairs")[i - 1]["term"]))
-    rows = rows.select("chunk_id", "col", "pairs", begins.alias("begins"))
-
-    def run(at: Column, k: Column) -> Column:
-        end = F.coalesce(F.get("begins", k + 1), F.size("pairs"))
-        held = F.transform(F.slice("pairs", at + 1, end - at), lambda x: x["pos"])
-        return F.struct(F.col("pairs")[at]["term"].alias("term"), held.alias("positions"))
-
-    return rows.select("chunk_id", "col", F.explode(F.transform("begins", run)).alias("x")).select("chunk_id", "col", "x.term", "x.positions")
+    rows = tokenise(chunks, tokenizer).select(F.col("chunk_id").cast("long").alias("chunk_id"), "col", "tokens")
+    return rows.mapInArrow(_grouped, POSTINGS_SCHEMA)
 
 
 def lengths(chunks: DataFrame, tokenizer: str = "native") -> DataFrame:
@@ -134,8 +148,8 @@ def term_frequencies(postings_: DataFrame, columns: int = len(COLUMNS)) -> DataF
 class TextIndex:
     """Postings, lengths and tokenizer of one chunk table; written and read as Parquet.
 
-    Written postings are sorted by term within files that are dealt by term, so that the term
-    filter of a query prunes files' row groups by their statistics.
+    Written postings are sorted by term within files that are dealt by a hash of the term, so that the
+    term filter of a query prunes files' row groups by their statistics.
     """
 
     def __init__(self, postings_: DataFrame, lengths_: DataFrame, tokenizer: str = "native"):
@@ -146,7 +160,7 @@ class TextIndex:
         return cls(postings(chunks, tokenizer), lengths(chunks, tokenizer), tokenizer)
 
     def write(self, folder: str) -> None:
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/postings")
+        self.postings.repartition("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
 
     @classmethod
