@@ -366,7 +366,7 @@ SLASHED = r"CASE WHEN path = '/' OR ends_with(path, '/') OR regexp_matches(path,
 
 @query("url_normalize_base", f"WITH {URLS} SELECT page_id, scheme || '://' || host || {SLASHED} || {QUERY_TAIL} AS url FROM n")
 def url_normalize_base(spark, sf):
-    return table(spark, sf, "pages").select("page_id", urls.normalized(F.col("url"), BASE).alias("url"))
+    return table(spark, sf, "pages").select("page_id", urls.native_normalized(F.col("url"), BASE).alias("url"))
 
 
 FIRST = "f AS (SELECT scheme AS s0, host AS h0, path AS p0 FROM n ORDER BY page_id LIMIT 1)"
