@@ -19,6 +19,8 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker holds as objects at a time; a longer text goes alone.
 SLICE = 1 << 20
+#: Edges that a file of a round of components holds, and files at least (unless there are fewer partitions).
+EDGES, LEAST_PARTS = 250_000, 8
 #: Bytes of an Arrow batch between Spark and its Python workers.
 ARROW_BATCH = "4m"
 
@@ -130,7 +132,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds until the edge set stands still. A round keeps
     at most as many edges as it had, a hub's edges are only joined (adaptive execution splits a
-    hot key) or reduced by a map-side combined minimum, and every round is checkpointed.
+    hot key) or reduced by a map-side combined minimum, and every round is checkpointed, in files of
+    ``EDGES`` rows or so where there are fewer edges than partitions are meant for.
     Self loops and repeated edges are allowed; vertices without edges don't appear.
     """
     edges = cut(
@@ -146,7 +149,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = joined.select("a", F.col("low").alias("b")).union(
             joined.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         )
-        edges = cut(small.distinct())
+        edges = cut(small.distinct().coalesce(max(LEAST_PARTS, -(-seen[0] // EDGES))))
         now = _fingerprint(edges)
         if now == seen:
             break
