@@ -270,8 +270,14 @@ def test_repeated_passages(spark):
     assert min(x[0] for x in pairs[12, 11]) == 33 and max(x[1] for x in pairs[12, 11]) == 153
 
 
-def test_a_group_with_two_passages_elects_again(spark):
-    """Signatures that collide with another passage's first occurrence still find their own."""
+def verified(mine, theirs, start, lows, highs):
+    """Passages, and which claims hold none."""
+    scores = substring_dedup.similarities(mine, theirs, start, lows, highs)
+    held = [bool(scores[a - start : b - start + 1].any()) if a <= b else False for a, b in zip(lows.tolist(), highs.tolist())]
+    return substring_dedup.passages_of(scores, mine, theirs, start, 50), [not x for x in held]
+
+
+def test_claims_and_verification():
     rng = random.Random(1)
     a, b = text_of(rng, 60), text_of(rng, 60)
     words, bounds = substring_dedup.WordHashes()([" ".join(a).encode(), " ".join(b).encode()])
@@ -280,10 +286,8 @@ def test_a_group_with_two_passages_elects_again(spark):
     assert [x.tolist() for x in substring_dedup.unpack_place(place)] == [c.tolist(), f.tolist(), e.tolist()]
     packed = substring_dedup.unpack_claims(substring_dedup.pack_claims(key, place, f.astype(np.int64), e.astype(np.int64)))
     assert [x.tolist() for x in packed] == [key.tolist(), place.tolist(), f.tolist(), e.tolist()]
-    found, failed = substring_dedup.verify(words[:60].astype(np.uint32), words[60:].astype(np.uint32), 0, np.array([0]), np.array([10]))
-    assert found == [] and failed.tolist() == [True]
-    found, failed = substring_dedup.verify(words[:60].astype(np.uint32), words[:60].astype(np.uint32), 0, np.array([0, 5]), np.array([10, 4]))
-    assert found == [(0, 60, 1.0)] and failed.tolist() == [False, True]
+    assert verified(words[:60].astype(np.uint32), words[60:].astype(np.uint32), 0, np.array([0]), np.array([10])) == ([], [True])
+    assert verified(words[:60].astype(np.uint32), words[:60].astype(np.uint32), 0, np.array([0, 5]), np.array([10, 4])) == ([(0, 60, 1.0)], [False, True])
 
 
 def test_a_passage_between_the_ends_of_a_place_is_verified():
@@ -291,8 +295,8 @@ def test_a_passage_between_the_ends_of_a_place_is_verified():
     passage = text_of(rng, 50)
     mine, theirs = (" ".join(text_of(rng, 10) + passage + text_of(rng, 10)).encode() for _ in range(2))
     words, _ = substring_dedup.WordHashes()([mine, theirs])
-    found, failed = substring_dedup.verify(words[:70], words[70:], 0, np.array([0]), np.array([20]))
-    assert [x[:2] for x in found] == [(10, 60)] and found[0][2] >= 0.8 and failed.tolist() == [False]
+    found, failed = verified(words[:70], words[70:], 0, np.array([0]), np.array([20]))
+    assert [x[:2] for x in found] == [(10, 60)] and found[0][2] >= 0.8 and failed == [False]
 
 
 def test_similarity_of_all_starts_is_jaccard():
@@ -300,9 +304,34 @@ def test_similarity_of_all_starts_is_jaccard():
     a = rng.integers(0, 40, 120).astype(np.uint64)
     b = np.where(rng.random(120) < 0.1, rng.integers(0, 60, 120).astype(np.uint64), a)
     want = np.array([len(x & y) / len(x | y) for x, y in ((set(a[i : i + 30].tolist()), set(b[i : i + 30].tolist())) for i in range(91))])
-    got = substring_dedup.jaccards(a, b, np.arange(91), 30, 0.8)
     assert (want >= 0.8).any() and (want < 0.8).any()
-    assert np.allclose(got[want >= 0.8], want[want >= 0.8]) and (got[want < 0.8] < 0.8).all()
+    assert np.allclose(substring_dedup.jaccards(a, b, np.arange(91), 30), want)
+
+
+def test_many_runs_at_once_are_each_run_alone():
+    """Scores of runs that lie one after another, against sets of shingles of each run."""
+    rng = random.Random(17)
+    hashes, runs = substring_dedup.WordHashes(), []
+    for i in range(60):
+        mine = [rng.choice("abcdefgh") + str(rng.randrange(3 if i % 5 == 0 else 400)) for _ in range(rng.choice([0, 20, 50, 51, 90]))]
+        theirs = edited(rng, mine, rng.randint(0, 2))[: len(mine)] if mine and i % 3 else [rng.choice(mine or "x") for _ in mine]
+        theirs += ["pad"] * (len(mine) - len(theirs))
+        low = rng.randint(0, max(0, len(mine) - 50))
+        runs.append((mine, theirs, low, rng.randint(low - 1, max(low, len(mine) - 50))))
+    words = lambda x: hashes([" ".join(x).encode()])[0].astype(np.uint32) if x else np.empty(0, np.uint32)
+    sizes = np.array([len(m) for m, *_ in runs])
+    begin = np.cumsum(sizes) - sizes
+    got = substring_dedup.run_scores(
+        np.concatenate([words(m) for m, *_ in runs]), np.concatenate([words(t) for _, t, *_ in runs]), begin, sizes, np.array([a for *_, a, _ in runs]), np.array([b for *_, b in runs]), np.arange(len(runs))
+    )
+    some = 0
+    for (mine, theirs, low, high), at, n in zip(runs, begin, sizes):
+        a, b = window_sets(mine)[1], window_sets(theirs)[1]
+        for start in range(n):
+            j = len(a[start] & b[start]) / len(a[start] | b[start]) if low <= start <= high and start < len(a) else 0.0
+            assert got[at + start] == pytest.approx(j if j >= 0.8 else 0.0)
+            some += 0.8 <= j < 1
+    assert some > 5
 
 
 def test_passages_of_fifty_words_are_always_found(spark):
@@ -337,11 +366,17 @@ def test_places_of_a_key_with_other_words_are_kept(spark):
 
 def test_what_is_not_verified_is_carried_on():
     keys, places = np.array([7, 8]), substring_dedup.pack_place(np.array([20, 40]), np.array([5, 38]), np.array([20, 39]))
-    scores = np.zeros(10)
-    scores[2:5] = 0.9  # starts 12 to 14
-    key, place = substring_dedup.left_over(keys, places, scores, 10)
-    centre, first, last = substring_dedup.unpack_place(place)
-    assert list(zip(key, centre, first, last)) == [(7, 20, 5, 11), (7, 20, 15, 20), (8, 40, 38, 39)]
+    work = substring_dedup.Texts([(5, np.arange(200, dtype=np.uint64), [(1, 0, 10, substring_dedup.pack_claims(keys, places, places >> 16, places >> 16), b"")])], 46, 5)
+    work.at, work.sizes, work.scores, work.covered = np.array([0]), np.array([10]), np.zeros(10), np.zeros(201, np.int64)
+    work.scores[2:5] = 0.9  # starts 12 to 14
+
+    def left(evidence):
+        key, place, text = work.left(evidence)
+        return list(zip(key.tolist(), *(x.tolist() for x in substring_dedup.unpack_place(place)), text.tolist()))
+
+    assert left(1) == [(7, 20, 5, 11, 0), (7, 20, 15, 20, 0), (8, 40, 38, 39, 0)] and left(2) == []
+    work.covered = np.minimum(np.maximum(np.arange(201) - 40, 0), 50)  # words 40 to 89 are found
+    assert left(1) == [(7, 20, 5, 11, 0)]  # from 15 on half of the fifty words are
 
 
 def test_near_passages_around_a_common_phrase_are_linked(spark):
