@@ -1,7 +1,9 @@
 """Every registered query of the engine against its SQL, and the entry points."""
 
 import datetime
+import importlib
 import os
+import sys
 
 import duckdb
 import pytest
@@ -49,3 +51,11 @@ def test_query_runs(name, spark, small):
 def test_entry_points(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
     assert entry.entry(spark).columns == ["chunk_id", "bm25"]
+
+
+def test_entry_without_what_the_training_data_needs(monkeypatch):
+    for name in ("quillmine.llm", "quillmine.llm.queries", "corpus_pipeline"):
+        monkeypatch.setitem(sys.modules, name, None)
+    assert set(importlib.reload(entry).queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLE_SQL)
+    monkeypatch.undo()
+    importlib.reload(entry)
