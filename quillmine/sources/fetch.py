@@ -5,11 +5,13 @@ from __future__ import annotations
 import http.client
 import math
 import random
+import threading
 import time
 import urllib.error
 import urllib.request
 import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from email.utils import parsedate_to_datetime
 from functools import partial
@@ -25,6 +27,8 @@ from .sitemap import inflate, is_gzip
 AGENT = "quillmine/1.0"
 TIMEOUT, BODY_BYTES, RETRIES, RETRY_BASE = 20.0, 5 << 20, 3, 0.5
 PER_SECOND = 2.0
+#: Requests under way: of a task, and to one origin.
+AT_ONCE, PER_ORIGIN = 8, 2
 #: What a server's wish to wait counts for at most, in seconds.
 LONGEST_WAIT = 120.0
 #: What a bad connection, answer, encoding or address raises.
@@ -141,32 +145,42 @@ def load_robots(origin: str, get: Callable[[str], Response]) -> tuple[Robots, st
     return parse_robots(text), text
 
 
-def fetch_pages(urls: DataFrame, get: Callable[..., Response] = http_get, per_second: float = PER_SECOND, conditional: bool = True, partitions: int | None = None, **options) -> DataFrame:
+def fetch_pages(urls: DataFrame, get: Callable[..., Response] = http_get, per_second: float = PER_SECOND, conditional: bool = True, partitions: int | None = None, at_once: int = AT_ONCE, per_origin: int = PER_ORIGIN, **options) -> DataFrame:
     """Fetch ``urls(url[, per_second][, etag, last_modified])``: a row of ``FETCHED`` for each.
 
     An origin's URLs lie in one task, which spaces its requests out, so a site sees one client at
-    its rate (a row's own ``per_second``, where it has one) whatever the cluster's size. Failed URLs
-    have a null status and an error; no answer, however broken, ends the task. Rows with an etag or a
+    its rate (a row's own ``per_second``, where it has one) whatever the cluster's size, and
+    ``per_origin`` requests at once; a task has ``at_once`` under way. Failed URLs have a null status and an error; no answer, however broken, ends the task. Rows with an etag or a
     date of their last change ask for the page only if it is another one (``conditional``).
     """
 
+    def answered(r: dict, slot: threading.Semaphore) -> tuple:
+        known = {"etag": r.get("etag"), "modified": r.get("last_modified")} if conditional else {}
+        try:
+            a = fetch(r["url"], get, **known, **options)
+            return r["url"], a.status, a.headers, a.body, a.url or r["url"], a.truncated, None
+        except FAILURES as e:
+            return r["url"], None, None, None, r["url"], False, f"{type(e).__name__}: {e}"
+        finally:
+            slot.release()
+
     def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         next_at: dict[str, float] = {}
-        for batch in batches:
-            rows = []
-            for r in batch.to_dict("records"):
-                wait = next_at.get(r["origin"], 0) - time.monotonic()
-                if wait > 0:
-                    time.sleep(wait)
-                next_at[r["origin"]] = time.monotonic() + 1 / (r.get("per_second") or per_second)
-                known = {"etag": r.get("etag"), "modified": r.get("last_modified")} if conditional else {}
-                try:
-                    a = fetch(r["url"], get, **known, **options)
-                    rows.append((r["url"], a.status, a.headers, a.body, a.url or r["url"], a.truncated, None))
-                except FAILURES as e:
-                    rows.append((r["url"], None, None, None, r["url"], False, f"{type(e).__name__}: {e}"))
-            out = pd.DataFrame(rows, columns=["url", "status", "headers", "body", "final_url", "truncated", "error"])
-            yield out.astype({"status": "Int32"})
+        slots: dict[str, threading.Semaphore] = {}
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                waiting = []
+                for r in batch.to_dict("records"):
+                    slot = slots.setdefault(r["origin"], threading.Semaphore(per_origin))
+                    slot.acquire()
+                    wait = next_at.get(r["origin"], 0) - time.monotonic()
+                    if wait > 0:
+                        time.sleep(wait)
+                    next_at[r["origin"]] = time.monotonic() + 1 / (r.get("per_second") or per_second)
+                    waiting.append(pool.submit(answered, r, slot))
+                rows = [x.result() for x in waiting]
+                out = pd.DataFrame(rows, columns=["url", "status", "headers", "body", "final_url", "truncated", "error"])
+                yield out.astype({"status": "Int32"})
 
     columns = ["url", *(c for c in ("per_second", "etag", "last_modified") if c in urls.columns)]
     dealt = urls.select(*columns, origin_of(F.col("url")).alias("origin"))

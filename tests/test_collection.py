@@ -3,6 +3,7 @@ import http.server
 import json
 import random
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,6 +236,31 @@ def test_fetch_pages(spark):
     assert got["https://a.b/1"]["body"] == "body" and got["https://a.b/1"]["headers"] == {"etag": "e"} and got["https://a.b/2"]["error"] == "OSError: down"
 
 
+def test_requests_at_once_are_bounded(spark, tmp_path):
+    """Two to an origin, as many origins' as a task has room for, at the origin's rate."""
+    log = tmp_path / "log"
+
+    def get(url, **_):
+        with log.open("a") as f:
+            f.write(f"{url} {time.monotonic()} start\n")
+        time.sleep(0.2)
+        with log.open("a") as f:
+            f.write(f"{url} {time.monotonic()} end\n")
+        return Response(200, {}, "x", url)
+
+    urls = spark.createDataFrame([(f"https://{h}.org/{i}", 20.0 if h == "a" else 1000.0) for h in "ab" for i in range(6)], "url string, per_second double")
+    assert fetch_pages(urls, get, partitions=1, at_once=3).where("status = 200").count() == 12
+    now, most = {"a": 0, "b": 0}, {"a": 0, "b": 0}
+    starts = []
+    for line in sorted(log.read_text().splitlines(), key=lambda x: float(x.split()[1])):
+        url, at, what = line.split()
+        host = url[8]
+        now[host] += 1 if what == "start" else -1
+        most[host] = max(most[host], now[host])
+        starts += [float(at)] if host == "a" and what == "start" else []
+    assert most["a"] <= 2 and most["b"] == 2 and all(b - a > 0.04 for a, b in zip(starts, starts[1:]))
+
+
 def test_library(spark, source, tmp_path):
     lib = site.Library(spark, str(tmp_path / "lib"), source, embed=lambda ts: [[float(len(t)), 1.0] for t in ts], now=lambda: T0)
     report = lib.add_site(BASE, exclude=["**/private/**"])
