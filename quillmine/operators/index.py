@@ -149,15 +149,16 @@ class TextIndex:
     """Postings, lengths and tokenizer of one chunk table; written and read as Parquet.
 
     Written postings are sorted by term within files that are dealt by a hash of the term, so that the
-    term filter of a query prunes files' row groups by their statistics.
+    term filter of a query prunes files' row groups by their statistics. An index that isn't written
+    makes the postings of a query's terms alone from the chunks.
     """
 
-    def __init__(self, postings_: DataFrame, lengths_: DataFrame, tokenizer: str = "native"):
-        self.postings, self.lengths, self.tokenizer = postings_, lengths_, tokenizer
+    def __init__(self, postings_: DataFrame, lengths_: DataFrame, tokenizer: str = "native", chunks: DataFrame | None = None):
+        self.postings, self.lengths, self.tokenizer, self.chunks = postings_, lengths_, tokenizer, chunks
 
     @classmethod
     def build(cls, chunks: DataFrame, tokenizer: str = "native") -> TextIndex:
-        return cls(postings(chunks, tokenizer), lengths(chunks, tokenizer), tokenizer)
+        return cls(postings(chunks, tokenizer), lengths(chunks, tokenizer), tokenizer, chunks)
 
     def write(self, folder: str) -> None:
         self.postings.repartition("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/postings")
@@ -166,3 +167,18 @@ class TextIndex:
     @classmethod
     def read(cls, spark, folder: str, tokenizer: str = "native") -> TextIndex:
         return cls(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), tokenizer)
+
+    def _tokens(self) -> DataFrame:
+        return tokenise(self.chunks, self.tokenizer).select("chunk_id", "col", F.posexplode("tokens").alias("pos", "term"))
+
+    def of_terms(self, wanted: Column) -> DataFrame:
+        """The postings whose ``term`` is wanted."""
+        if self.chunks is None:
+            return self.postings.where(wanted)
+        return self._tokens().where(wanted).groupBy("chunk_id", "col", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+    def counts(self, terms: DataFrame) -> DataFrame:
+        """``term, chunk_id, tf`` of ``terms(term)``, over all columns."""
+        if self.chunks is None:
+            return self.postings.join(terms, "term", "left_semi").groupBy("term", "chunk_id").agg(F.sum(F.size("positions")).alias("tf"))
+        return self._tokens().join(terms, "term", "left_semi").groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))

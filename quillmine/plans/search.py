@@ -153,8 +153,7 @@ def search_batch(index: TextIndex, queries: DataFrame, top_k: int) -> DataFrame:
     """
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     wanted = queries.select("query_id", F.size(F.array_distinct("terms")).alias("wanted"))
-    used = terms.select("term").distinct()
-    per_row = index.postings.join(used, "term", "left_semi").groupBy("term", "chunk_id").agg(F.sum(F.size("positions")).alias("tf"))
+    per_row = index.counts(terms.select("term").distinct())
     stats = index.lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("length").alias("avgdl"))
     df = per_row.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
