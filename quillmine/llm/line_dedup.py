@@ -22,6 +22,8 @@ LG_K = 10
 MARGIN = 0.3
 #: Boilerplate lines up to this many go to every task as 16-byte hashes; more are joined.
 BROADCAST_LINES = 200_000
+#: Parts that the rows of a line are dealt over where they are joined to more lines than that.
+SALTS = 32
 
 
 def bare(line: Column) -> Column:
@@ -58,6 +60,15 @@ def occurrences(df: DataFrame, site_col: str = "source", text_col: str = "text")
     return rows.select(F.unhex(F.substring("line", 1, 32)).alias("key"), "site", F.when(F.col("line") == F.col("first"), F.col("b")).otherwise(F.col("a")).alias("company"))
 
 
+def _of_lines(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The ``rows`` of the lines ``keys``. While these are few the rows stay where they lie; else a common
+    line's rows are dealt over several tasks, by their companies."""
+    if keys.count() <= BROADCAST_LINES:
+        return rows.join(F.broadcast(keys), "key", "left_semi")
+    dealt = rows.withColumn("salt", F.coalesce(F.pmod("company", F.lit(SALTS)), F.lit(0)))
+    return dealt.join(keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["key", "salt"], "left_semi").drop("salt")
+
+
 def boilerplate(rows: DataFrame, sites: int = SITES, share: float = DISTINCT_SHARE, margin: float = MARGIN) -> DataFrame:
     """``key`` of the lines on ``sites`` distinct sites or more whose documents aren't mostly copies
     of one another, from ``occurrences`` (written down before it is read twice).
@@ -69,7 +80,7 @@ def boilerplate(rows: DataFrame, sites: int = SITES, share: float = DISTINCT_SHA
     """
     several = rows.groupBy("key").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.count(F.lit(1)).alias("n"))
     several = cut(several.where((F.col("n") >= sites) & ((F.lit(sites) <= 1) | (F.col("lo") < F.col("hi")))).select("key", "n"))
-    spread = rows.join(several.select("key"), "key", "left_semi")
+    spread = _of_lines(rows, several.select("key"))
     estimates = spread.groupBy("key").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"),
         F.hll_sketch_estimate(F.hll_sketch_agg("company", F.lit(LG_K))).alias("companies"),
@@ -79,9 +90,8 @@ def boilerplate(rows: DataFrame, sites: int = SITES, share: float = DISTINCT_SHA
     estimates = cut(estimates.where((F.col("sites") >= sites * (1 - margin)) & (F.col("companies") >= F.col("least") * (1 - margin))))
     unsure = (F.col("sites") <= sites * (1 + margin)) | (F.col("companies") <= F.col("least") * (1 + margin))
     near = estimates.where(unsure).select("key", "least")
-    # the rows of a common line are counted where they lie: its few distinct sites are all that moves
-    side = F.broadcast(near.select("key")) if near.count() <= BROADCAST_LINES else near.select("key")
-    close = spread.join(side, "key", "left_semi")
+    # a common line's distinct values are counted map-side: its few sites are all that moves
+    close = _of_lines(rows, near.select("key"))
     counted = [close.select("key", c).where(F.col(c).isNotNull()).distinct().groupBy("key").agg(F.count(F.lit(1)).alias(c)) for c in ("site", "company")]
     exact = near.join(counted[0], "key").join(counted[1], "key").where((F.col("site") >= sites) & (F.col("company") >= F.col("least")))
     return estimates.where(~unsure).select("key").union(exact.select("key"))
