@@ -141,7 +141,8 @@ def lines_brute(table, sites, share=line_dedup.DISTINCT_SHARE):
 
 
 @pytest.mark.parametrize("broadcast", [0, 1000])
-def test_line_dedup(spark, broadcast):
+def test_line_dedup(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
     rng = random.Random(4)
     table = []
     for i in range(120):
