@@ -223,7 +223,7 @@ def fit(found: list[tuple[int, np.ndarray]], steps: int = STEPS, guesses: int =
     y = np.array([label for label, _ in found])[:, None] * mask * ~spread
     field = LineField()
     for turn in range(guesses):
-        field.train(x, y, mask, steps, alone=not turn)
+        field.train(x, y, mask, steps if not turn else steps // 2, alone=not turn)  # later fits begin where the one before ended
         if turn + 1 < guesses:
             for i, (label, own) in enumerate(found):
                 leaning = np.where(spread[i, : len(own)], -1e6, lean if label else -lean)
