@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmine.llm.common import documents, shared_folder
+from quillmine.llm.common import documents, release, shared_folder
 from quillmine.llm.language_id import keep_identified
 from quillmine.llm.line_dedup import line_dedup
 from quillmine.llm.mixing import mixed_documents
@@ -17,11 +17,13 @@ from quillmine.llm.simhash import keep_one
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a determinable language."""
+    release(spark)  # what the stage before has left
     return keep_identified(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take boilerplate lines out of the texts; every document stays, with its length up to date (if there is such a column)."""
+    release(spark)  # what the stage before has left
     out = line_dedup(docs, counts=False)
     if "n_chars" not in docs.columns:
         return out
@@ -30,16 +32,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates."""
+    release(spark)  # what the stage before has left
     return keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw the sources to their target weights, in the mix's order: a document comes once for each pass that takes it."""
+    release(spark)  # what the stage before has left
     return mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what was drawn into windows: a row for each piece."""
+    release(spark)  # what the stage before has left
     return pack_documents(docs)
 
 
