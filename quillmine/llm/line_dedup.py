@@ -162,9 +162,9 @@ ORACLE_SQL = rf"""
                    regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
                FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
                          generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-    m AS (SELECT doc_id, any_value(site) AS site, bare, -ln((('0x' || substr(md5(bare), 1, 12))::UBIGINT + 0.5) / 281474976710656) / length(bare) AS at
+    m AS (SELECT doc_id, any_value(site) AS site, bare, -ln((('0x' || substr(md5(bare), 1, 12))::UBIGINT + 0.5) / 281474976710656) / length(bare) AS drawn
           FROM l WHERE bare <> '' GROUP BY doc_id, bare),
-    c AS (SELECT doc_id, list(bare ORDER BY at)[1:2] AS least FROM m GROUP BY doc_id),
+    c AS (SELECT doc_id, list(bare ORDER BY drawn)[1:2] AS least FROM m GROUP BY doc_id),
     b AS (SELECT bare FROM (SELECT bare, site, CASE WHEN bare = least[1] THEN least[2] ELSE least[1] END AS company FROM m JOIN c USING (doc_id))
           GROUP BY bare HAVING count(DISTINCT site) >= {SITES} AND count(DISTINCT company) >= greatest({SITES}, ceil({DISTINCT_SHARE} * count(*)))),
     r AS (SELECT doc_id, count(*) AS n_lines, count(b.bare) AS n_removed,
