@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, pii, quality, substring_dedup
+from . import language_id, line_dedup, phrases, pii, quality, substring_dedup, url_filter
 from .common import documents
 from .exact_dedup import exact_dedup
 from .mixing import mix
@@ -56,6 +56,14 @@ def op10_secrets(spark, sf_dir):
     return scan(documents(spark, sf_dir))
 
 
+def op11_url_filter(spark, sf_dir):
+    return url_filter.judged(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).drop("url")
+
+
+def op12_phrases(spark, sf_dir):
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
@@ -67,10 +75,13 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secrets": op10_secrets,
+    "op11_url_filter": op11_url_filter,
+    "op12_phrases": op12_phrases,
 }
 
 ORACLE_SQL = {
     "op7_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_phrases": phrases.ORACLE_SQL,
     "op1_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
