@@ -9,6 +9,7 @@ without its first word, are thus known by number, and whatever is asked of the p
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, cut, named, slices
+from .common import bound_batches, cut, named, shared_folder, slices
 
 #: Words of a phrase at most, occurrences of a candidate at least, phrases of a language in the report.
 LONGEST, LEAST, REPORTED = 4, 30, 2000
@@ -35,7 +36,8 @@ TEXT_SLICE = 4 << 20
 #: Parts that a language's phrases are ranked in before they are ranked together.
 PARTS = 64
 
-ROWS = "block long, at array<int>, ids array<long>"
+#: Names in a block of text: how far each stands from the one before (the first from the block's beginning), and its number.
+ROWS = "block long, gaps array<int>, ids array<long>"
 
 
 def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -83,9 +85,10 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _rows(block: np.ndarray, at: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     """``ROWS`` of positions that are sorted by block."""
     starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
-    offsets = pa.array(np.r_[starts, len(block)], pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((at, pa.int32()), (ids, pa.int64()))]
-    return pa.RecordBatch.from_arrays([pa.array(block[starts], pa.int64()), *lists], names=["block", "at", "ids"])
+    offsets, gaps = pa.array(np.r_[starts, len(block)], pa.int32()), np.diff(at, prepend=0)
+    gaps[starts] = at[starts]
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((gaps, pa.int32()), (ids, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array(block[starts], pa.int64()), *lists], names=["block", "gaps", "ids"])
 
 
 def _blocked(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,8 +107,11 @@ def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     """Row, position, and both numbers of every two names of ``ROWS`` that begin one word apart."""
     lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(lengths)), lengths)
-    at, ids = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
-    near = np.flatnonzero((row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1)) if len(row) else row
+    gaps, ids = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+    sums, starts = np.cumsum(gaps, dtype=np.int64), np.cumsum(lengths) - lengths
+    some = lengths > 0
+    at = sums - np.repeat(sums[starts[some]] - gaps[starts[some]], lengths[some])
+    near = np.flatnonzero((row[1:] == row[:-1]) & (gaps[1:] == 1)) if len(row) else row
     return row[near], at[near], ids[near], ids[near + 1]
 
 
@@ -173,10 +179,17 @@ def _named_words(texts: DataFrame, names: DataFrame, broadcast_names: int) -> Da
     return _gathered(texts.mapInArrow(spread, "row long, block long, at int, key string").join(keyed, "key"), "row", "block")
 
 
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` as a table in the shared folder: of small numbers, by dictionaries, not the 12 bytes each of a checkpoint."""
+    rows.write.option("parquet.dictionary.page.size", 16 << 20).parquet(path)
+    return rows.sparkSession.read.schema(ROWS).parquet(path)
+
+
 def _gathered(positions: DataFrame, *by: str) -> DataFrame:
     """``ROWS`` of single positions; a row holds a block's, no more."""
-    held = positions.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("held"))
-    return held.select(F.lit(0).cast("long").alias("block"), F.col("held.at").alias("at"), F.col("held.id").alias("ids"))
+    held = positions.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("held")).select(F.col("held.at").alias("at"), F.col("held.id").alias("ids"))
+    before = F.concat(F.array(F.lit(0)), F.slice("at", 1, F.size("at") - 1))
+    return held.select(F.lit(0).cast("long").alias("block"), F.zip_with("at", before, lambda x, y: x - y).alias("gaps"), "ids")
 
 
 def _named_pairs(rows: DataFrame, names: DataFrame, below: int, broadcast_names: int) -> DataFrame:
@@ -257,14 +270,17 @@ def collocations(
     words = _numbered(counts.where(F.col("word").isNotNull()).select("lang", F.col("word").alias("phrase"), "f"))
     none = F.array().cast("array<long>")
     level = words.select("id", "lang", "phrase", F.col("phrase").alias("last"), "f", none.alias("firsts"), none.alias("lasts"))
-    rows, below, found = cut(_named_words(texts, words, broadcast_names)), words.count(), []
+    folder = f"{shared_folder(df.sparkSession)}/phrases-{uuid.uuid4().hex}"
+    rows, below, found = _written(_named_words(texts, words, broadcast_names), f"{folder}/1"), words.count(), []
     for size in range(2, LONGEST + 1):
         pairs = _frequent_pairs(rows, least)
         level = cut(_described(pairs, level))
         if size < LONGEST:
-            rows = cut(_named_pairs(rows, pairs, below, broadcast_names))
+            rows = _written(_named_pairs(rows, pairs, below, broadcast_names), f"{folder}/{size}")
             below = pairs.count()
         found.append((size, level))
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)  # what follows reads the levels alone
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     parts = []
     for i, (size, phrases) in enumerate(found):
         scored = _scored(phrases, size)

@@ -54,7 +54,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     for verdict, h, p in rules:
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         found.append(F.when(fits, F.struct(F.lit(len(h + p)).alias("size"), F.lit(len(h)).alias("host_size"), F.lit(verdict).alias("verdict"), F.lit(h + p).alias("rule"))))
-    return F.array_max(F.array_compact(F.array(*found)))
+    none = F.lit(None).cast("struct<size:int,host_size:int,verdict:string,rule:string>")
+    return F.array_max(F.array_compact(F.array(none, *found)))
 
 
 def with_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
