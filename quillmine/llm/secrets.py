@@ -36,7 +36,7 @@ _RISES, _CAPITALS = re.compile("[a-z][A-Z]"), re.compile("(?=[A-Z][A-Z])")
 LEAST = 16
 #: Runs that are no secret however long.
 ALPHABETS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 0123456789abcdef 12345678 00000000 xxxxxxxx"
-#: Characters before a candidate in which a sensitive word must stand.
+#: Characters before or after a candidate in which a sensitive word must stand.
 REACH = 48
 #: Characters on either side that prime the compressor.
 AROUND = 512
@@ -78,25 +78,44 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def novel_spans(text: str, meter: NoveltyMeter, covered: list[tuple[int, int, str]], least: float = NOVELTY) -> list[tuple[int, int, str]]:
-    """Candidates after a sensitive word, outside the covered spans, that stay incompressible."""
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Runs that chance may have drawn, with a sensitive word at most ``REACH`` characters before them, or as near behind them
+    on the same line; in order, of any length. A text without a sensitive word isn't looked through."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    begins, ends = [a for a, _ in words], sorted(b for _, b in words)
     found, seen = [], 0
+    while head := HEAD.search(text, seen):
+        start, seen = head.start(), CANDIDATE.match(text, head.start()).end()
+        last, following = bisect.bisect_right(ends, start), bisect.bisect_left(begins, seen)
+        after = last > 0 and start - ends[last - 1] <= REACH
+        before = following < len(begins) and begins[following] - seen <= REACH and "\n" not in text[seen : begins[following]]
+        if (after or before) and drawn(text[start:seen]):
+            found.append((start, seen))
+    return found
+
+
+def measured_spans(text: str, meter: NoveltyMeter, covered: list[tuple[int, int, str]], least: float = NOVELTY) -> tuple[list[tuple[int, int, str]], int, float | None]:
+    """Candidates that stay incompressible and touch no covered span, how many candidates were measured, and the greatest novelty
+    of those that lie in a covered one (null without one)."""
+    found, known = [], None
     covered = sorted(covered)
     starts, reach = [a for a, _, _ in covered], list(itertools.accumulate((b for _, b, _ in covered), max))
-    for word in SENSITIVE.finditer(text):
-        # heads that begin within reach; a candidate is looked at once, so long ones cost their length
-        for head in HEAD.finditer(text, max(word.end(), seen), max(seen, min(len(text), word.end() + REACH + LEAST))):
-            m = CANDIDATE.match(text, head.start())
-            start, end = m.span()
-            seen = end
-            if not drawn(m[0]):
-                continue
-            before = bisect.bisect_left(starts, end)  # spans that begin before its end; does one reach into it?
-            if before and reach[before - 1] > start:
-                continue
-            if meter.novelty(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND]) >= least:
-                found.append((start, end, "novel"))
-    return found
+    measured = candidates(text)
+    for start, end in measured:
+        novelty = meter.novelty(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND])
+        before = bisect.bisect_left(starts, end)  # spans that begin before its end; does one reach into it?
+        if before and reach[before - 1] > start:
+            known = max(novelty, known or 0.0)
+        elif novelty >= least:
+            found.append((start, end, "novel"))
+    return found, len(measured), known
+
+
+def novel_spans(text: str, meter: NoveltyMeter, covered: list[tuple[int, int, str]], least: float = NOVELTY) -> list[tuple[int, int, str]]:
+    """The first of :func:`measured_spans`."""
+    return measured_spans(text, meter, covered, least)[0]
 
 
 def drawn(candidate: str) -> bool:
@@ -109,7 +128,8 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelty: float = NOVELTY, words: str | None = None) -> DataFrame:
-    """One row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel``.
+    """One row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel, n_candidates,
+    base_novelty``: the strings near a sensitive word that were measured, and the greatest novelty of those within base spans.
 
     ``words`` primes the novelty meter; without it the identifiers of all of ``df`` do
     (:func:`identifiers`: one aggregation of distinct names). Whole texts are scanned where they
@@ -125,10 +145,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelty:
         def scanned(doc: int | None, text: str | None) -> list[tuple]:
             text = text or ""
             base = base_spans(text)
-            spans = base + novel_spans(text, meter, base, novelty)
+            novel, measured, known = measured_spans(text, meter, base, novelty)
+            spans = base + novel
             n = collections.Counter(s[2] for s in spans)
-            return [(doc, n["assign"], n["access"], n["hex"], hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans), n["novel"])]
+            return [(doc, n["assign"], n["access"], n["hex"], hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans), n["novel"], measured, known)]
 
         return scanned
 
-    return map_texts(df, id_col, text_col, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long", start)
+    return map_texts(df, id_col, text_col, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long, n_candidates long, base_novelty double", start)

@@ -567,6 +567,19 @@ def test_novel_strings():
     assert secrets.novel_spans(text, meter, [(0, len(text), "assign")]) == []
 
 
+def test_candidates_on_either_side(spark):
+    own = "AbC9dEf8GhIj7KlMnOp6qrSt"
+    for text, n in ((f"{own} is the token", 1), (f"{own}\nis the token", 0), (f"the token\n{own}", 1), (f"{own}{' ' * 48}token", 1), (f"{own}{' ' * 49}token", 0), (f"x{own} y", 0), (f"key {own} token {own} z {own}", 3)):
+        assert len(secrets.candidates(text)) == n, text
+        assert [text[a:b].removeprefix("x") for a, b in secrets.candidates(text)] == [own] * n
+    meter = secrets.NoveltyMeter()
+    text = f"the token: {own} and the password of {own[::-1]}"
+    spans, measured, known = secrets.measured_spans(text, meter, secrets.base_spans(text))
+    assert measured == 2 and known > 0.6 and [text[a:b] for a, b, _ in spans] == [own[::-1]]
+    row = secrets.scan(spark.createDataFrame([(1, text), (2, "nothing")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_candidates"], r["base_novelty"] is None) for r in row] == [(2, False), (0, True)]
+
+
 def test_planted_strings(spark):
     """Recall of the novel kind on codes in sensitive context, and what else it reports there."""
     rng = random.Random(11)
