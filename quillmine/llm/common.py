@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -53,23 +52,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the cluster give back what the work so far has left: the broadcasts, shuffles and checkpoints
-    that nothing refers to any more, which Spark frees once the driver's collector finds them gone, and the
-    heap and the buffers outside of it that the executors hold on to until they collect. Left to themselves
-    both happen when memory is short, which the Python workers beside a JVM don't make known to it.
-
-    One collection for each core or so, for every executor to have one; it is a matter of room, not of results.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    n = max(1, spark.sparkContext.defaultParallelism)
-    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
-
-
 def bound_batches(spark: SparkSession, size: str = ARROW_BATCH) -> None:
-    """Let Spark hand Python workers Arrow batches of some ``size`` bytes instead of its default of
-    10,000 rows, whatever their size, so that neither side holds more."""
+    """Let Spark hand Python workers Arrow batches of some ``size`` bytes instead of its default of 64 MB (or 10,000
+    rows), so that neither side holds more. A setting of the session, which stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, None) != size:
         spark.conf.set(name, size)
@@ -169,7 +154,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    release(edges.sparkSession)
     return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").union(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )
