@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import content_hash, utf8_size
 from ..schema import BUCKET_BITS, BUCKETED, SITE_BUCKETS, SORTED, TABLES, VERSION
+from .prefixes import owning_site as owning_site  # beside the other relations of a collection's tables
 
 PAGE_CONTENT = ("title", "etag", "last_modified", "content_hash", "markdown", "markdown_size", "fetched_at", "depth")
 PAGE_TOUCHED = ("etag", "last_modified", "fetched_at")
@@ -49,9 +50,25 @@ def page_id_of(site_id: Column, url: Column) -> Column:
     return _in_bucket(hashed, site_bucket(site_id, F.pmod(F.shiftrightunsigned(hashed, 40), F.lit(SITE_BUCKETS))))
 
 
-def chunk_id_of(page_id: Column, ord_: Column, text: Column) -> Column:
-    """A chunk's id, in its page's bucket."""
-    return _in_bucket(F.xxhash64(page_id, ord_, text), bucket_of(page_id))
+def chunk_id_of(page_id: Column, nth: Column, heading_path: Column, text: Column) -> Column:
+    """A chunk's id, in its page's bucket: it depends on what the chunk says, not on where it stands. ``nth``
+    counts equal ones of a page."""
+    return _in_bucket(F.xxhash64(page_id, nth, heading_path, text), bucket_of(page_id))
+
+
+def with_chunk_ids(chunks: DataFrame) -> DataFrame:
+    """``chunks(page_id, ord, heading_path, text, ...)`` with ``chunk_id``: the first of several equal chunks of a page has
+    the same id whatever comes before it, and so on."""
+    nth = F.row_number().over(Window.partitionBy("page_id", "heading_path", "text").orderBy("ord"))
+    told = chunks.withColumn("__nth", nth)
+    return told.withColumn("chunk_id", chunk_id_of(F.col("page_id"), F.col("__nth"), F.col("heading_path"), F.col("text"))).drop("__nth")
+
+
+def matched_chunks(stored: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``chunk_id`` of the stored chunks that no new one equals, and of the new ones that no stored one equals: a
+    multiset match, for equal chunks have ids by their number."""
+    old, now = stored.select("chunk_id"), new.select("chunk_id")
+    return old.join(now, "chunk_id", "left_anti"), now.join(old, "chunk_id", "left_anti")
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -221,19 +238,6 @@ def change_counts(classified: DataFrame, skipped: int | Column = 0) -> DataFrame
     return found.withColumn("pages_skipped", F.lit(skipped).cast("long"))
 
 
-def owning_site(urls: DataFrame, sites: DataFrame) -> DataFrame:
-    """The first site (by id) whose base URL covers each URL: ``url, site_id``, null if none.
-
-    Sites are joined by scheme and host, so a URL meets the sites of its own host alone.
-    """
-    from ..functions.urls import native_under_base, origin_of
-
-    left = urls.select("url", origin_of(F.col("url")).alias("__origin"))
-    right = sites.select("site_id", "base_url", origin_of(F.col("base_url")).alias("__origin"))
-    met = left.join(right, "__origin").where(native_under_base(F.col("url"), F.col("base_url")))
-    return urls.join(met.groupBy("url").agg(F.min("site_id").alias("site_id")), "url", "left")
-
-
 class Conflict(RuntimeError):
     """Another writer has changed the same rows since they were read."""
 
@@ -379,7 +383,8 @@ class Collection:
         empty = {n: self.spark.createDataFrame([], s) for n, s in TABLES.items()}
         pages = old.get("pages", empty["pages"]).withColumn("new_page", page_id_of(F.col("site_id"), F.col("url")))
         chunks = old.get("chunks", empty["chunks"]).join(pages.select("page_id", "new_page"), "page_id")
-        chunks = chunks.withColumn("new_chunk", chunk_id_of(F.col("new_page"), F.col("ord"), F.col("text")))
+        told = with_chunk_ids(chunks.select(F.col("chunk_id").alias("old_chunk"), F.col("new_page").alias("page_id"), "ord", "heading_path", "text"))
+        chunks = chunks.join(told.select(F.col("old_chunk").alias("chunk_id"), F.col("chunk_id").alias("new_chunk")), "chunk_id")
         vectors = old.get("vectors", empty["vectors"]).join(chunks.select("chunk_id", "new_chunk"), "chunk_id")
         renamed = chunks.drop("page_id", "chunk_id").withColumnsRenamed({"new_page": "page_id", "new_chunk": "chunk_id"})
         self.commit({
