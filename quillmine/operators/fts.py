@@ -320,7 +320,8 @@ def match(index: TextIndex, query: str | Node, strict: bool = False) -> DataFram
                 slots.append(F.array_sort(F.flatten(held)).alias(f"s{numbers[id(p)]}_{j}_{c}"))
     if not slots:  # every phrase is kept out of every column
         return empty
-    grouped = index.of_terms(term_filter(known, F.col("term"))).groupBy("chunk_id").agg(*slots)
+    exact = None if any(p.prefix for p in known) else sorted({t for p in known for t in p.terms})
+    grouped = index.of_terms(term_filter(known, F.col("term")), exact).groupBy("chunk_id").agg(*slots)
     empty_list = F.array().cast("array<int>")
     for p in leaves:
         i = numbers[id(p)]

@@ -171,8 +171,8 @@ class TextIndex:
     def _tokens(self) -> DataFrame:
         return tokenise(self.chunks, self.tokenizer).select("chunk_id", "col", F.posexplode("tokens").alias("pos", "term"))
 
-    def of_terms(self, wanted: Column) -> DataFrame:
-        """The postings whose ``term`` is wanted."""
+    def of_terms(self, wanted: Column, terms: list[str] | None = None) -> DataFrame:
+        """The postings whose ``term`` is wanted, all of ``terms`` if they are known one by one."""
         if self.chunks is None:
             return self.postings.where(wanted)
         return self._tokens().where(wanted).groupBy("chunk_id", "col", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
