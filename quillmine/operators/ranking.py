@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import cut
+
 RRF_K = 60
 FETCH_MULTIPLIER, FETCH_LEAST = 3, 50
 MAX_PER_PAGE = 2
@@ -124,6 +126,18 @@ def ranked(hits: DataFrame, *order: Column | str, name: str = "rank", per: tuple
     return hits.withColumn(name, F.row_number().over(Window.partitionBy(*per).orderBy(*order)))
 
 
+def positions(hits: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
+    """``hits`` with their 1-based place in the order of all, for any number of them: sorted over many tasks, then
+    numbered within each, behind the rows of the tasks before it."""
+    made = cut(hits.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = {r["part"]: r["n"] for r in made.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a task
+    starts = list(itertools.accumulate((sizes[p] for p in sorted(sizes)), initial=0))
+    before = hits.sparkSession.createDataFrame(list(zip(sorted(sizes), starts)), "__part long, __before long")
+    made = made.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return made.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__at", "__part", "__before")
+
+
 def vector_score(distance: Column) -> Column:
     return F.lit(1.0) - F.least(F.lit(1.0), distance)
 
@@ -134,6 +148,13 @@ def normalised_bm25(score: Column, per: tuple[str, ...] = ()) -> Column:
     return F.when(best > 0, F.abs(score) / best).otherwise(0.0)
 
 
+def normalised(hits: DataFrame, score: str = "bm25") -> DataFrame:
+    """``hits`` with ``score`` as :func:`normalised_bm25` gives it, for any number of them: the best score is found by one aggregation."""
+    best = hits.agg(F.max(F.abs(score)).alias("__best"))
+    share = F.when(F.col("__best") > 0, F.abs(score) / F.col("__best")).otherwise(0.0)
+    return hits.crossJoin(F.broadcast(best)).withColumn("score", share).drop("__best")  # a single row
+
+
 def reciprocal_rank_fusion(bm25: DataFrame, vector: DataFrame, top_k: int, k: int = RRF_K, per: tuple[str, ...] = ()) -> DataFrame:
     """Fuse ``bm25(chunk_id, bm25_rank)`` and ``vector(chunk_id, vector_rank)``:
     ``chunk_id, bm25_rank, vector_rank, score, source, rank``.
