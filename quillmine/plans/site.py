@@ -18,8 +18,8 @@ from ..functions.robots import Robots, parse_robots
 from ..functions.urls import normalize, parse
 from ..operators.index import TextIndex, lengths, postings
 from ..operators.store import (
-    Collection, bucket_of, change_counts, chunk_id_of, classify, ensure_dimension, fetched_pages, owning_site, page_id_of, put_meta, register_site, replace_chunks,
-    replace_index, set_robots, site_bucket, site_counts, store_vectors, touch_crawled, upsert_pages, without_pages, without_site,
+    Collection, bucket_of, change_counts, classify, ensure_dimension, fetched_pages, matched_chunks, owning_site, page_id_of, put_meta, register_site, replace_chunks,
+    replace_index, set_robots, site_bucket, site_counts, store_vectors, touch_crawled, upsert_pages, with_chunk_ids, without_pages, without_site,
 )
 from ..schema import OPTIONS, REFRESH, SITE_BUCKETS, checked, one_of
 from ..sources.embeddings import Embedder, embedded, probe
@@ -126,8 +126,9 @@ class Library:
         """Tables after ``pages(site_id, url, title, markdown, fetched_at, depth[, etag,
         last_modified])`` came in, the buckets of theirs that it concerns, and counts by state.
 
-        Only buckets that a page lies in are read. Only changed pages are cut into chunks, indexed
-        and embedded, each chunk once; one whose request fails stays without a vector.
+        Only buckets that a page lies in are read. Only changed pages are cut into chunks, and of these only
+        such are indexed and embedded, each once, as the page didn't have before, wherever they stand in it now; one
+        whose request fails stays without a vector until its page changes again.
         """
         for c in ("etag", "last_modified"):
             if c not in pages.columns:
@@ -144,15 +145,17 @@ class Library:
         if there:
             tables = self.store.tables(there)
             chunks = explode_chunks(changed.select("page_id", "markdown"))
-            chunks = cut(chunks.withColumn("chunk_id", chunk_id_of(F.col("page_id"), F.col("ord"), F.col("text"))))
-            gone = tables["chunks"].join(changed.select("page_id"), "page_id", "left_semi")
+            chunks = cut(with_chunk_ids(chunks))
+            gone, added = (cut(x) for x in matched_chunks(tables["chunks"].join(changed.select("page_id"), "page_id", "left_semi"), chunks))
+            fresh = chunks.join(added, "chunk_id", "left_semi")
             out["chunks"] = replace_chunks(tables["chunks"], changed, chunks)
-            out["postings"] = replace_index(tables["postings"], gone, postings(chunks))
-            out["lengths"] = replace_index(tables["lengths"], gone, lengths(chunks))
+            out["postings"] = replace_index(tables["postings"], gone, postings(fresh))
+            out["lengths"] = replace_index(tables["lengths"], gone, lengths(fresh))
             vectors = chunks.select("chunk_id", F.lit(None).cast("array<float>").alias("embedding")).where("false")
             embed = self.embedder()[0]
             if embed is not None:
-                made = cut(chunks.select("chunk_id", embedded(F.col("text"), embed).alias("e")))
+                wanting = chunks.join(tables["vectors"].select("chunk_id"), "chunk_id", "left_anti")  # new, or without a vector so far
+                made = cut(wanting.select("chunk_id", embedded(F.col("text"), embed).alias("e")))
                 vectors = made.where("e.vector is not null").select("chunk_id", F.col("e.vector").alias("embedding"))
                 failed = made.agg(F.count("e.error").alias("n"), F.max("e.error").alias("why"), F.count_if(F.size("e.vector") > 0).alias("made")).first()
                 counts["chunks_embedded"] = failed["made"]
@@ -201,15 +204,25 @@ class Library:
         options.per_second = requests_per_second(options.robots.delay(options.agent), None)
         declared = load_sitemap(options.base_url, lambda url: (a := self._read(url)).status == 200 and a.body or "", options.robots.sitemaps)
         options.seeds = [*found_seeds, *declared]
-        found = crawl(self.spark, self.source, options)
-        pages = found.pages.select(F.lit(site_id).cast("long").alias("site_id"), "url", "title", "markdown", F.lit(self.now()).alias("fetched_at"), "depth", "etag", "last_modified")
-        changed, buckets, counts = self.ingest(pages)
+        failures: list[str] = []
+
+        def level_done(level: DataFrame) -> None:
+            """Make a level's pages part of the collection as soon as they are there: a crawl that breaks off keeps its levels."""
+            pages = level.select(F.lit(site_id).cast("long").alias("site_id"), "url", "title", "markdown", F.lit(self.now()).alias("fetched_at"), "depth", "etag", "last_modified")
+            changed, buckets, counts = self.ingest(pages)
+            self.store.commit(changed, buckets)
+            if failed := counts.pop("embedding_error", None):
+                failures.append(failed)
+            for name, value in counts.items():
+                setattr(report, name, getattr(report, name) + (value or 0))
+
+        for name in ("pages_added", "pages_updated", "pages_unchanged", "chunks_embedded"):
+            setattr(report, name, 0)
+        found = crawl(self.spark, self.source, options, level_done=level_done)
         sites = set_robots(self.store.tables([])["sites"], site_id, robots_txt)
-        self.store.commit({**changed, "sites": touch_crawled(sites, site_id, self.now())}, buckets)
-        failed = counts.pop("embedding_error", None)
-        for name, value in {**counts, "pages_skipped": found.skipped}.items():
-            setattr(report, name, value)
-        report.warnings = (*found.warnings, *([failed] if failed else []))
+        self.store.commit({"sites": touch_crawled(sites, site_id, self.now())})
+        report.pages_skipped = found.skipped
+        report.warnings = (*found.warnings, *failures)
 
     def _start(self, report: Report, options: CrawlOptions, robots_txt: str | None, mode: str, wait: bool) -> Report:
         """Crawl in a thread of its own, or join the crawl of the site that is running."""

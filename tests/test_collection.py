@@ -510,3 +510,58 @@ def test_regressions(spark):
     old = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 0.0), ("gone", 1.0)], "name string, mean double")
     new = spark.createDataFrame([("a", 1.1), ("b", 1.3), ("b", 1.5), ("c", 1.0)], "name string, mean double")
     assert {r["name"]: r["failed"] for r in regressions(old, new).collect()} == {"a": False, "b": True, "c": False}
+
+
+def test_a_paragraph_at_the_top_is_all_that_is_indexed(spark, tmp_path):
+    """Chunks that a page keeps keep their ids, postings and vectors, wherever they stand now."""
+    log = tmp_path / "texts"
+
+    def embed(texts):
+        with log.open("a") as f:
+            f.writelines(json.dumps(t) + "\n" for t in texts)
+        return [[float(len(t)), 2.0] for t in texts]
+
+    seen = lambda: [t for t in map(json.loads, log.read_text().splitlines()) if t != "probe"] if log.exists() else []
+    lib = site.Library(spark, str(tmp_path / "lib"), None, embed=embed, now=lambda: T0)
+    parts = [f"## Part {i}\n\n" + f"words{i} of a part of its own. " * 5 for i in range(4)] + ["## Twice\n\nthe same"] * 2
+
+    def came(*sections):
+        rows = [(1, "https://h.org/a", "A", "# A\n\n" + "\n\n".join(sections), T0, 0)]
+        changed, buckets, counts = lib.ingest(spark.createDataFrame(rows, "site_id long, url string, title string, markdown string, fetched_at timestamp, depth int"))
+        lib.store.commit(changed, buckets)
+        t = lib.store.tables()
+        built = TextIndex.build(t["chunks"])
+        key = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+        assert key(lib.index().postings) == key(built.postings) and key(lib.index().lengths) == key(built.lengths)
+        assert {r["chunk_id"] for r in t["vectors"].collect()} == {r["chunk_id"] for r in t["chunks"].collect()}
+        return counts["chunks_embedded"], {r["chunk_id"]: r["ord"] for r in t["chunks"].collect()}
+
+    first, ids = came(*parts)
+    assert first == len(ids) == len(seen())
+    n, after = came("## New\n\nquite another paragraph", *parts)
+    assert n == 1 and len(seen()) == first + 1 and ids.keys() < after.keys() and all(after[i] == ids[i] + 1 for i in ids if ids[i] > 0)
+    n, last = came(*parts[1:-1])  # the first part and one of the two equal ones are gone
+    assert n == 0 and len(last) == len(ids) - 2 and last.keys() < ids.keys()
+
+
+def test_a_crawl_is_seen_level_by_level(spark, source, tmp_path):
+    """What a level has brought is there while the next one is fetched, and stays if that fails."""
+    seen = []
+
+    def watched(urls):
+        if lib is not None and "h.org/robots" not in str(urls.first()["url"]) and "sitemap" not in str(urls.first()["url"]):
+            seen.append(lib.store.tables()["pages"].count())
+            if len(seen) == 3:
+                raise RuntimeError("no network")
+        return source(urls)
+
+    lib = None
+    lib = site.Library(spark, str(tmp_path / "lib"), watched, now=lambda: T0)
+    with pytest.raises(RuntimeError, match="no network"):
+        lib.add_site(BASE)
+    first, second, third = seen
+    kept = lib.store.tables()["pages"]
+    assert first == 0 < second < third == kept.count() and {r["depth"] for r in kept.collect()} == {0, 1}
+    lib.source = source
+    again = lib.refresh_site(kept.first()["site_id"])
+    assert again.pages_unchanged == third and again.pages_added > 0
