@@ -228,6 +228,15 @@ def native_normalized(url: Column, base: str | None = None, strip_trackers: bool
     return F.when(url.rlike(_PARTS) & (host_of(url) != ""), out)
 
 
+def native_resolved(href: Column, page: Column) -> Column:
+    """A link as its page ``page`` means it, in the JVM: absolute, or relative to the scheme, the host or the folder. Null
+    for other schemes, and for links that only change the query or the fragment. Dots in paths are left as they are."""
+    folder = F.regexp_replace(path_of(page), "[^/]*$", "")
+    out = F.when(href.rlike("(?i)^https?://"), href).when(href.startswith("//"), F.concat(scheme_of(page), F.lit(":"), href))
+    out = out.when(href.startswith("/"), F.concat(origin_of(page), href))
+    return out.when(~href.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|[?#]|$)"), F.concat(origin_of(page), folder, href))
+
+
 def native_same_origin(a: Column, b: Column) -> Column:
     return F.coalesce(a.rlike(_PARTS) & b.rlike(_PARTS) & (origin_of(a) == origin_of(b)), F.lit(False))
 

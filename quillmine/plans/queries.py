@@ -6,13 +6,18 @@ The tables of the driver stand for a collection: ``documents`` are chunks (``sou
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking, html, snippets, text, urls
-from ..operators import compare, fts, index, ranking, store
+from ..operators import compare, fts, index, prefixes, ranking, store
+from ..operators.cells import CellIndex
 from ..operators.index import TextIndex
+from ..operators.term_index import TermIndex
 from ..sources.fetch import table_source
+from ..sources.shared import shared_folder
 from . import crawl as crawling
 from .search import hit_pages, rendered, search_batch
 from .site import listed_sites, parsed_options, status_of
@@ -160,11 +165,30 @@ def bm25_syntax_error(spark, sf):
 def bm25_batch(spark, sf):
     terms = index.native_tokens(F.col("text"))
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
-    found = search_batch(text_index(spark, sf), queries, 10_000_000).drop("rank")
-    hits = ranking.ranked(found, F.round("bm25", 9), "chunk_id", per=("query_id",)).where("rank <= 10")
+    hits = search_batch(text_index(spark, sf), queries, 10, (F.round("bm25", 9), "chunk_id"))
     return hits.select("query_id", "chunk_id", r6("bm25").alias("bm25"))
 
 
+def _by_term(spark, sf) -> TermIndex:
+    """A stored index of the documents, come in as four deltas and merged."""
+    index_, chunks = TermIndex(spark, f"{shared_folder(spark)}/by-term-{uuid.uuid4().hex}"), docs(spark, sf).select("chunk_id", "text")
+    for number in range(4):
+        index_.append(chunks.where(F.pmod("chunk_id", F.lit(4)) == number), number)
+    index_.merge()
+    return index_
+
+
+@query("bm25_by_term_and", ORACLE_SQL["bm25_two_term_and"])
+def bm25_by_term_and(spark, sf):
+    """The best chunks with both terms, from an index that lies by term, by blocks' bounds."""
+    return _by_term(spark, sf).best(["tion", "thre"], 50, every=True)[0].select("chunk_id", r6("bm25").alias("bm25"))
+
+
+@query("bm25_by_term_or", ORACLE_SQL["bm25_or"])
+def bm25_by_term_or(spark, sf):
+    return _by_term(spark, sf).best(["tion", "schtz"], 50)[0].select("chunk_id", r6("bm25").alias("bm25"))
+
+
 # ---- index
 
 @query("tokenise_postings", f"""
@@ -213,14 +237,29 @@ def knn_prefilter(spark, sf):
     return ranking.knn_sites(_measured(spark, sf), 3, 20, prefilter=True).withColumn("distance", r6("distance"))
 
 
-@query("knn_batch", f"""
+KNN_BATCH = f"""
     SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round({DISTANCE}, 6) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0
     QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {DISTANCE}, v.vec_id) <= 10
-""")
+"""
+
+
+def _asked(v: DataFrame) -> DataFrame:
+    return v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+
+
+@query("knn_batch", KNN_BATCH)
 def knn_batch(spark, sf):
     v = vectors(spark, sf)
-    queries = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
-    return ranking.knn_batch(v, queries, 10).select("query_id", "chunk_id", r6("distance").alias("distance"))
+    return ranking.knn_batch(v, _asked(v), 10).select("query_id", "chunk_id", r6("distance").alias("distance"))
+
+
+@query("knn_cells", KNN_BATCH)
+def knn_cells(spark, sf):
+    """The same from vectors that are stored by cell."""
+    v = vectors(spark, sf)
+    dimension = v.select(F.size("embedding").alias("n")).where("n > 0").groupBy("n").count().orderBy(F.desc("count"), "n").first()["n"]
+    index = CellIndex.write(v, f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}", dimension)
+    return index.nearest(_asked(v), 10)[0].select("query_id", "chunk_id", r6("distance").alias("distance"))
 
 
 @query("vector_score", f"WITH {Q0} SELECT vec_id AS chunk_id, round(1 - least(1.0, 0.5 * {DISTANCE}), 6) AS score FROM embeddings v, q")
@@ -278,7 +317,7 @@ def diversify_by_page(spark, sf):
 
 @query("score_normalise", bm25_sql([tf("tion")], "tf0 > 0", columns="sc.chunk_id, round(sc.bm25 / min(sc.bm25) OVER (), 6) AS score", tail=""))
 def score_normalise(spark, sf):
-    return fts.match(text_index(spark, sf), "tion").select("chunk_id", r6(ranking.normalised_bm25(F.col("bm25"))).alias("score"))
+    return ranking.normalised(fts.match(text_index(spark, sf), "tion")).select("chunk_id", r6("score").alias("score"))
 
 
 # ---- scalar text functions
@@ -420,6 +459,38 @@ def owning_site(spark, sf):
     return store.owning_site(pages.select("url"), sites)
 
 
+@query("owning_site_nested", f"""
+    WITH {URLS}, d AS (SELECT *, string_split(path, '/')[2] AS dir FROM u), s AS (SELECT scheme, host, '/' AS base, 1000000 + min(page_id) AS site_id FROM d GROUP BY scheme, host
+        UNION ALL SELECT scheme, host, '/' || dir || '/', min(page_id) FROM d WHERE dir <> '' GROUP BY scheme, host, dir)
+    SELECT d.url, min(s.site_id) AS site_id FROM d JOIN s ON s.scheme = d.scheme AND s.host = d.host AND starts_with(CASE WHEN ends_with(path, '/') THEN path ELSE path || '/' END, base) GROUP BY d.page_id, d.url
+""")
+def owning_site_nested(spark, sf):
+    """Sites within sites: a host's root, and each of its first directories with smaller ids."""
+    pages = table(spark, sf, "pages")
+    u = F.col("url")
+    root, first = F.concat(urls.origin_of(u), F.lit("/")), F.split(urls.path_of(u), "/")[1]
+    nested = pages.where(first != "").groupBy(F.concat(root, first, F.lit("/")).alias("base_url")).agg(F.min("page_id").alias("site_id"))
+    roots = pages.groupBy(root.alias("base_url")).agg((F.min("page_id") + 1_000_000).alias("site_id"))
+    return store.owning_site(pages.select("url"), roots.unionByName(nested))
+
+
+DIRECTORY = "CASE WHEN host LIKE '%.org' THEN 'es' WHEN host LIKE '%.com' THEN 'de' ELSE 'en' END"
+
+
+@query("robots_allowed", rf"""
+    WITH {URLS}, d AS (SELECT *, {DIRECTORY} AS dir, path || regexp_extract(url, '^[^?#]*(\?[^#]+)', 1) AS whole FROM u)
+    SELECT page_id, CASE WHEN ends_with(whole, '.html') THEN false WHEN starts_with(whole, '/' || dir || '/1') THEN true ELSE NOT starts_with(whole, '/' || dir || '/') END AS allowed FROM d
+""")
+def robots_allowed(spark, sf):
+    """Every page's URL by the rules of its own host, which keep robots from a directory and from files."""
+    pages = table(spark, sf, "pages")
+    host = urls.host_of(F.col("url"))
+    directory = F.when(host.endswith(".org"), "es").when(host.endswith(".com"), "de").otherwise("en")
+    text_ = F.format_string("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /%s/\nAllow: /%s/1\nDisallow: /*.html$\n", directory, directory)
+    robots = pages.select(urls.origin_of(F.col("url")).alias("origin"), text_.alias("text")).distinct()
+    return prefixes.allowed(pages.select("page_id", "url"), robots, "quillmine/1.0").select("page_id", "allowed")
+
+
 # ---- HTML
 
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']+)["'']"""
@@ -535,7 +606,7 @@ def render_hits(spark, sf):
     rows = F.transform(F.sequence(F.lit(1), F.lit(25)), lambda i: F.array(i.cast("string"), F.col("lang")))
     rows = F.slice(rows, 1, (F.col("doc_id") % 25).cast("int"))
     blocks = F.array(block(F.when(F.col("doc_id") % 5 != 0, "sh"), source), block(F.lit(None).cast("string"), lang), block(F.lit("x"), lang))
-    hits = ranking.ranked(table(spark, sf, "documents"), "doc_id", "doc_id", name="position").select(
+    hits = ranking.positions(table(spark, sf, "documents"), "doc_id").select(
         "doc_id", "position", F.when(F.col("doc_id") % 3 == 0, "").otherwise(lang).alias("heading_path"), F.when(F.col("doc_id") % 2 == 0, source).alias("page_title"), source.alias("page_url"),
         F.col("text").alias("description"), blocks.alias("code_blocks"), F.array(F.struct(F.array(F.lit("a"), F.lit("b")).alias("headers"), rows.alias("rows"))).alias("tables"),
         ((F.col("doc_id") % 1000) / 1000).alias("score"), lang.alias("source"),
@@ -656,6 +727,23 @@ def replace_chunks(spark, sf):
     return out.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query("chunk_reuse", """
+    WITH l AS (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents),
+    o AS (SELECT page_id, line, count(*) AS n FROM l GROUP BY ALL),
+    w AS (SELECT page_id, line, count(*) AS m FROM (SELECT page_id, line FROM l WHERE NOT (page_id % 3 = 1 AND ord = 1) UNION ALL SELECT doc_id, 'A paragraph that is new.' FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL) GROUP BY ALL)
+    SELECT page_id, sum(coalesce(n, 0))::BIGINT AS stored, sum(least(coalesce(n, 0), coalesce(m, 0)))::BIGINT AS kept, sum(greatest(coalesce(m, 0) - coalesce(n, 0), 0))::BIGINT AS fresh FROM o FULL JOIN w USING (page_id, line) GROUP BY page_id
+""")
+def chunk_reuse(spark, sf):
+    """Documents' lines as chunks: a third of the documents gets a line at its top, a third loses its first; what is indexed anew."""
+    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("ord", "text"), F.lit("").alias("heading_path"))
+    top = table(spark, sf, "documents").where("doc_id % 3 = 0 and text is not null").select(F.col("doc_id").alias("page_id"), F.lit(-1).alias("ord"), F.lit("A paragraph that is new.").alias("text"), F.lit("").alias("heading_path"))
+    stored, new = store.with_chunk_ids(lines), store.with_chunk_ids(lines.where("page_id % 3 <> 1 or ord > 0").unionByName(top))
+    gone, fresh = store.matched_chunks(stored, new)
+    count = lambda df, ids, name: df.join(ids, "chunk_id", "left_semi").groupBy("page_id").agg(F.count(F.lit(1)).alias(name))
+    held = stored.groupBy("page_id").agg(F.count(F.lit(1)).alias("stored")).join(count(stored, gone, "gone"), "page_id", "left").join(count(new, fresh, "fresh"), "page_id", "full")
+    return held.fillna(0, ["stored", "gone", "fresh"]).select("page_id", "stored", (F.col("stored") - F.col("gone")).alias("kept"), "fresh")
+
+
 @query("delete_missing", "SELECT doc_id AS page_id FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 2 = 0")
 def delete_missing(spark, sf):
     stored = _stored(spark, sf)

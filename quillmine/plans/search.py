@@ -13,6 +13,7 @@ from ..operators import fts, ranking
 from ..operators.index import TextIndex
 from ..operators.ranking import MAX_PER_PAGE, bm25_top, diversify, fetch_size, ranked, with_chunks
 from ..schema import MODES, checked, one_of
+from ..sources.shared import cut
 
 RENDERED_ROWS, RENDERED_BLOCKS, RENDERED_TABLES = 20, 2, 1
 
@@ -143,8 +144,8 @@ def render(hits: DataFrame, mode: str) -> str:
     return f"mode={mode}\n\n" + "\n\n---\n\n".join(texts) if texts else "No results."
 
 
-def search_batch(index: TextIndex, queries: DataFrame, top_k: int) -> DataFrame:
-    """Keyword search for many queries at once: ``query_id, chunk_id, bm25, rank``.
+def search_batch(index: TextIndex, queries: DataFrame, top_k: int, order: tuple[Column | str, ...] = ("bm25", "chunk_id")) -> DataFrame:
+    """Keyword search for many queries at once: ``query_id, chunk_id, bm25, rank`` (by ``order``).
 
     ``queries(query_id, terms)``: each wants all of its distinct terms (any column). One plan for
     all of them. A query's rarest term gives its candidates; its other terms' postings are only
@@ -153,7 +154,7 @@ def search_batch(index: TextIndex, queries: DataFrame, top_k: int) -> DataFrame:
     """
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     wanted = queries.select("query_id", F.size(F.array_distinct("terms")).alias("wanted"))
-    per_row = index.counts(terms.select("term").distinct())
+    per_row = cut(index.counts(terms.select("term").distinct()))  # read three times
     stats = index.lengths.agg(F.count(F.lit(1)).alias("rows"), F.avg("length").alias("avgdl"))
     df = per_row.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
@@ -168,4 +169,4 @@ def search_batch(index: TextIndex, queries: DataFrame, top_k: int) -> DataFrame:
     scored = met.select("query_id", "chunk_id", (F.col("idf") * F.col("tf") * (fts.K1 + 1) / (F.col("tf") + length)).alias("part"))
     hits = scored.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("n"))
     hits = hits.join(wanted, "query_id").where("n = wanted").select("query_id", "chunk_id", (-F.col("score")).alias("bm25"))
-    return ranked(hits, "bm25", "chunk_id", per=("query_id",)).where(F.col("rank") <= top_k)
+    return ranked(hits, *order, per=("query_id",)).where(F.col("rank") <= top_k)

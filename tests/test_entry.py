@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from jobs.queries import ORACLE_SQL as JOBS_SQL
+from jobs.queries import QUERIES as JOBS
 from quillmine.plans.queries import ORACLE_SQL, QUERIES
 
 EMPTY = {"bm25_syntax_error"}
@@ -56,6 +58,6 @@ def test_entry_points(spark):
 def test_entry_without_what_the_training_data_needs(monkeypatch):
     for name in ("quillmine.llm", "quillmine.llm.queries", "corpus_pipeline"):
         monkeypatch.setitem(sys.modules, name, None)
-    assert set(importlib.reload(entry).queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLE_SQL)
+    assert set(importlib.reload(entry).queries()) == set(QUERIES) | set(JOBS) and set(entry.oracle_sql()) == set(ORACLE_SQL) | set(JOBS_SQL)
     monkeypatch.undo()
     importlib.reload(entry)
