@@ -15,10 +15,8 @@ DESCRIPTION_LENGTH = 400
 WINDOW_TOKENS = 32
 PARTS = "struct<description:string,code_blocks:array<struct<language:string,code:string>>,tables:array<struct<headers:array<string>,rows:array<array<string>>>>>"
 
-_FENCE = re.compile(r"^```([^\n]*)\n(.*?)\n?```$", re.M | re.S)
 _HEADING = re.compile(r"#{1,6}\s+.*$")
-#: Stands for a fence that was taken out; a paragraph of it alone is none.
-_TAKEN = "CODE"
+_FENCE = "```"
 
 
 def clip(text: str, length: int = DESCRIPTION_LENGTH) -> str:
@@ -40,37 +38,51 @@ def draws_rule(cells: list[str] | None) -> bool:
     return all(d and not d.strip("-") for d in dashes)
 
 
-def table(block: str) -> dict | None:
-    """A block of a header, a rule and more lines as a table; lines without pipes among them are passed over."""
-    header, rule, *rest = [pipe_cells(line) for line in block.split("\n")] + [None, None]
+def table(lines: list[str]) -> dict | None:
+    """Lines of a header, a rule and more as a table; lines without pipes among them are passed over."""
+    header, rule, *rest = [pipe_cells(line) for line in lines] + [None, None]
     if len(rest) < 3 or header is None or not draws_rule(rule):
         return None
     return {"headers": header, "rows": [row for row in rest if row is not None]}
 
 
+def _prose(lines: list[str]) -> str:
+    """A paragraph's text without its headings."""
+    bare = (line.strip() for line in lines)
+    return clip(" ".join(line for line in bare if line and not _HEADING.match(line)))
+
+
 def snippet_parts(markdown: str | None) -> dict:
-    """The first prose paragraph (clipped), the fenced code blocks and the pipe tables."""
+    """The first prose paragraph (clipped), the fenced code blocks and the pipe tables, read line by line.
+
+    A fence takes its lines out of the paragraph around it, which goes on behind it; one that nothing closes is prose. A text
+    without any mark of these is prose as a whole.
+    """
     out = {"description": "", "code_blocks": [], "tables": []}
-    if not markdown or not markdown.strip():
-        return out
-    plain = not (markdown.startswith("#") or any(x in markdown for x in ("```", "|", "\n#")))
-    if plain:
-        return out | {"description": clip(markdown)}
-
-    def take(m: re.Match) -> str:
-        out["code_blocks"].append({"language": m[1].strip() or None, "code": m[2].strip()})
-        return _TAKEN
-
-    for block in re.split(r"\n{2,}", _FENCE.sub(take, markdown)):
-        block = block.strip()
-        if not block or block == _TAKEN:
-            continue
-        found = table(block)
-        if found:
-            out["tables"].append(found)
-        elif not out["description"]:
-            lines = [x.strip() for x in block.split("\n")]
-            out["description"] = clip(" ".join(x for x in lines if x and not _HEADING.match(x)))
+    lines = (markdown or "").split("\n")
+    if not any(line.startswith("#") or _FENCE in line or "|" in line for line in lines):
+        return out | {"description": clip(markdown or "")}
+    closing = [i for i, line in enumerate(lines) if line.endswith(_FENCE)]
+    paragraph, code, language = [], None, None
+    for i, line in enumerate([*lines, ""]):
+        if code is not None:  # within a fence
+            if line.endswith(_FENCE):
+                out["code_blocks"].append({"language": language, "code": "\n".join([*code, line.removesuffix(_FENCE)]).strip()})
+                code = None
+            else:
+                code.append(line)
+        elif line.startswith(_FENCE) and closing and closing[-1] > i:
+            code, language = [], line.removeprefix(_FENCE).strip() or None
+        elif line:
+            paragraph.append(line)
+        else:  # a paragraph's end
+            text = "\n".join(paragraph).strip()
+            found = table(text.split("\n")) if text else None
+            if found:
+                out["tables"].append(found)
+            elif not out["description"]:
+                out["description"] = _prose(paragraph)
+            paragraph = []
     return out
 
 

@@ -148,6 +148,25 @@ def test_snippet_parts():
     assert p("| a |\n| 1 |\n| 2 |")["tables"] == []
 
 
+def test_snippet_parts_of_fences():
+    p = snippets.snippet_parts
+    assert p("before\n```\nx\n```\nafter")["description"] == "before after"  # the fence leaves no word behind
+    assert p("```py\nnever closed\n\n| a |")["code_blocks"] == [] and p("```py\nnever closed")["description"] == "```py never closed"
+    got = p("```\na\n\n| x | y |\nb```\n\n```\n```\n\nCODE")
+    assert [c["code"] for c in got["code_blocks"]] == ["a\n\n| x | y |\nb", ""] and got["tables"] == [] and got["description"] == "CODE"
+    assert p("one\n\ntwo")["description"] == "one two" and p("one\n\ntwo\n\n# h")["description"] == "one"
+
+
+def test_markdown_keeps_text_as_it_stands():
+    """Text nodes with what Markdown would read as markup, and with the same characters where it wouldn't."""
+    for said, written in {
+        "# no heading": "\\# no heading", "#hash": "#hash", "> quote": "\\> quote", "a > b": "a > b", "- item": "\\- item", "-5 degrees": "-5 degrees", "+ item": "\\+ item", "+5": "+5", "1. one": "1\\. one", "2) two": "2\\) two",
+        "1.5 is": "1.5 is", "===": "\\===", "---": "\\---", "~~~": "\\~\\~\\~", "~ 5": "~ 5", "a*b*": "a\\*b\\*", "2 * 3": "2 * 3", "snake_case_name": "snake_case_name", "_it_": "\\_it\\_", "a`b": "a\\`b", "[x](y)": "\\[x](y)",
+        "a < b": "a < b", "&lt;b>": "\\<b>", "C:\\dir": "C:\\dir", "\\*": "\\\\\\*",
+    }.items():
+        assert html.html_to_markdown(f"<p>{said}</p>").strip() == written, said
+
+
 def test_snippet_window():
     words = " ".join(f"w{i}" for i in range(100))
     leaves = parse("w50").leaves()
