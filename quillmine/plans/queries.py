@@ -16,6 +16,7 @@ from ..operators import compare, fts, index, prefixes, ranking, store
 from ..operators.cells import CellIndex
 from ..operators.index import TextIndex
 from ..operators.term_index import TermIndex
+from ..sources import sitemap as sitemaps
 from ..sources.fetch import table_source
 from ..sources.shared import shared_folder
 from . import crawl as crawling
@@ -491,6 +492,22 @@ def robots_allowed(spark, sf):
     return prefixes.allowed(pages.select("page_id", "url"), robots, "quillmine/1.0").select("page_id", "allowed")
 
 
+@query("sitemap_urls", f"WITH {URLS} SELECT host AS site, url FROM u GROUP BY host, url")
+def sitemap_urls(spark, sf):
+    """Every host's pages from its sitemaps: an index at the root names one for English pages, one for others, itself, and one that is missing."""
+    pages = table(spark, sf, "pages").select(urls.host_of(F.col("url")).alias("site"), "url").distinct()
+    place = F.concat(F.lit("https://"), "site", F.lit("/sitemap"))
+    loc = lambda u: F.concat(F.lit("<loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc>"))
+    part = F.when(F.col("url").contains("/en/"), "-en.xml").otherwise("-rest.xml")
+    sets = pages.groupBy(F.concat(place, part).alias("url")).agg(F.array_join(F.collect_list(F.concat(F.lit("<url>"), loc(F.col("url")), F.lit("</url>"))), "").alias("inner"))
+    sets = sets.select("url", F.concat(F.lit("<urlset>"), "inner", F.lit("</urlset>")).alias("html"))
+    named = [F.concat(F.lit("<sitemap>"), loc(F.concat(place, F.lit(x))), F.lit("</sitemap>")) for x in ("-en.xml", ".xml", "-none.xml", "-rest.xml")]
+    sites = pages.select("site").distinct()
+    roots = sites.select("site", F.concat(place, F.lit(".xml")).alias("url"), F.lit(0).alias("ord"))
+    stored = sets.unionByName(sites.select(F.concat(place, F.lit(".xml")).alias("url"), F.concat(F.lit("<sitemapindex>"), *named, F.lit("</sitemapindex>")).alias("html")))
+    return sitemaps.sitemap_urls(roots, table_source(stored))
+
+
 # ---- HTML
 
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']+)["'']"""

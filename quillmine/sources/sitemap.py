@@ -8,8 +8,11 @@ from urllib.parse import urlsplit
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .shared import cut
 
 FOLLOW = 8
 SITEMAP = "struct<urls:array<string>,sitemaps:array<string>>"
@@ -74,3 +77,30 @@ def load_sitemap(base: str, read: Callable[[str], str], declared: Iterable[str]
         found |= dict.fromkeys(parsed["urls"])
         queue += parsed["sitemaps"]
     return list(found)
+
+
+def sitemap_urls(roots: DataFrame, source: Callable[[DataFrame], DataFrame], follow: int = FOLLOW) -> DataFrame:
+    """``site, url``, each once, of the sitemaps of many sites: ``roots(site, url, ord)`` and what they point to.
+
+    All sites' documents of a level are read together through the page ``source`` and parsed where they lie. Of a
+    site at most ``follow`` documents are read, failures included, in the order of their first mention level by level; one document
+    read for one site isn't read for it again. A document that fails, or is no sitemap, has no URLs.
+    """
+    order = F.row_number().over(Window.partitionBy("site").orderBy("turn", "url"))
+    level = roots.groupBy("site", "url").agg(F.min(F.struct(F.lit(0).cast("long").alias("parent"), F.col("ord").cast("long").alias("at"))).alias("turn"))
+    level = cut(level.withColumn("nth", order.cast("long")).where(F.col("nth") <= follow))
+    seen, found = level, []
+    while not level.isEmpty():
+        bodies = source(level.select("url").distinct()).select("url", F.when(F.col("status") == 200, F.col("body")).alias("body"))
+        read = cut(level.join(bodies, "url").select("site", "nth", sitemaps_of(F.col("body")).alias("x")))
+        found.append(read.select("site", F.explode("x.urls").alias("url")))
+        more = read.select("site", "nth", F.posexplode("x.sitemaps").alias("at", "url"))
+        more = more.groupBy("site", "url").agg(F.min(F.struct(F.col("nth").alias("parent"), F.col("at").cast("long").alias("at"))).alias("turn"))
+        more = more.join(seen.select("site", "url"), ["site", "url"], "left_anti")
+        used = seen.groupBy("site").agg(F.count(F.lit(1)).alias("used"))
+        level = cut(more.join(used, "site").withColumn("nth", order + F.col("used")).where(F.col("nth") <= follow).drop("used"))
+        seen = seen.unionByName(level)
+    every = found[0] if found else roots.select("site", "url").where("false")
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return every.distinct()
