@@ -225,7 +225,7 @@ def pseudonymise_documents(df: DataFrame, key: bytes, id_col: str = "doc_id", te
     Values count only where they are valid: card numbers and IBANs by their check digits, social
     security numbers by their ranges, addresses by their octets, dates by the calendar. A value's
     pseudonym has its format, is valid again and depends on the value and the key alone, so equal
-    values stay equal across documents and different ones of a format stay different. Texts are
+    strings stay equal across documents (so not an address in other cases, nor a day in another shape) and different ones of a format stay different. Texts are
     read where they lie. A null text stays null, without spans; a null id stays null, repeated rows
     are repeated, extra columns are ignored and an empty table gives no rows.
     """
