@@ -20,6 +20,8 @@ MAX_PER_PAGE = 2
 SNIPPET_LENGTH = 200
 #: Numbers in a block of a matrix product of queries and vectors.
 CELLS = 4_000_000
+#: Bytes of query vectors that go to a task at a time.
+QUERY_BYTES = 64 << 20
 
 
 def fetch_size(top_k: int) -> int:
@@ -84,12 +86,15 @@ def _nearest_rows(matrix: np.ndarray, block: np.ndarray, chunk: np.ndarray, top_
 def knn_batch(vectors: DataFrame, queries: DataFrame, top_k: int, max_queries: int = 100_000) -> DataFrame:
     """``query_id, chunk_id, distance, rank`` for many queries (``query_id, embedding``) at once.
 
-    The queries come to the driver in order and go to every task, ``max_queries`` at a time, each time
+    The queries come to the driver in order and go to every task, ``max_queries`` or ``QUERY_BYTES`` at a time, each time
     with a pass over the vectors; each task keeps its ``top_k`` for each query by block matrix
     products, so what is shuffled is bounded by tasks x queries x k. The driver holds the queries.
     """
     schema = "query_id long, chunk_id long, distance double"
     rows, found = queries.orderBy("query_id").toLocalIterator(), []
+    if first := next(rows, None):
+        max_queries = max(1, min(max_queries, QUERY_BYTES // (8 * max(1, len(first["embedding"])))))
+        rows = itertools.chain([first], rows)
     while part := list(itertools.islice(rows, max_queries)):
         found.append(_nearest(vectors, np.array([r["query_id"] for r in part]), np.array([r["embedding"] for r in part], np.float64), top_k, schema))
     if not found:
