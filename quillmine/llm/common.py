@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -52,6 +53,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the cluster give back what the rounds so far have left: the broadcasts, shuffles and checkpoints that nothing
+    refers to any more, which Spark frees once the driver's collector finds them gone, and the heap and buffers that the
+    executors hold until they collect, which the need of the Python workers beside a JVM doesn't make them do.
+
+    A collection for each core or so; a matter of room, not of results.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def bound_batches(spark: SparkSession, size: str = ARROW_BATCH) -> None:
     """Let Spark hand Python workers Arrow batches of some ``size`` bytes instead of its default of 64 MB (or 10,000
     rows), so that neither side holds more. A setting of the session, which stays."""
