@@ -28,6 +28,8 @@ DICTIONARY_WORDS = 4096
 DICTIONARY_DOCS = 5
 #: Words that make the text around a candidate sensitive.
 SENSITIVE = re.compile(r"(?ai)passw|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer|signature|passphrase")
+#: What makes a sensitive word speak of what follows it.
+ASSIGNED = re.compile(r"""["']?\x20*[:=]""")
 #: The first characters of a candidate, and all of it from there on.
 HEAD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
@@ -80,11 +82,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Runs that chance may have drawn, with a sensitive word at most ``REACH`` characters before them, or as near behind them
-    on the same line; in order, of any length. A text without a sensitive word isn't looked through."""
+    on the same line, unless that word is assigned something itself; in order, of any length. A text without a sensitive
+    word isn't looked through."""
     words = [m.span() for m in SENSITIVE.finditer(text)]
     if not words:
         return []
-    begins, ends = [a for a, _ in words], sorted(b for _, b in words)
+    begins, ends = [a for a, b in words if not ASSIGNED.match(text, b)], [b for _, b in words]
     found, seen = [], 0
     while head := HEAD.search(text, seen):
         start, seen = head.start(), CANDIDATE.match(text, head.start()).end()

@@ -569,7 +569,7 @@ def test_novel_strings():
 
 def test_candidates_on_either_side(spark):
     own = "AbC9dEf8GhIj7KlMnOp6qrSt"
-    for text, n in ((f"{own} is the token", 1), (f"{own}\nis the token", 0), (f"the token\n{own}", 1), (f"{own}{' ' * 48}token", 1), (f"{own}{' ' * 49}token", 0), (f"x{own} y", 0), (f"key {own} token {own} z {own}", 3)):
+    for text, n in ((f"{own} is the token", 1), (f"{own}\nis the token", 0), (f"the token\n{own}", 1), (f"{own}{' ' * 48}token", 1), (f"{own}{' ' * 49}token", 0), (f"x{own} y", 0), (f"key {own} token {own} z {own}", 3), (f"{own} then token = x", 0)):
         assert len(secrets.candidates(text)) == n, text
         assert [text[a:b].removeprefix("x") for a, b in secrets.candidates(text)] == [own] * n
     meter = secrets.NoveltyMeter()
