@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,8 @@ COLUMNS = ("text", "heading_path")
 #: Letters, numbers and private use characters; everything else separates tokens.
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 POSTINGS_SCHEMA = "chunk_id long, col int, term string, positions array<int>"
+#: Tokens that a Python worker sorts at a time; a chunk with more goes alone.
+SLICE = 1 << 19
 
 
 def native_tokens(text: Column) -> Column:
@@ -84,40 +86,59 @@ def query_tokens(text: str, tokenizer: str) -> list[str]:
     return out
 
 
-def tokenise(chunks: DataFrame, tokenizer: str = "native") -> DataFrame:
-    """``chunk_id, col, tokens``: a row for each chunk and indexed column."""
+def tokenise(chunks: DataFrame, tokenizer: str = "native", sized: bool = False) -> DataFrame:
+    """``chunk_id, col, tokens``: a row for each chunk and indexed column; ``sized``: and the chunk's ``length``."""
     cut = TOKENIZERS[tokenizer]
     columns = [F.struct(F.lit(i).alias("col"), cut(F.col(c)).alias("tokens")) for i, c in enumerate(COLUMNS) if c in chunks.columns]
-    return chunks.select("chunk_id", F.explode(F.array(*columns)).alias("x")).select("chunk_id", "x.col", "x.tokens")
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``chunk_id, col, term, positions`` from rows of ``chunk_id, col, tokens``, whole batches at a time:
-    tokens as numbers of a dictionary, sorted by row and number, cut where either changes."""
+    rows, more = chunks.select("chunk_id", F.array(*columns).alias("all")), []
+    if sized:
+        more = ["length"]
+        rows = rows.withColumn("length", F.aggregate("all", F.lit(0).cast("long"), lambda n, x: n + F.size(x["tokens"])))
+    return rows.select("chunk_id", *more, F.explode("all").alias("x")).select("chunk_id", "x.col", "x.tokens", *more)
+
+
+def _slices(tokens: pa.ListArray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that have ``most`` tokens together, or a single row with more."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), side="right")))
+        yield at, end
+        at = end
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], most: int = SLICE, by_term: bool = False) -> Iterator[pa.RecordBatch]:
+    """``chunk_id, col, term, positions[, length]`` from rows of ``chunk_id, col, tokens[, length]``, a slice of a batch at
+    a time: tokens as numbers of a dictionary, sorted by row and number (``by_term``: number and row), cut where either
+    changes. What a worker holds beside a batch doesn't grow with it."""
     for batch in batches:
-        ids, cols, tokens = batch.columns
-        coded = pc.dictionary_encode(tokens.flatten())
-        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        number = row * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(number, kind="stable")
-        begins = np.flatnonzero(np.diff(number[order], prepend=-1))
-        first = pa.array(order[begins])
-        positions = pa.ListArray.from_arrays(pa.array(np.append(begins, len(order)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
-        rows = pa.array(row[order[begins]])
-        terms = coded.dictionary.take(coded.indices.take(first))
-        yield pa.RecordBatch.from_arrays([ids.take(rows), cols.take(rows), terms, positions], names=["chunk_id", "col", "term", "positions"])
-
-
-def postings(chunks: DataFrame, tokenizer: str = "native") -> DataFrame:
-    """``chunk_id, col, term, positions`` with ascending 0-based positions.
+        for begin, end in _slices(batch.column(2), most):
+            ids, cols, tokens, *more = batch.slice(begin, end - begin).columns
+            coded = pc.dictionary_encode(tokens.flatten())
+            sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            number = code * len(sizes) + row if by_term else row * max(1, len(coded.dictionary)) + code
+            order = np.argsort(number, kind="stable")
+            begins = np.flatnonzero(np.diff(number[order], prepend=-1))
+            first = pa.array(order[begins])
+            positions = pa.ListArray.from_arrays(pa.array(np.append(begins, len(order)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+            rows = pa.array(row[order[begins]])
+            terms = coded.dictionary.take(coded.indices.take(first))
+            names = ["chunk_id", "col", "term", "positions", *["length"][: len(more)]]
+            yield pa.RecordBatch.from_arrays([ids.take(rows), cols.take(rows), terms, positions, *(x.take(rows) for x in more)], names=names)
+
+
+def postings(chunks: DataFrame, tokenizer: str = "native", sized: bool = False) -> DataFrame:
+    """``chunk_id, col, term, positions`` with ascending 0-based positions; ``sized``: and the chunk's ``length``, the
+    rows by term as far as they are sorted together, so that they move in fewer bytes.
 
     All tokens of a chunk lie in one row, so they are grouped where they lie, in Arrow batches:
     nothing is shuffled and no row is looked at by itself.
     """
-    rows = tokenise(chunks, tokenizer).select(F.col("chunk_id").cast("long").alias("chunk_id"), "col", "tokens")
-    return rows.mapInArrow(_grouped, POSTINGS_SCHEMA)
+    rows = tokenise(chunks, tokenizer, sized).withColumn("chunk_id", F.col("chunk_id").cast("long"))
+    return rows.mapInArrow(partial(_grouped, by_term=sized), POSTINGS_SCHEMA + (", length long" if sized else ""))
 
 
 def lengths(chunks: DataFrame, tokenizer: str = "native") -> DataFrame:
