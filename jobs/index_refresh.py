@@ -48,7 +48,7 @@ def run(
     rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     done["merges"] = index.merge()
     if done["batches"]:
-        found = index.postings.groupBy("term").agg(F.count_distinct("chunk_id").alias("df"), F.sum(F.size("positions")).alias("cf"))
+        found = index.rows.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.size("positions")).alias("cf"))  # a chunk is in one span
         found = found.withColumn("bucket", F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(buckets)).cast("int"))
         found.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{output}/terms")
         log.info("wrote %s/index and %s/terms", output, output)
@@ -66,8 +66,8 @@ def output_of(spark: SparkSession, output: str, buckets: int = BUCKETS) -> DataF
     """What the job has written: ``chunk_id, term, tf, length`` of the index and the term's ``df, cf``."""
     index = TermIndex(spark, f"{output}/index", buckets)
     terms = spark.read.schema("term string, df long, cf long").parquet(f"{output}/terms").select("term", "df", "cf")
-    found = index.postings.select("chunk_id", "term", F.size("positions").cast("long").alias("tf"))
-    return found.join(index.lengths, "chunk_id").join(terms, "term").select("chunk_id", "term", "tf", "length", "df", "cf")
+    found = index.rows.select("chunk_id", "term", F.size("positions").cast("long").alias("tf"), "length")
+    return found.join(terms, "term").select("chunk_id", "term", "tf", "length", "df", "cf")
 
 
 def registered(spark: SparkSession, sf_dir: str) -> DataFrame:

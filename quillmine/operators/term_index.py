@@ -2,10 +2,10 @@
 
 Plain Parquet under one folder, a *span* being one delta or several that were merged:
 
-- ``postings/lo=./hi=.``: ``chunk_id, col, term, positions, length, block``, partitioned by ``bucket`` and sorted by term and chunk
-- ``blocks/lo=./hi=.``: ``term, block, n, max_tf, min_length``, likewise: what a block's postings of a term can score at most
+- ``postings/lo=./hi=.``: ``chunk_id, col, term, positions, length, block``, partitioned by ``bucket`` and sorted by term and chunk;
+  the first row of a term's block has ``n, max_tf, min_length`` too, what its postings there can score at most; null in the others
 - ``lengths/lo=./hi=.``: ``chunk_id, length``
-- ``stats/lo=./hi=.``: ``rows, tokens``, one file that is written last: a span without it doesn't count
+- ``stats/lo=./hi=.``: ``rows, tokens, bounded``, one file that is written last: a span without it doesn't count
 
 A span that lies within a wider one is superseded by it. Chunks are never changed in place: a
 chunk's id belongs to one text.
@@ -21,10 +21,11 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.shared import cut
 from .fts import IDF_FLOOR, K1, B
-from .index import lengths, postings
+from .index import COLUMNS, lengths, postings
 
 #: Parts that terms are dealt over by their hash; a search reads its terms' alone.
 BUCKETS = 32
@@ -41,7 +42,7 @@ SPREAD = 8
 #: Slack for sums of doubles that are compared.
 SLACK = 1e-9
 
-_POSTINGS = "chunk_id long, col int, term string, positions array<int>, length long, block long, bucket int"
+_POSTINGS = "chunk_id long, col int, term string, positions array<int>, length long, block long, n long, max_tf long, min_length long, bucket int"
 _BLOCKS = "term string, block long, n long, max_tf long, min_length long, bucket int"
 _LENGTHS = "chunk_id long, length long"
 
@@ -80,10 +81,13 @@ class TermIndex:
     def all_spans(self) -> list[tuple[int, int]]:
         """Every complete span, superseded ones included: a row of ``stats`` each."""
         try:
-            found = self.spark.read.schema("rows long, tokens long, lo long, hi long").parquet(f"{self.folder}/stats")
+            found = self.spark.read.schema("rows long, tokens long, bounded boolean, lo long, hi long").parquet(f"{self.folder}/stats")
         except AnalysisException:  # nothing has been written yet
             return []
-        return sorted((r["lo"], r["hi"]) for r in found.select("lo", "hi").distinct().collect())
+        every = found.select("lo", "hi", "bounded").distinct().collect()
+        if not all(r["bounded"] for r in every):
+            raise ValueError(f"{self.folder} was written by an earlier version, whose blocks lay apart: index its chunks anew")
+        return sorted((r["lo"], r["hi"]) for r in every)
 
     def spans(self) -> list[tuple[int, int]]:
         """The spans that count, in order."""
@@ -125,27 +129,30 @@ class TermIndex:
         """Add ``chunks(chunk_id, text[, heading_path])``, which no other delta has, as delta ``number``; the same number
         again replaces it."""
         self._spans = None
-        sized = lengths(chunks, self.tokenizer)
-        rows = postings(chunks, self.tokenizer).join(sized, "chunk_id")
-        rows = rows.withColumn("block", F.call_function("div", "chunk_id", F.lit(self.width).cast("long"))).withColumn("bucket", F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(self.buckets)).cast("int"))
-        self._write(rows, sized, (number, number))
-
-    def _write(self, rows: DataFrame, sized: DataFrame, span: tuple[int, int]) -> None:
-        # every bucket gets a folder, so that a reader can name it unseen
-        empty = self.spark.range(self.buckets).select(*(F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in _POSTINGS.split(", ")[:-1])), F.col("id").cast("int").alias("bucket"))
-        rows = rows.select(*empty.columns).unionByName(empty)
-        (
-            rows.repartition("bucket", F.pmod("block", F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "chunk_id")
-            .write.mode("overwrite").option("parquet.block.size", 4 << 20).partitionBy("bucket").parquet(self._path("postings", span))
-        )
-        stored = self.spark.read.schema(_POSTINGS).parquet(self._path("postings", span))
-        one = stored.where("term is not null").groupBy("bucket", "term", "block", "chunk_id").agg(F.sum(F.size("positions")).alias("tf"), F.min("length").alias("length"))
-        bounds = one.groupBy("bucket", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
-        empty = self.spark.range(self.buckets).select(*(F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in _BLOCKS.split(", ")[:-1])), F.col("id").cast("int").alias("bucket"))
-        bounds.select(*empty.columns).unionByName(empty).repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(self._path("blocks", span))
+        self._write(postings(chunks, self.tokenizer, sized=True), lengths(chunks, self.tokenizer), (number, number), "heading_path" in chunks.columns)
+
+    def _write(self, rows: DataFrame, sized: DataFrame, span: tuple[int, int], headed: bool) -> None:
+        """``rows`` move once, in few columns, and what blocks can score is found where they arrive."""
+        rows = rows.select("chunk_id", "term", F.concat(F.array("col", F.col("length").cast("int")), "positions").alias("packed"))
+        # every bucket gets a folder, so that a reader can name it unseen: rows without a term, whose id is the bucket's
+        empty = self.spark.range(self.buckets).select(F.col("id").alias("chunk_id"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[1:]))
+        bucket = F.coalesce(F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(self.buckets)), F.col("chunk_id")).cast("int")
+        block = F.call_function("div", "chunk_id", F.lit(self.width).cast("long"))
+        spread = F.pmod(block, F.lit(SPREAD)).cast("int")
+        rows = rows.unionByName(empty).repartition(bucket.alias("bucket"), spread.alias("spread"))
+        rows = rows.withColumns({"block": block, "bucket": bucket, "spread": spread, "col": F.col("packed")[0], "length": F.col("packed")[1].cast("long"), "positions": F.slice("packed", 3, F.greatest(F.size("packed") - 2, F.lit(0)))})
+        held = ("bucket", "term", "block", "spread")
+        # one window over rows that lie in order already; two columns' greatest frequencies add up to a bound
+        rows, block_of_term = rows.sortWithinPartitions(*held, "chunk_id", "col"), Window.partitionBy(*held)
+        most = [F.max(F.when(F.col("col") == i, F.size("positions")).otherwise(0)) for i in range(len(COLUMNS) if headed else 1)]
+        head = (F.min(F.struct("chunk_id", "col")).over(block_of_term) == F.struct("chunk_id", "col")) & F.col("term").isNotNull()
+        bounds = {"n": F.size(F.collect_set("chunk_id").over(block_of_term)) if headed else F.count(F.lit(1)).over(block_of_term), "max_tf": sum(m.over(block_of_term) for m in most), "min_length": F.min("length").over(block_of_term)}
+        rows = rows.withColumns({"head": head, **bounds}).withColumns({c: F.when(F.col("head"), F.col(c).cast("long")) for c in bounds})
+        rows = rows.select(*(x.split()[0] for x in _POSTINGS.split(", ")))
+        rows.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 4 << 20).partitionBy("bucket").parquet(self._path("postings", span))
         sized.write.mode("overwrite").parquet(self._path("lengths", span))
         stats = self.spark.read.schema(_LENGTHS).parquet(self._path("lengths", span)).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
-        stats.coalesce(1).write.mode("overwrite").parquet(self._path("stats", span))
+        stats.withColumn("bounded", F.lit(True)).coalesce(1).write.mode("overwrite").parquet(self._path("stats", span))
         self._spans = None
 
     def merge(self, fan_in: int = FAN_IN) -> int:
@@ -165,14 +172,14 @@ class TermIndex:
                 return made
             whole = (group[0][0], group[-1][1])
             rows = self._read("postings", _POSTINGS, spans=group).where("term is not null")
-            self._write(rows, self._read("lengths", _LENGTHS, spans=group), whole)
+            self._write(rows, self._read("lengths", _LENGTHS, spans=group), whole, not rows.where("col > 0").isEmpty())
             made += 1
 
     def vacuum(self) -> int:
         """Delete the folders of superseded spans, which no new reader opens; how many there were."""
         gone = sorted(set(self.all_spans()) - set(self.spans()))
         for span in gone:
-            for table in ("stats", "lengths", "blocks", "postings"):
+            for table in ("stats", "lengths", "postings"):
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table, span))
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return len(gone)
@@ -183,9 +190,14 @@ class TermIndex:
     def lengths(self) -> DataFrame:
         return self._read("lengths", _LENGTHS)
 
+    @property
+    def rows(self) -> DataFrame:
+        """The postings with ``length`` and, for each term, ``n`` that add up to the number of its chunks."""
+        return self._read("postings", _POSTINGS).where("term is not null").select("chunk_id", "col", "term", "positions", "length", "n")
+
     @property
     def postings(self) -> DataFrame:
-        return self._read("postings", _POSTINGS).where("term is not null").select("chunk_id", "col", "term", "positions")
+        return self.rows.select("chunk_id", "col", "term", "positions")
 
     def _of(self, table: str, schema: str, terms: Sequence[str]) -> DataFrame:
         held = self._read(table, schema, [bucket_of_term(t, self.buckets) for t in terms])
@@ -212,7 +224,7 @@ class TermIndex:
         terms = list(dict.fromkeys(terms))
         if not terms:
             return self.spark.createDataFrame([], "chunk_id long, bm25 double"), Scanned(0, 0, 0, 0)
-        bounds = self._of("blocks", _BLOCKS, terms)
+        bounds = self._of("postings", _BLOCKS, terms).where("n is not null")
         n = {r["term"]: r["n"] for r in bounds.groupBy("term").agg(F.sum("n").alias("n")).collect()}
         known = [t for t in terms if t in n]
         nothing = self.spark.createDataFrame([], "chunk_id long, bm25 double"), Scanned(0, sum(n.values()), 0, 0)

@@ -86,3 +86,14 @@ def test_best_reads_few_blocks(spark, tmp_path):
     got, scanned = index.best(["rare", "common"], 50)
     want = ranking.bm25_top(fts.match(TextIndex.build(frame(spark, rows)), "rare OR common"), 50)
     assert scores(got) == scores(want) and scanned.postings < scanned.of_postings / 10
+
+
+def test_postings_move_once(spark, tmp_path):
+    """What blocks can score lies with their first posting: no second table, whose making moved all postings again."""
+    rows = [(i, "common " * (1 + i % 3) + "word", "Common Head" if i % 2 else None) for i in range(64)]
+    index = TermIndex(spark, str(tmp_path / "index"), buckets=2, width=16)
+    index.append(spark.createDataFrame(rows, "chunk_id long, text string, heading_path string"), 0)
+    assert not (tmp_path / "index/blocks").exists()
+    bounds = index._of("postings", "term string, block long, n long, max_tf long, min_length long, bucket int", ["common"]).where("n is not null")
+    assert sorted((r["block"], r["n"], r["max_tf"], r["min_length"]) for r in bounds.collect()) == [(b, 16, 4, 2) for b in range(4)]
+    assert {r["length"] for r in index.rows.where("chunk_id = 1").collect()} == {5}
