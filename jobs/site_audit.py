@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from jobs.common import command, log
 from quillmine.functions import text, urls
 from quillmine.plans.queries import LINK, PARTS, QUERY_TAIL, URLS, W
-from quillmine.sources.shared import shared_folder
+from quillmine.sources.shared import cut, shared_folder
 
 
 PAGES = (
@@ -51,7 +51,8 @@ def run(spark: SparkSession, pages: str, output: str, parts: int = 16) -> dict:
     links = known.select("page_id", "url", "host", F.explode(text.html_links(F.col("html"))).alias("href")).select("page_id", "host", target.alias("target"))
     links = links.where("target is not null").distinct().withColumn("inside", urls.host_of(F.col("target")) == F.col("host"))
     addresses = known.select(F.col("address").alias("target"), F.lit(True).alias("there")).distinct()
-    edges = links.join(addresses, "target", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    # pages are parsed and their links resolved once, for all three tables
+    edges = cut(links.join(addresses, "target", "left").withColumn("there", F.coalesce("there", F.lit(False))))
     out = edges.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_if("inside").alias("inside"), F.count_if(F.col("inside") & ~F.col("there")).alias("missing"))
     referred = edges.where("there").groupBy(F.col("target").alias("address")).agg(F.count_distinct("page_id").alias("referrers"))
     first = rows.groupBy("content_hash").agg(F.min("page_id").alias("first_page"))

@@ -110,3 +110,12 @@ def test_command_line(spark, tmp_path):
     )
     assert out.returncode == 0, out.stderr[-2000:]
     assert "wrote 1 pages" in out.stderr and spark.read.parquet(str(tmp_path / "out/pages")).count() == 1
+
+
+def test_audit_resolves_links_once(spark, tmp_path, monkeypatch):
+    """What pages, referrers and frontier are made of is written down, not made of the pages' text for each."""
+    kept, cut = [], site_audit.cut
+    monkeypatch.setattr(site_audit, "cut", lambda df: kept.append(df.columns) or cut(df))
+    spark.createDataFrame([(1, "https://a.org/", '<a href="/b">x</a>')], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    assert site_audit.run(spark, str(tmp_path / "pages"), str(tmp_path / "output"))["frontier"] == 1
+    assert [sorted(c) for c in kept] == [["host", "inside", "page_id", "target", "there"]]
