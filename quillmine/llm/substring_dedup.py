@@ -1,26 +1,25 @@
 """Near-duplicate passages across documents, found through compact windows.
 
 A passage of ``SPAN`` shingles or more is looked for through all subsequences of exactly that many
-shingles. Under a hash function, the subsequences whose least hash lies at the same position form
-a compact window; a Cartesian tree over the hashes yields all of them, a few for each ``SPAN``
-shingles. The least hash is the signature that groups a window's subsequences with those of other
-documents, and where windows of two documents meet, the interval of starts that both hold, aligned
-at the least hash, are the candidates. A subsequence is one if it meets others under ``EVIDENCE``
-of the ``FUNCTIONS`` functions; one with a partner of similarity s does so with the probability that
-two of four draws succeed, 97 % at 0.8. Each group elects its first occurrence and all candidates
-of the others are verified against it, word by word. What is not verified, and not mostly part of
-a passage that was, is grouped anew under finer signatures (one more function's least hash, twice),
-which tell apart the passages around a common phrase, and in the end by all its words.
+shingles. Its signatures are its ``depth`` lowest shingles in an order that is one for all documents: those
+that many documents have come last, the others by a hash. Two subsequences of similarity 0.8 differ in 5 of
+46 shingles at most, so two of the seven lowest of either are among the seven lowest of the other: none
+of them fails to meet. The starts of the subsequences that have a shingle among their lowest lie between a first
+and a last one, a compact window; where those of two documents meet, the interval of starts that both
+hold, aligned at the shingle, are the candidates. Each group elects its first occurrence and all candidates of
+the others are verified against it, word by word; what equals it is done with. Of what stays, the group elects
+another, and in the end all pairs are compared that aren't both similar to one that was elected.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -35,13 +34,13 @@ SIMILARITY = 0.8
 #: The bitmap that thins out unrepeated signatures has eight bits or so for each repeated one, and 2^MOST_BITS (32 MB)
 #: at most; were there more, the signatures would be joined without it.
 LEAST_BITS, MOST_BITS = 20, 28
-#: Elections: what the subsequences that one leaves are grouped by next. After the last they have been compared by all
-#: their words.
-ROUNDS = ("finer", "finer", "whole", "")
-#: Functions of which each makes a finer signature of what an election leaves.
-FINER = 4
-#: Functions under which a subsequence must meet others: what meets under a single one mostly shares a phrase.
+#: Elections in each group before all pairs of what stays are compared; a key's lowest bits tell which of
+#: those elected its subsequences are similar to.
+ELECTIONS = 2
+#: Signatures that subsequences have in common at least, if they are similar.
 EVIDENCE = 2
+#: Shingles that more documents have come last in the order.
+COMMON = 16
 #: Ids of documents up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Documents that a task compares with one first occurrence; those of a more common one are dealt over several.
@@ -163,10 +162,67 @@ def _parents(values: np.ndarray, text: np.ndarray) -> np.ndarray:
     return link
 
 
-def signatures(words: np.ndarray, bounds: np.ndarray, functions: int = FUNCTIONS, span: int = SPAN, size: int = SHINGLE) -> tuple[np.ndarray, ...]:
+def lowest_windows(value: np.ndarray, before: np.ndarray, end: np.ndarray, span: int, depth: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """``[first, centre, last]`` of the positions that are among the ``depth`` lowest of a subsequence of ``span``
+    within their text (which ends at ``end``, one for each position): the first and the last start of such ones.
+    And the starts of those that are one shingle again and again.
+
+    A shingle counts once in a subsequence, where it comes first (``before`` is the place of the same one before each). Of a
+    subsequence with ``n`` different ones so many count that one similar to it, with fewer, has ``EVIDENCE`` of them.
+    """
+    n = len(value) - span + 1
+    if n < 1:
+        return np.empty((0, 3), np.int64), np.empty(0, np.int64)
+    place, none = np.arange(len(value)), np.uint64(0xFFFFFFFFFFFFFFFF)
+    high = np.zeros(len(value) + span - 1, np.uint64)  # by start + span - 1: the highest that counts, 0 where a text ends in it
+    again = np.flatnonzero(before > place - span)
+    opened = np.bincount(np.maximum(again - span + 1, 0), minlength=n + span) - np.bincount(before[again] + 1, minlength=n + span)
+    inside = np.arange(n) + span <= end[:n]
+    odd = inside & (np.cumsum(opened)[:n] > 0)
+    every = np.lib.stride_tricks.sliding_window_view(value, span)
+    plain, odd, alone = np.flatnonzero(inside & ~odd), np.flatnonzero(odd), []
+    for i in range(0, len(plain), 8192):
+        some = plain[i : i + 8192]
+        high[some + span - 1] = np.partition(every[some], depth - 1, axis=1)[:, depth - 1]
+    for i in range(0, len(odd), 8192):
+        some = odd[i : i + 8192]
+        rows = np.sort(np.where(before[some[:, None] + np.arange(span)] >= some[:, None], none, every[some]), axis=1)
+        count = (rows != none).sum(axis=1)
+        taken = np.clip(count - np.ceil(similarity * count - 1e-9).astype(np.int64) + EVIDENCE, 1, count)
+        high[some + span - 1] = rows[np.arange(len(some)), taken - 1]
+        alone.append(some[count == 1])
+    centres, out = np.flatnonzero(value <= ~_least(~high, span)), []
+    for i in range(0, len(centres), 8192):
+        some = centres[i : i + 8192]
+        starts = some[:, None] + np.arange(1 - span, 1)
+        held = (value[some, None] <= high[starts + span - 1]) & (before[some, None] < starts)
+        real = held.any(axis=1)
+        some, held = some[real], held[real]
+        out.append(np.stack([some - span + 1 + held.argmax(axis=1), some, some - held[:, ::-1].argmax(axis=1)], axis=1))
+    return np.concatenate([np.empty((0, 3), np.int64), *out]), np.concatenate([np.empty(0, np.int64), *alone])
+
+
+def _before(base: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The place of the same shingle before each in its text, -1 if there is none."""
+    order = np.argsort(base, kind="stable")
+    same = np.flatnonzero((base[order][1:] == base[order][:-1]) & (begin[order][1:] == begin[order][:-1]))
+    out = np.full(len(base), -1)
+    out[order[same + 1]] = order[same]
+    return out
+
+
+def depth_of(span: int, similarity: float) -> tuple[int, int]:
+    """How many of the lowest shingles make signatures, and how many of these two subsequences that are similar share at least."""
+    apart = span - math.ceil(2 * similarity / (1 + similarity) * span - 1e-9)
+    depth = min(span, apart + EVIDENCE)
+    return depth, max(1, depth - apart)
+
+
+def signatures(words: np.ndarray, bounds: np.ndarray, functions: int = FUNCTIONS, span: int = SPAN, size: int = SHINGLE, depth: int = 0, common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """``text, key, centre, first, last`` for texts whose words lie between the ``bounds``: under a
     function, the subsequences of ``span`` shingles that start at first..last have their least hash
-    at centre; with the function it makes the key."""
+    at centre; with the function it makes the key. With a ``depth`` they (some between first and last, these
+    two for certain) have it among so many lowest, those last whose bits are ``common``."""
     counts = np.maximum(np.diff(bounds) - size + 1, 0)
     text = np.repeat(np.arange(len(counts)), counts)
     base = shingles(words, size)[np.repeat(bounds[:-1] - np.cumsum(counts) + counts, counts) + np.arange(len(text))] if len(text) else np.empty(0, np.uint64)
@@ -174,7 +230,17 @@ def signatures(words: np.ndarray, bounds: np.ndarray, functions: int = FUNCTIONS
     begin, end = (ends - counts)[text], ends[text]
     parts = [[] for _ in range(5)]
     with np.errstate(over="ignore"):
-        for f in range(functions):
+        if depth:
+            every = _mix(base * _ODD)
+            value, bits = every >> np.uint64(1), np.uint64(len(base).bit_length())
+            if common is not None:
+                value = value | _in_bits(common, every.view(np.int64)).astype(np.uint64) << np.uint64(63)
+            windows, alone = lowest_windows(value >> bits << bits | np.arange(len(base), dtype=np.uint64), _before(base, begin), end, span, depth)
+            first, centre, last = np.concatenate([windows, np.repeat(alone[:, None], 3, axis=1)]).T
+            key = every[centre]
+            key[len(windows) :] = _mix(key[len(windows) :])  # a single shingle under two keys, for EVIDENCE
+            parts = [[x] for x in (text[centre], key.view(np.int64) & ~np.int64((1 << ELECTIONS) - 1), *(x - begin[centre] for x in (centre, first, last)))]
+        for f in range(0 if depth else functions):
             h = _mix(base ^ _mix(np.uint64(SEED + f) * _ODD))
             left, centre, right = compact_windows(h, begin, end, span).T
             first, last = np.maximum(left, centre - span + 1), np.minimum(centre, right - span + 1)
@@ -185,6 +251,12 @@ def signatures(words: np.ndarray, bounds: np.ndarray, functions: int = FUNCTIONS
     return tuple(np.concatenate(x).astype(k) if x else np.empty(0, k) for x, k in zip(parts, kinds))
 
 
+def _in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """1 where the bitmap has the bit of a key's digits above the lowest."""
+    at = keys >> ELECTIONS & 8 * len(bits) - 1
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
+
+
 def _loads(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(texts):
@@ -222,26 +294,25 @@ def _places(order: np.ndarray, new: np.ndarray, text: np.ndarray, key: np.ndarra
     return order[new]
 
 
-def signature_rows(df: DataFrame, functions: int = FUNCTIONS, span: int = SPAN, size: int = SHINGLE, among: bytes | None = None, thin: bool = True) -> DataFrame:
+def signature_rows(df: DataFrame, functions: int = FUNCTIONS, span: int = SPAN, size: int = SHINGLE, among: bytes | None = None, thin: bool = True, depth: int = 0, common: bytes | None = None) -> DataFrame:
     """``key, doc, place`` of ``df(doc, text)``. At first only the first place of each key in a document;
     once the repeated keys are known (not ``thin``) all places, but for those that repeat the words
     of another one within ``span`` shingles, of the keys that the bits ``among`` let through."""
-    shared = None if among is None else df.sparkSession.sparkContext.broadcast(among)
+    shared, lasts = (None if x is None else df.sparkSession.sparkContext.broadcast(x) for x in (among, common))
     held = to_arrow_schema(StructType.fromDDL("key long, doc long, place long"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        bits = None if shared is None else np.frombuffer(shared.value, np.uint8)
+        bits, put_last = (None if x is None else np.frombuffer(x.value, np.uint8) for x in (shared, lasts))
         for batch in batches:
             docs, texts = batch.column(0).to_numpy(zero_copy_only=False), [t or b"" for t in batch.column(1).to_pylist()]
             for at, end in _loads(texts):
                 words, bounds = hashes(texts[at:end])
-                text, key, centre, first, last = signatures(words, bounds, functions, span, size)
+                text, key, centre, first, last = signatures(words, bounds, functions, span, size, depth, put_last)
                 place = pack_place(centre, first, last)
                 some = np.arange(len(key))
                 if bits is not None:
-                    at_bit = key & (8 * len(bits) - 1)
-                    some = np.flatnonzero(bits[at_bit >> 3] >> (at_bit & 7).astype(np.uint8) & 1)
+                    some = np.flatnonzero(_in_bits(bits, key))
                 with np.errstate(over="ignore"):  # a text's places of one key come by place: a stable sort keeps them so
                     own_key = key[some].view(np.uint64) ^ _mix(text[some].astype(np.uint64) + _ODD)
                 by = np.argsort(own_key, kind="stable")
@@ -265,9 +336,9 @@ def bits_for(count: int) -> int | None:
 
 
 def key_bits(keys: DataFrame, log2_bits: int) -> bytes:
-    """A bitmap with the bit of each key's low digits set, built in pieces of 4 KB."""
+    """A bitmap with the bit of each key's digits above the lowest set, built in pieces of 4 KB."""
     piece = 32768
-    at = F.col("key").bitwiseAND(F.lit((1 << log2_bits) - 1))
+    at = F.shiftright("key", ELECTIONS).bitwiseAND(F.lit((1 << log2_bits) - 1))
     rows = (
         keys.select((at / piece).cast("int").alias("piece"), (at % piece).alias("bit"))
         .groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
@@ -407,27 +478,12 @@ def _starts(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _runs(keys: np.ndarray, centre: np.ndarray, starts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``keys, places`` of starts that follow one another with one centre in a place, and the places that they are of."""
     new = np.ones(len(starts), bool)
-    new[1:] = (of[1:] != of[:-1]) | (starts[1:] != starts[:-1] + 1) | (centre[1:] != centre[:-1])
+    new[1:] = (of[1:] != of[:-1]) | (starts[1:] != starts[:-1] + 1) | (centre[1:] != centre[:-1]) | (keys[1:] != keys[:-1])
     heads = np.flatnonzero(new)
     ends = np.append(heads, len(starts))[1:] - 1
     return keys[heads], pack_place(centre[heads], starts[heads], starts[ends]), of[heads]
 
 
-def finer(base: np.ndarray, begin: np.ndarray, keys: np.ndarray, places: np.ndarray, span: int = SPAN, functions: range = range(FINER)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``keys, places`` that each have one more function's minimum in common, for each of ``functions``,
-    and which place each is of. ``base``: the shingles of all texts; a place's text begins at ``begin``."""
-    starts, of = _starts(places)
-    bits, place = np.uint64(len(base).bit_length()), np.arange(len(base), dtype=np.uint64)
-    parts = []
-    with np.errstate(over="ignore"):
-        for f in functions if len(starts) else ():
-            h = _mix(base ^ _mix(np.uint64(SEED + 1000 + f) * _ODD))
-            centre = (_least(h >> bits << bits | place, span) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)[starts + begin[of]]
-            key = _mix(keys.view(np.uint64)[of] * _ODD + h[centre] + np.uint64(f)).view(np.int64)
-            parts.append(_runs(key, centre - begin[of], starts, of))
-    return tuple(np.concatenate(x) for x in zip(*parts)) or (np.empty(0, np.int64),) * 3
-
-
 def pack_claims(keys: np.ndarray, places: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> bytes:
     """Two 64-bit numbers for each claim; lows and highs lie at most 255 before their centres."""
     centre = places >> 16
@@ -485,35 +541,37 @@ class Texts:
         self.covered = _sums(np.cumsum(self.covered)[:-1] > 0)
         return found
 
-    def left(self, evidence: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``key, place, text`` (its number) of the claims' starts that aren't verified, but for those of which
-        passages that were cover half the words or more, and those that fewer than ``evidence`` claims hold."""
+    def left(self, evidence: int, number: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``key, place, text`` (its number) of the claims' starts that fewer than ``evidence`` claims don't hold.
+
+        With the ``number`` of an election, those that are similar to what was elected have its bit in their keys, and
+        those that equal it are gone, after the first election from all groups (what they equal comes before them and
+        is in all of these). Without one, all that are verified are gone, and those that passages cover by half."""
         starts, of = _starts(self.place)
         run = self.run[of]
         here = starts + self.begin[self.text[run]]
         at = starts - self.start[run]
-        gone = np.zeros(len(starts), bool)
+        score = np.zeros(len(starts))
         inside = np.flatnonzero((at >= 0) & (at < self.sizes[run]))
-        gone[inside] = self.scores[self.at[run[inside]] + at[inside]] > 0
-        gone |= 2 * (self.covered[here + self.wide] - self.covered[here]) >= self.wide
+        score[inside] = self.scores[self.at[run[inside]] + at[inside]]
+        keys = self.key[of]
+        if number is None:
+            gone = (score > 0) | (2 * (self.covered[here + self.wide] - self.covered[here]) >= self.wide)
+        else:
+            keys = keys | (score > 0).astype(np.int64) << number
+            gone = score == 1
+            if not number:
+                gone = np.bincount(here, gone, 1)[here] > 0
         if evidence > 1:
             gone |= np.bincount(here, minlength=1)[here] < evidence
         some = np.flatnonzero(~gone)
         starts, of = starts[some], of[some]
-        key, place, of = _runs(self.key[of], (self.place >> 16)[of], starts, of)
+        key, place, of = _runs(keys[some], (self.place >> 16)[of], starts, of)
         return key, place, self.text[self.run[of]]
 
-    def regrouped(self, then: str, number: int, evidence: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``id, key, place`` of what is left, under the signatures that it is grouped by next."""
-        key, place, text = self.left(evidence)
-        if then == "finer":
-            key, place, of = finer(shingles(self.words, self.size), self.begin[text], key, place, self.span, range(number * FINER, (number + 1) * FINER))
-            text = text[of]
-        else:
-            start, of = _starts(place)
-            text = text[of]
-            here = start + self.begin[text]
-            key, place = hashes.stretches(self.words, here, here + self.wide).view(np.int64), pack_place(start, start, start)
+    def carried(self, evidence: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``id, key, place`` of what is left after an election."""
+        key, place, text = self.left(evidence, number)
         order = np.lexsort((place, key, text))
         key, place, text = key[order], place[order], text[order]
         new = np.ones(len(key), bool)
@@ -535,10 +593,10 @@ def evident(keys: np.ndarray, places: np.ndarray, least: int) -> np.ndarray:
     return np.where(i <= j, new, -1)
 
 
-def _pairs(claims: DataFrame, least: int) -> DataFrame:
+def _pairs(claims: DataFrame, least: int, *by: str) -> DataFrame:
     """``doc, rep, keys, places, reps`` from ``claims(doc, key, place, rep, rep_place)``: what a document
-    claims of one first occurrence, of the starts that ``least`` of its claims hold. A document's claims
-    are bounded by its own places."""
+    claims of one first occurrence, of the starts that ``least`` of its claims hold, or of those of one pair (``by``).
+    A document's claims are bounded by its own places."""
     schema = "doc long, rep long, keys array<long>, places array<long>, reps array<long>"
     held = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -555,8 +613,14 @@ def _pairs(claims: DataFrame, least: int) -> DataFrame:
                     out.append((doc, int(rep[some[0]]), key[some], cut_place[some], rep_place[some]))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out) if out else [()] * 5, held)], schema=held)
 
-    grouped = claims.groupBy("doc").agg(F.collect_set(F.struct("key", "place", "rep", "rep_place")).alias("claims"))
-    return grouped.mapInArrow(dealt, schema)
+    grouped = claims.groupBy("doc", *by).agg(F.collect_set(F.struct("key", "place", "rep", "rep_place")).alias("claims"))
+    return grouped.select("doc", "claims").mapInArrow(dealt, schema)
+
+
+def _meet(place: str, other: str) -> Column:
+    """Whether two places, aligned at their centres, have a start in common."""
+    back, ahead = ([F.shiftright(p, n).bitwiseAND(F.lit(255).cast("long")) for p in (place, other)] for n in (8, 0))
+    return F.least(*back) >= F.greatest(*ahead)
 
 
 CHECKED = "doc long, rep long, start int, end int, rep_start int, rep_end int, similarity double, key long, place long"
@@ -583,9 +647,9 @@ def _needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", "left_semi")
 
 
-def _check(pairs: DataFrame, texts: DataFrame, span: int, size: int, similarity: float, then: str, number: int) -> DataFrame:
-    """Verify ``pairs(doc, rep, keys, places, reps)``: passages, and the signatures of the subsequences that are
-    not verified; in their stead finer signatures or the whole subsequences, if ``then`` says so.
+def _check(pairs: DataFrame, texts: DataFrame, span: int, size: int, similarity: float, evidence: int, number: int | None) -> DataFrame:
+    """Verify ``pairs(doc, rep, keys, places, reps)``: passages, and after the election ``number`` the signatures of
+    the subsequences that are left.
     A first occurrence's further places claim it too, only to be grouped again.
 
     The first occurrences' words travel, cut to what is claimed; a text goes to where it is claimed
@@ -628,7 +692,7 @@ def _check(pairs: DataFrame, texts: DataFrame, span: int, size: int, similarity:
         """Passages, and then documents, keys and places of what is left."""
         work = Texts([t for t in texts if t[2]], span, size)
         found = work.verify(similarity)
-        new = work.regrouped(then, number, 1 if number else EVIDENCE, hashes) if then else (np.empty(0, np.int64),) * 3
+        new = (np.empty(0, np.int64),) * 3 if number is None else work.carried(evidence, number)
         new, old = dict(zip(("doc", "key", "place"), new)), dict(zip((f.name for f in held), zip(*found)))
         n = len(new["key"])
         columns = [pa.concat_arrays([pa.array(old.get(f.name, [None] * len(found)), f.type), pa.array(new[f.name], f.type) if f.name in new else pa.nulls(n, f.type)]) for f in held]
@@ -639,7 +703,7 @@ def _check(pairs: DataFrame, texts: DataFrame, span: int, size: int, similarity:
     return _next_to_text(runs, _needed(texts, runs.select("doc")), "doc", "doc").mapInArrow(checked, CHECKED)
 
 
-def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", functions: int = FUNCTIONS, span: int = SPAN, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Passages that a document shares with an earlier one: ``doc_id, rep_id, start, end,
     rep_start, rep_end, similarity``; places in words, end exclusive, rep_id < doc_id.
 
@@ -649,35 +713,76 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat an id count as one document (any of them where they differ). Extra columns are ignored;
     an empty table gives no rows.
 
-    A passage of 50 words that is equal in two documents is always found, or half of it or more
-    lies in passages that were: its signatures are equal, and if all elections compare it with
-    others its whole words still are. One of similarity s meets another, for each 50 words of it,
-    under two of four functions with probability 0.97 at 0.8 and 0.996 at 0.9; of those that meet,
-    some are lost whose elections, under finer signatures too, are all won by others.
+    Subsequences of 46 different shingles that are similar enough, aligned at a shingle that is among the lowest of both,
+    are always compared, or both are similar to one that both were compared with: rows join everything that is similar,
+    directly or by way of others. Rows are no list of all pairs.
     """
     if not 1 <= span <= 255:
         raise ValueError("span must be from 1 to 255")
-    bound_batches(df.sparkSession)
+    spark = df.sparkSession
+    bound_batches(spark)
     texts = df.where(named(id_col).isNotNull() & named(text_col).isNotNull()).select(named(id_col).cast("long").alias("doc"), named(text_col).cast("binary").alias("text"))
-    rows, passages = signature_rows(texts, functions, span, size), None
+    depth, evidence = depth_of(span, similarity)
     columns = ["doc", "rep", "start", "end", "rep_start", "rep_end", "similarity"]
-    for number, then in enumerate(ROUNDS):
-        # keys of several documents, with their first occurrence
-        least = F.min_by("place", "doc") if not number else F.min(F.struct("doc", "place"))["place"]  # one place a document at first
-        reps = rows.groupBy("key").agg(F.min("doc").alias("rep"), least.alias("rep_place"), F.max("doc").alias("most"))
-        reps = cut(reps.where("rep < most").select("key", "rep", "rep_place"))
-        count = reps.count()
-        if not count:
-            break
-        if not number:
-            bits = bits_for(count)
-            rows = signature_rows(texts, functions, span, size, None if bits is None else key_bits(reps, bits), thin=False)
-        pairs = _pairs(rows.join(reps, "key").where("doc <> rep or place <> rep_place"), 1 if number else min(EVIDENCE, functions))
-        checked = cut(_check(cut(pairs), texts, span, size, similarity, then, number))
-        found = checked.where("start is not null").select(*columns)
-        passages = found if passages is None else passages.union(found)
-        rows = checked.where("key is not null").select("key", "doc", "place").distinct()
-        release(df.sparkSession)  # without it an executor of 3 GB was too small on the check's hot input
-    if passages is None:
-        passages = df.sparkSession.createDataFrame([], "doc long, rep long, start int, end int, rep_start int, rep_end int, similarity double")
-    return passages.distinct().select(F.col("doc").alias("doc_id"), F.col("rep").alias("rep_id"), *columns[2:])
+    passages = spark.createDataFrame([], "doc long, rep long, start int, end int, rep_start int, rep_end int, similarity double")
+    rows = _repeated(texts, span, size, depth)
+    for number in range(ELECTIONS):
+        # keys of several documents, with their first occurrence, then with any: where first ones are odd, most are alike
+        row = F.struct("doc", "place", "key")
+        rep = F.min(row) if not number else F.min_by(row, F.xxhash64("doc", "place"))
+        reps = rows.groupBy(_group().alias("group")).agg(rep.alias("rep"), F.min("doc").alias("least"), F.max("doc").alias("most"), F.bit_and("key").alias("all"))
+        reps = cut(reps.where("least < most").where(~_near_one("all")).select("group", F.col("rep.doc").alias("rep"), F.col("rep.place").alias("rep_place"), F.col("rep.key").alias("rep_key")))
+        if reps.isEmpty():
+            return _ordered(passages)
+        joined = rows.join(reps, _group() == F.col("group")).where("doc <> rep or place <> rep_place")
+        claims, apart = joined.where(~_near_one("key", "rep_key")).drop("group", "rep_key"), joined.where(_near_one("key", "rep_key"))
+        checked = cut(_check(cut(_pairs(claims, 1 if number else evidence)), texts, span, size, similarity, 1 if number else evidence, number))
+        passages = passages.union(checked.where("start is not null").select(*columns))
+        rows = checked.where("key is not null").select("key", "doc", "place").union(apart.select("key", "doc", "place")).distinct()
+        rows = cut(rows) if number else rows  # what is apart has the rows before in its lineage
+        release(spark)  # without it an executor of 3 GB was too small on the check's hot input
+    own, other = rows.withColumn("group", _group()), rows.select(_group().alias("group"), F.col("key").alias("rep_key"), F.col("doc").alias("rep"), F.col("place").alias("rep_place"))
+    rest = own.join(other, "group").where(F.col("rep") < F.col("doc")).where(~_near_one("key", "rep_key")).where(_meet("place", "rep_place"))
+    pairs = cut(_pairs(rest.select("doc", F.col("group").alias("key"), "place", "rep", "rep_place").withColumn("pair", F.col("rep")), evidence, "pair"))
+    if not pairs.isEmpty():
+        passages = passages.union(cut(_check(pairs, texts, span, size, similarity, evidence, None)).select(*columns))
+    return _ordered(passages)
+
+
+def _group() -> Column:
+    """What a key groups by."""
+    return F.shiftright("key", ELECTIONS)
+
+
+def _near_one(*keys: str) -> Column:
+    """Whether subsequences with these keys are all similar to one that was elected."""
+    both = F.lit((1 << ELECTIONS) - 1).cast("long")
+    for k in keys:
+        both = both.bitwiseAND(F.col(k))
+    return both != 0
+
+
+def _repeated(texts: DataFrame, span: int, size: int, depth: int) -> DataFrame:
+    """``key, doc, place`` of the signatures that several documents have (and of some that one has), when what is common comes last."""
+    bits = common = None
+    for last in (False, True):
+        rows = signature_rows(texts, span=span, size=size, depth=depth, common=common)
+        found = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        if not last:
+            many = found.where(F.col("n") > COMMON).select("key")
+            count = many.count()
+            if count:
+                common = key_bits(many, bits_for(count) or MOST_BITS)
+                release(texts.sparkSession)
+                continue
+        log2_bits = bits_for(found.count())
+        bits = None if log2_bits is None else key_bits(found, log2_bits)
+        break
+    return cut(signature_rows(texts, span=span, size=size, among=bits, thin=False, depth=depth, common=common))
+
+
+def _ordered(passages: DataFrame) -> DataFrame:
+    """The later document of each pair first."""
+    swapped = F.col("doc") < F.col("rep")
+    names = {"doc_id": ("doc", "rep"), "rep_id": ("rep", "doc"), "start": ("start", "rep_start"), "end": ("end", "rep_end"), "rep_start": ("rep_start", "start"), "rep_end": ("rep_end", "end")}
+    return passages.select(*(F.when(swapped, F.col(b)).otherwise(F.col(a)).alias(c) for c, (a, b) in names.items()), "similarity").distinct()

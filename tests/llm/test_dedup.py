@@ -394,6 +394,47 @@ def test_near_passages_around_a_common_phrase_are_linked(spark):
     assert found <= {(i + n, i) for i in range(n)} and len(found) >= 0.95 * n
 
 
+def test_chains_of_near_passages_are_linked(spark):
+    """Passages A, B, C where B is similar to A and C to B, but not C to A, which comes first."""
+    rng, docs, n = random.Random(41), [], 120
+    for i in range(n):
+        passage = text_of(rng, 50)
+        for j, at in enumerate((None, 17, 33)):
+            if at is not None:
+                passage[at] = f"v{i}x{j}"
+            docs.append((i + n * j, " ".join(text_of(rng, 40) + passage + text_of(rng, 40))))
+    got = rows(substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert {(r["doc_id"], r["rep_id"]) for r in got} == {(i + n * j, i + n * (j - 1)) for i in range(n) for j in (1, 2)}
+
+
+def test_copies_and_variants_of_one_passage_are_one_class(spark):
+    """Many copies of a passage, and variants that are similar to these and not to each other; the first is a variant."""
+    rng, docs = random.Random(43), []
+    base = text_of(rng, 50)
+    for i in range(120):
+        passage = list(base)
+        if i % 3 == 0:
+            passage[5 + i * 7 % 40] = f"v{i}"
+        docs.append((i, " ".join(text_of(rng, 40) + passage + text_of(rng, 40))))
+    got = rows(substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert {r["component"] for r in rows(connected_components(spark.createDataFrame([(r["doc_id"], r["rep_id"]) for r in got], "a long, b long")))} == {0}
+    assert {x for r in got for x in (r["doc_id"], r["rep_id"])} == set(range(120)) and all(r["rep_id"] < r["doc_id"] for r in got)
+
+
+def test_lowest_shingles_of_similar_passages_meet(spark):
+    """Subsequences of similarity 0.8 share two of their seven lowest shingles, whatever comes last."""
+    rng, depth = np.random.default_rng(47), substring_dedup.depth_of(substring_dedup.SPAN, 0.8)
+    assert depth == (7, 2)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 60, 50).astype(np.uint64)
+        b = a.copy()
+        b[rng.integers(4, 46)] += np.uint64(1)
+        common = rng.integers(0, 256, 512).astype(np.uint8)
+        text, key, centre, first, last = substring_dedup.signatures(np.concatenate([a, b]), np.array([0, 50, 100]), depth=depth[0], common=common)
+        assert (first == 0).all() and (last == 0).all() and [(text == i).sum() for i in (0, 1)] == [7, 7]
+        assert len(set(key[text == 0].tolist()) & set(key[text == 1].tolist())) >= depth[1]
+
+
 def window_sets(words, span=substring_dedup.SPAN, size=substring_dedup.SHINGLE):
     """The sets of shingles of all windows."""
     low = [w.lower() for w in words]
