@@ -66,6 +66,21 @@ def test_crawl_warnings(spark, source):
     assert none.warnings == [crawl.NO_PAGES.format(n=1)]
 
 
+def test_a_level_takes_as_many_tasks_as_its_pages_need(spark):
+    """Whatever the number of partitions of the table that they are stored in."""
+    stored = spark.createDataFrame(list(GRAPH.items()), "url string, html string").repartition(40)
+    parts = []
+
+    def cut(df):
+        out = crawl.written(df)
+        parts.extend([out.rdd.getNumPartitions()] if "page" in df.columns else [])
+        return out
+
+    with_many = lambda urls: table_source(stored)(urls).repartition(40)
+    assert crawl.crawl(spark, with_many, crawl.CrawlOptions(BASE), cut).pages.count() == 6
+    assert parts and set(parts) == {1}
+
+
 def test_reachable_takes_the_least_depth(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2), (0, 2), (2, 0), (2, 3), (9, 8)], "src long, dst long")
     got = {r["url"]: r["depth"] for r in crawl.reachable(edges, spark.createDataFrame([(0,)], "url long"), 5).collect()}
