@@ -31,8 +31,8 @@ SHINGLE = 5
 SPAN = 46
 FUNCTIONS = 4
 SIMILARITY = 0.8
-#: The bitmap that thins out unrepeated signatures has eight bits or so for each repeated one, and 2^MOST_BITS (32 MB)
-#: at most; were there more, the signatures would be joined without it.
+#: The bitmap of repeated shingles has eight bits or so for each, and 2^MOST_BITS (32 MB) at most; with fewer than two for each it tells of
+#: fewer shingles. Which ones it takes for repeated that are not, and which it tells of, no result depends on.
 LEAST_BITS, MOST_BITS = 20, 28
 #: Elections in each group before all pairs of what stays are compared; a key's lowest bits tell which of
 #: those elected its subsequences are similar to.
@@ -43,11 +43,13 @@ EVIDENCE = 2
 COMMON = 16
 #: Ids of documents up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
+#: Parts by which shingles are counted: a power of two, no more than 2^LEAST_BITS / 8.
+PARTS = 1024
 #: Documents that a task compares with one first occurrence; those of a more common one are dealt over several.
 CLAIMS = 1024
 SEED = 99
-#: Bytes of text that are hashed at a time; a longer text goes alone.
-LOAD = 1 << 21
+#: Bytes of text that are hashed at a time; a longer text goes alone. Shingles that are ranked at a time.
+LOAD, PIECE = 1 << 21, 1 << 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,6 +77,7 @@ class WordHashes:
 
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
+            n = 1 << (n - 1).bit_length()
             self.up = _powers(n)
             down = np.full(n, self.inverse, np.uint64)
             down[:1] = 1
@@ -162,6 +165,34 @@ def _parents(values: np.ndarray, text: np.ndarray) -> np.ndarray:
     return link
 
 
+def _kth_least(value: np.ndarray, span: int, depth: int) -> np.ndarray:
+    """The ``depth``-th least of each ``span`` consecutive values, from the lowest ones of blocks from either end."""
+    n, out = len(value) - span + 1, []
+    none = np.iinfo(value.dtype).max
+    step = max(1, PIECE // span) * span
+    for i in range(0, n, step):
+        own = value[i : i + step + span - 1]
+        blocks = -(-len(own) // span) + 1  # one more, for what begins with a block has nothing of the next
+        full = np.concatenate([own, np.full(blocks * span - len(own), none, value.dtype)]).reshape(blocks, span).T.copy()
+        back, ahead = (np.empty((depth, span, blocks), value.dtype) for _ in range(2))
+        for lows, places, without in ((back, range(span - 1, -1, -1), False), (ahead, range(span), True)):
+            least = np.full((depth, blocks), none, value.dtype)
+            for at in places:
+                if without:
+                    lows[:, at] = least
+                x = full[at]
+                for k in range(depth):
+                    least[k], x = np.minimum(least[k], x), np.maximum(least[k], x)
+                if not without:
+                    lows[:, at] = least
+        back, ahead = back[:, :, :-1], ahead[:, :, 1:]
+        high = np.minimum(back[-1], ahead[-1])
+        for k in range(depth - 1):
+            np.minimum(high, np.maximum(back[k], ahead[depth - 2 - k]), out=high)
+        out.append(high.T.ravel()[: min(step, n - i)])
+    return np.concatenate(out)
+
+
 def lowest_windows(value: np.ndarray, before: np.ndarray, end: np.ndarray, span: int, depth: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """``[first, centre, last]`` of the positions that are among the ``depth`` lowest of a subsequence of ``span``
     within their text (which ends at ``end``, one for each position): the first and the last start of such ones.
@@ -177,13 +208,11 @@ def lowest_windows(value: np.ndarray, before: np.ndarray, end: np.ndarray, span:
     high = np.zeros(len(value) + span - 1, np.uint64)  # by start + span - 1: the highest that counts, 0 where a text ends in it
     again = np.flatnonzero(before > place - span)
     opened = np.bincount(np.maximum(again - span + 1, 0), minlength=n + span) - np.bincount(before[again] + 1, minlength=n + span)
-    inside = np.arange(n) + span <= end[:n]
+    inside = place[:n] + span <= end[:n]
     odd = inside & (np.cumsum(opened)[:n] > 0)
+    high[span - 1 : len(value)] = np.where(inside, _kth_least(value, span, depth), np.uint64(0))
     every = np.lib.stride_tricks.sliding_window_view(value, span)
-    plain, odd, alone = np.flatnonzero(inside & ~odd), np.flatnonzero(odd), []
-    for i in range(0, len(plain), 8192):
-        some = plain[i : i + 8192]
-        high[some + span - 1] = np.partition(every[some], depth - 1, axis=1)[:, depth - 1]
+    odd, alone = np.flatnonzero(odd), []
     for i in range(0, len(odd), 8192):
         some = odd[i : i + 8192]
         rows = np.sort(np.where(before[some[:, None] + np.arange(span)] >= some[:, None], none, every[some]), axis=1)
@@ -191,21 +220,30 @@ def lowest_windows(value: np.ndarray, before: np.ndarray, end: np.ndarray, span:
         taken = np.clip(count - np.ceil(similarity * count - 1e-9).astype(np.int64) + EVIDENCE, 1, count)
         high[some + span - 1] = rows[np.arange(len(some)), taken - 1]
         alone.append(some[count == 1])
-    centres, out = np.flatnonzero(value <= ~_least(~high, span)), []
-    for i in range(0, len(centres), 8192):
-        some = centres[i : i + 8192]
-        starts = some[:, None] + np.arange(1 - span, 1)
-        held = (value[some, None] <= high[starts + span - 1]) & (before[some, None] < starts)
-        real = held.any(axis=1)
-        some, held = some[real], held[real]
-        out.append(np.stack([some - span + 1 + held.argmax(axis=1), some, some - held[:, ::-1].argmax(axis=1)], axis=1))
-    return np.concatenate([np.empty((0, 3), np.int64), *out]), np.concatenate([np.empty(0, np.int64), *alone])
+    centres = np.flatnonzero(value <= ~_least(~high, span))
+    own, least = value[centres], np.maximum(centres - span, before[centres]) + 1
+    first, last = least.copy(), centres.copy()
+    for starts, by in ((first, 1), (last, -1)):  # each moves on until it is held
+        open_ = np.arange(len(centres))
+        while len(open_):
+            open_ = open_[own[open_] > high[starts[open_] + span - 1]]
+            starts[open_] += by
+            open_ = open_[(starts[open_] >= least[open_]) & (starts[open_] <= centres[open_])]
+    real = np.flatnonzero(first <= last)
+    return np.stack([first[real], centres[real], last[real]], axis=1), np.concatenate([np.empty(0, np.int64), *alone])
 
 
 def _before(base: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The place of the same shingle before each in its text, -1 if there is none."""
-    order = np.argsort(base, kind="stable")
-    same = np.flatnonzero((base[order][1:] == base[order][:-1]) & (begin[order][1:] == begin[order][:-1]))
+    bits = np.uint64(len(base).bit_length())
+    rows = np.sort(base >> bits << bits | np.arange(len(base), dtype=np.uint64))
+    order = (rows & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    alike, equal = rows[1:] >> bits == rows[:-1] >> bits, base[order][1:] == base[order][:-1]
+    if (alike & ~equal).any():  # different shingles that agree but for their last digits
+        order = np.argsort(base, kind="stable")
+        equal = base[order][1:] == base[order][:-1]
+    same = np.flatnonzero(equal)
+    same = same[begin[order[same + 1]] == begin[order[same]]]
     out = np.full(len(base), -1)
     out[order[same + 1]] = order[same]
     return out
@@ -218,24 +256,49 @@ def depth_of(span: int, similarity: float) -> tuple[int, int]:
     return depth, max(1, depth - apart)
 
 
-def signatures(words: np.ndarray, bounds: np.ndarray, functions: int = FUNCTIONS, span: int = SPAN, size: int = SHINGLE, depth: int = 0, common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """``text, key, centre, first, last`` for texts whose words lie between the ``bounds``: under a
-    function, the subsequences of ``span`` shingles that start at first..last have their least hash
-    at centre; with the function it makes the key. With a ``depth`` they (some between first and last, these
-    two for certain) have it among so many lowest, those last whose bits are ``common``."""
+def _shingled(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """``text, shingle, begin, end``: the shingles of texts whose words lie between the ``bounds``, and where each one's text lies among them."""
     counts = np.maximum(np.diff(bounds) - size + 1, 0)
     text = np.repeat(np.arange(len(counts)), counts)
     base = shingles(words, size)[np.repeat(bounds[:-1] - np.cumsum(counts) + counts, counts) + np.arange(len(text))] if len(text) else np.empty(0, np.uint64)
     ends = np.cumsum(counts)
-    begin, end = (ends - counts)[text], ends[text]
+    return text, base, (ends - counts)[text], ends[text]
+
+
+def _codes(every: np.ndarray) -> np.ndarray:
+    """The part of each shingle by its lowest bits, and its 32 highest: what it is counted by."""
+    return (every & np.uint64(PARTS - 1)) << np.uint64(32) | every >> np.uint64(32)
+
+
+def _in_bits(bits: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """1 where the bitmap has the bit of a shingle: that of its code's lowest digits, in its part's piece."""
+    each = np.uint64(max(1, 8 * len(bits) // PARTS))
+    at = (every & np.uint64(PARTS - 1)) * each + (every >> np.uint64(32) & each - np.uint64(1)) & np.uint64(8 * len(bits) - 1)
+    return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+
+
+def signatures(words: np.ndarray, bounds: np.ndarray, functions: int = FUNCTIONS, span: int = SPAN, size: int = SHINGLE, depth: int = 0, common: np.ndarray | None = None, repeated: np.ndarray | None = None, known: int = 1 << 32) -> tuple[np.ndarray, ...]:
+    """``text, key, centre, first, last`` for texts whose words lie between the ``bounds``: under a
+    function, the subsequences of ``span`` shingles that start at first..last have their least hash
+    at centre; with the function it makes the key. With a ``depth`` they (some between first and last, these
+    two for certain) have it among so many lowest, those last whose bits are ``common``. With the bits of those that are
+    ``repeated`` the others come first, and they make no signatures, for no other text has them. The bits tell of shingles
+    below ``known`` (by their 32 highest digits); the others come between the repeated and the common ones."""
+    text, base, begin, end = _shingled(words, bounds, size)
     parts = [[] for _ in range(5)]
     with np.errstate(over="ignore"):
         if depth:
             every = _mix(base * _ODD)
-            value, bits = every >> np.uint64(1), np.uint64(len(base).bit_length())
+            kind, told = np.zeros(len(base), np.uint64), every >> np.uint64(32) < np.uint64(known)
+            bits = np.uint64(len(base).bit_length())
+            if repeated is not None:
+                kind = np.where(told, _in_bits(repeated, every), 2).astype(np.uint64)
             if common is not None:
-                value = value | _in_bits(common, every.view(np.int64)).astype(np.uint64) << np.uint64(63)
+                kind[told & (_in_bits(common, every) > 0)] = 3
+            value = every >> np.uint64(2) | kind << np.uint64(62)
             windows, alone = lowest_windows(value >> bits << bits | np.arange(len(base), dtype=np.uint64), _before(base, begin), end, span, depth)
+            if repeated is not None:
+                windows, alone = windows[kind[windows[:, 1]] > 0], alone[kind[alone] > 0]
             first, centre, last = np.concatenate([windows, np.repeat(alone[:, None], 3, axis=1)]).T
             key = every[centre]
             key[len(windows) :] = _mix(key[len(windows) :])  # a single shingle under two keys, for EVIDENCE
@@ -251,12 +314,6 @@ def signatures(words: np.ndarray, bounds: np.ndarray, functions: int = FUNCTIONS
     return tuple(np.concatenate(x).astype(k) if x else np.empty(0, k) for x, k in zip(parts, kinds))
 
 
-def _in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """1 where the bitmap has the bit of a key's digits above the lowest."""
-    at = keys >> ELECTIONS & 8 * len(bits) - 1
-    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
-
-
 def _loads(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(texts):
@@ -294,25 +351,25 @@ def _places(order: np.ndarray, new: np.ndarray, text: np.ndarray, key: np.ndarra
     return order[new]
 
 
-def signature_rows(df: DataFrame, functions: int = FUNCTIONS, span: int = SPAN, size: int = SHINGLE, among: bytes | None = None, thin: bool = True, depth: int = 0, common: bytes | None = None) -> DataFrame:
-    """``key, doc, place`` of ``df(doc, text)``. At first only the first place of each key in a document;
-    once the repeated keys are known (not ``thin``) all places, but for those that repeat the words
-    of another one within ``span`` shingles, of the keys that the bits ``among`` let through."""
-    shared, lasts = (None if x is None else df.sparkSession.sparkContext.broadcast(x) for x in (among, common))
+def signature_rows(df: DataFrame, functions: int = FUNCTIONS, span: int = SPAN, size: int = SHINGLE, among: bytes | None = None, thin: bool = True, depth: int = 0, common: bytes | None = None, repeated: bytes | None = None, known: int = 1 << 32) -> DataFrame:
+    """``key, doc, place`` of ``df(doc, text)``, of the keys that the bits ``among`` let through: the first place of each key in
+    a document, or (not ``thin``) all places, but for those that repeat the words of another one within ``span`` shingles."""
+    sc = df.sparkSession.sparkContext
+    shared, lasts, others = (None if x is None else sc.broadcast(x) for x in (among, common, repeated))
     held = to_arrow_schema(StructType.fromDDL("key long, doc long, place long"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        bits, put_last = (None if x is None else np.frombuffer(x.value, np.uint8) for x in (shared, lasts))
+        bits, put_last, several_have = (None if x is None else np.frombuffer(x.value, np.uint8) for x in (shared, lasts, others))
         for batch in batches:
             docs, texts = batch.column(0).to_numpy(zero_copy_only=False), [t or b"" for t in batch.column(1).to_pylist()]
             for at, end in _loads(texts):
                 words, bounds = hashes(texts[at:end])
-                text, key, centre, first, last = signatures(words, bounds, functions, span, size, depth, put_last)
+                text, key, centre, first, last = signatures(words, bounds, functions, span, size, depth, put_last, several_have, known)
                 place = pack_place(centre, first, last)
                 some = np.arange(len(key))
                 if bits is not None:
-                    some = np.flatnonzero(_in_bits(bits, key))
+                    some = np.flatnonzero(_in_bits(bits, key.view(np.uint64)))
                 with np.errstate(over="ignore"):  # a text's places of one key come by place: a stable sort keeps them so
                     own_key = key[some].view(np.uint64) ^ _mix(text[some].astype(np.uint64) + _ODD)
                 by = np.argsort(own_key, kind="stable")
@@ -329,23 +386,59 @@ def signature_rows(df: DataFrame, functions: int = FUNCTIONS, span: int = SPAN,
     return df.select("doc", "text").mapInArrow(rows, "key long, doc long, place long")
 
 
-def bits_for(count: int) -> int | None:
-    """The logarithm of a bitmap's bits for so many keys; None if it would be too large."""
-    log2_bits = max(LEAST_BITS, (8 * count).bit_length())
-    return log2_bits if log2_bits <= MOST_BITS else None
+def counted_shingles(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``part, repeated, common``: for each part the codes of the shingles that several rows of ``texts(text)`` have, and of
+    those that more than ``COMMON`` have, 32 bits each. A few others count with them that have a code in common."""
+    held, counted = (to_arrow_schema(StructType.fromDDL(x)) for x in ("part int, codes binary", "part int, repeated binary, common binary"))
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            for at, end in _loads(texts):
+                text, base, _, _ = _shingled(*hashes(texts[at:end]), size)
+                with np.errstate(over="ignore"):
+                    codes = _codes(_mix(base * _ODD))
+                # once for each text; those with a shingle are fewer than 2^20 in a load
+                own = np.sort(codes << np.uint64(20) | (np.cumsum(np.diff(text, prepend=text[:1]) > 0)).astype(np.uint64))
+                own = own[np.diff(own, prepend=~own[:1]) != 0] >> np.uint64(20)
+                ends = np.searchsorted(own, np.arange(1, PARTS + 1, dtype=np.uint64) << np.uint64(32))
+                offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+                blobs = pa.BinaryArray.from_buffers(pa.binary(), PARTS, [None, pa.py_buffer(offsets), pa.py_buffer(own.astype(np.uint32))])
+                some = np.flatnonzero(np.diff(offsets))
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), blobs.take(pa.array(some))], schema=held)
+
+    def count(table: pa.Table) -> pa.Table:
+        codes = np.sort(np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint32))
+        heads = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        n = np.diff(heads, append=len(codes))
+        return pa.Table.from_arrays([table.column("part").combine_chunks()[:1], *(pa.array([codes[heads[n > least]].tobytes()], pa.binary()) for least in (1, COMMON))], schema=counted)
+
+    return texts.select("text").mapInArrow(rows, "part int, codes binary").groupBy("part").applyInArrow(count, "part int, repeated binary, common binary")
+
+
+def bits_for(count: int) -> int:
+    """The logarithm of a bitmap's bits for so many shingles."""
+    return min(MOST_BITS, max(LEAST_BITS, (8 * count).bit_length()))
+
+
+def code_bits(counted: DataFrame, name: str, log2_bits: int, known: int) -> bytes:
+    """A bitmap of the codes ``name`` below ``known``, a piece from each part."""
+    each = (1 << log2_bits) // PARTS
+    held = to_arrow_schema(StructType.fromDDL("part int, bits binary"))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for codes in batch.column(1).to_pylist():
+                codes, bits = np.frombuffer(codes, np.uint32).astype(np.int64), np.zeros(each, bool)
+                bits[codes[codes < known] & each - 1] = True
+                out.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], schema=held)
 
-def key_bits(keys: DataFrame, log2_bits: int) -> bytes:
-    """A bitmap with the bit of each key's digits above the lowest set, built in pieces of 4 KB."""
-    piece = 32768
-    at = F.shiftright("key", ELECTIONS).bitwiseAND(F.lit((1 << log2_bits) - 1))
-    rows = (
-        keys.select((at / piece).cast("int").alias("piece"), (at % piece).alias("bit"))
-        .groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    )
     out = bytearray(1 << log2_bits >> 3)
-    for r in rows:
-        out[r["piece"] * (piece >> 3) : (r["piece"] + 1) * (piece >> 3)] = r["bits"]
+    for r in counted.select("part", name).mapInArrow(pieces, "part int, bits binary").collect():
+        out[r["part"] * (each >> 3) : (r["part"] + 1) * (each >> 3)] = r["bits"]
     return bytes(out)
 
 
@@ -763,22 +856,16 @@ def _near_one(*keys: str) -> Column:
 
 
 def _repeated(texts: DataFrame, span: int, size: int, depth: int) -> DataFrame:
-    """``key, doc, place`` of the signatures that several documents have (and of some that one has), when what is common comes last."""
-    bits = common = None
-    for last in (False, True):
-        rows = signature_rows(texts, span=span, size=size, depth=depth, common=common)
-        found = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        if not last:
-            many = found.where(F.col("n") > COMMON).select("key")
-            count = many.count()
-            if count:
-                common = key_bits(many, bits_for(count) or MOST_BITS)
-                release(texts.sparkSession)
-                continue
-        log2_bits = bits_for(found.count())
-        bits = None if log2_bits is None else key_bits(found, log2_bits)
-        break
-    return cut(signature_rows(texts, span=span, size=size, among=bits, thin=False, depth=depth, common=common))
+    """``key, doc, place`` of the signatures that several documents have (and of some that one has), when what one document has
+    comes first, and last what is common."""
+    found = cut(counted_shingles(texts, size))
+    count, some = found.agg(*(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) / 4 for c in ("repeated", "common"))).first()
+    known = min(1 << 32, (1 << MOST_BITS + 31) // max(1, int(count)))  # two bits for each repeated one that the bitmap tells of
+    repeated = code_bits(found, "repeated", bits_for(int(count)), known)
+    common = code_bits(found, "common", bits_for(int(some)), known) if some else None
+    del found
+    release(texts.sparkSession)
+    return cut(signature_rows(texts, span=span, size=size, thin=False, depth=depth, common=common, repeated=repeated, known=known))
 
 
 def _ordered(passages: DataFrame) -> DataFrame:
