@@ -50,6 +50,8 @@ CLAIMS = 1024
 SEED = 99
 #: Bytes of text that are hashed at a time; a longer text goes alone. Shingles that are ranked at a time.
 LOAD, PIECE = 1 << 21, 1 << 16
+#: Starts that are counted at a time; those of one document and what it claims together.
+STARTS = 1 << 21
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -446,29 +448,35 @@ def code_bits(counted: DataFrame, name: str, log2_bits: int, known: int) -> byte
 RUN = "doc long, rep long, shift int, start int, claims binary, theirs binary"
 
 
-def cut_runs(keys: np.ndarray, places: np.ndarray, reps: np.ndarray, words: np.ndarray, span: int = SPAN, size: int = SHINGLE) -> Iterator[tuple]:
-    """What the first occurrence has to show for the ``places`` that claim it: for each diagonal,
-    runs ``shift, start, keys, places, lows, highs, its words``. A place's aligned common subsequences
+def cut_runs(rows: list[tuple], words: np.ndarray, span: int = SPAN, size: int = SHINGLE) -> Iterator[tuple]:
+    """What a first occurrence has to show for the ``(doc, rep, keys, places, reps)`` that claim it: for each of these and
+    each diagonal, runs ``doc, rep, shift, start, claims, its words``. A place's aligned common subsequences
     start at low..high; if there is none, low is above high and no words are needed."""
+    row = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    keys, places, reps = (np.concatenate([np.empty(0, np.int64), *(r[i] for r in rows)]) for i in (2, 3, 4))
     centre, first, last = unpack_place(places)
     rcentre, rfirst, rlast = unpack_place(reps)
     shift = rcentre - centre
     low, high = np.maximum(first, rfirst - shift), np.minimum(last, rlast - shift)
     wide = span + size - 1
-    for d in np.unique(shift):
-        own = np.flatnonzero(shift == d)
-        own = own[np.argsort(low[own], kind="stable")]
-        none = own[low[own] > high[own]]
-        if len(none):
-            yield int(d), 0, keys[none], places[none], low[none], high[none], words[:0]
-        own = own[low[own] <= high[own]]
-        if not len(own):
-            continue
-        reach = np.maximum.accumulate(high[own]) + wide
-        heads = np.flatnonzero(np.concatenate([[True], low[own][1:] > reach[:-1]]))
-        for a, b in zip(heads, [*heads[1:], len(own)]):
-            some, start = own[a:b], int(low[own[a]])
-            yield int(d), start, keys[some], places[some], low[some], high[some], words[start + d : reach[b - 1] + d]
+    none = low > high
+    order = np.lexsort((low, none, shift, row))
+    keys, places, low, high, shift, row, none = (x[order] for x in (keys, places, low, high, shift, row, none))
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (shift[1:] != shift[:-1]) | (none[1:] != none[:-1])
+    apart = np.cumsum(new) << 40  # no run reaches into the next row's or diagonal's
+    reach = np.maximum.accumulate(np.append(0, np.where(none, 0, high + wide) + apart))
+    new |= ~none & (low + apart > reach[:-1])
+    heads = np.flatnonzero(new)
+    packed = memoryview(pack_claims(keys, places, low, high))
+    for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(row)]):
+        doc, rep, d = *rows[row[i]][:2], int(shift[i])
+        claims = bytes(packed[16 * i : 16 * j])
+        if none[i]:
+            yield doc, rep, d, 0, claims, b""
+        else:
+            start = int(low[i])
+            yield doc, rep, d, start, claims, words[start + d : int(reach[j] - apart[i]) + d].tobytes()
 
 
 def _distinct(windows: np.ndarray) -> np.ndarray:
@@ -672,18 +680,30 @@ class Texts:
         return self.ids[text[new]], key[new], place[new]
 
 
-def evident(keys: np.ndarray, places: np.ndarray, least: int) -> np.ndarray:
-    """The places, cut to the starts from the first to the last that ``least`` of them hold; -1 for none.
-    Each function's places hold a start once at most."""
+def evident(places: np.ndarray, group: np.ndarray, least: int) -> np.ndarray:
+    """The places, cut to the starts from the first to the last that ``least`` of their ``group`` (numbers that
+    ascend) hold; -1 for none. Each function's places hold a start once at most."""
+    out = np.full(len(places), -1)
+    if not len(places):
+        return out
     centre, first, last = unpack_place(places)
-    size = int(last.max()) + 2
-    held = np.cumsum(np.bincount(first, minlength=size) - np.bincount(last + 1, minlength=size)) >= least
-    at = np.flatnonzero(held)
-    if not len(at):
-        return np.full(len(places), -1)
-    i, j = np.searchsorted(at, first), np.searchsorted(at, last, side="right") - 1
-    new = pack_place(centre, at[np.minimum(i, len(at) - 1)], at[np.maximum(j, 0)])
-    return np.where(i <= j, new, -1)
+    heads = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+    counts = np.diff(heads, append=len(group))
+    begin = np.minimum.reduceat(first, heads)
+    sizes = np.maximum.reduceat(last, heads) - begin + 2
+    ends = np.cumsum(sizes)
+    lie = np.repeat(ends - sizes - begin, counts)  # groups side by side
+    load = np.repeat(ends // STARTS, counts)
+    for own in np.split(np.arange(len(places)), np.flatnonzero(np.diff(load)) + 1):
+        back = lie[own] - (first[own] + lie[own]).min()
+        a, b = first[own] + back, last[own] + back
+        n = int(b.max()) + 2
+        at = np.flatnonzero(np.cumsum(np.bincount(a, minlength=n) - np.bincount(b + 1, minlength=n)) >= least)
+        if len(at):
+            i, j = np.searchsorted(at, a), np.searchsorted(at, b, side="right") - 1
+            new = pack_place(centre[own], at[np.minimum(i, len(at) - 1)] - back, at[np.maximum(j, 0)] - back)
+            out[own] = np.where(i <= j, new, -1)
+    return out
 
 
 def _pairs(claims: DataFrame, least: int, *by: str) -> DataFrame:
@@ -695,19 +715,21 @@ def _pairs(claims: DataFrame, least: int, *by: str) -> DataFrame:
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc, claims in zip(batch.column(0).to_pylist(), batch.column(1)):
-                key, place, rep, rep_place = (claims.values.field(c).to_numpy(zero_copy_only=False) for c in ("key", "place", "rep", "rep_place"))
-                cut_place = evident(key, place, least) if least > 1 else place
-                kept = np.flatnonzero(cut_place >= 0)
-                kept = kept[np.argsort(rep[kept], kind="stable")]
-                heads = np.flatnonzero(np.diff(rep[kept], prepend=rep[kept][:1] - 1)) if len(kept) else kept
-                for some in np.split(kept, heads[1:]) if len(kept) else []:
-                    out.append((doc, int(rep[some[0]]), key[some], cut_place[some], rep_place[some]))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out) if out else [()] * 5, held)], schema=held)
+            claims, bounds = batch.column(1).values, batch.column(1).offsets.to_numpy()
+            key, place, rep, rep_place = (claims.field(c).to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]] for c in ("key", "place", "rep", "rep_place"))
+            group = np.repeat(np.arange(len(batch)), np.diff(bounds))
+            place = evident(place, group, least) if least > 1 else place
+            kept = np.flatnonzero(place >= 0)
+            kept = kept[np.lexsort((rep[kept], group[kept]))]
+            group, rep = group[kept], rep[kept]
+            heads = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (rep[1:] != rep[:-1]))[: len(kept)])
+            ends = pa.array(np.append(heads, len(kept)), pa.int32())
+            lists = (pa.ListArray.from_arrays(ends, pa.array(x[kept], pa.int64()), type=f.type) for x, f in zip((key, place, rep_place), list(held)[2:]))
+            docs = batch.column(0).to_numpy(zero_copy_only=False)[group[heads]]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(rep[heads], pa.int64()), *lists], schema=held)
 
     grouped = claims.groupBy("doc", *by).agg(F.collect_set(F.struct("key", "place", "rep", "rep_place")).alias("claims"))
-    return grouped.select("doc", "claims").mapInArrow(dealt, schema)
+    return grouped.where(F.size("claims") >= least).select("doc", "claims").mapInArrow(dealt, schema)
 
 
 def _meet(place: str, other: str) -> Column:
@@ -754,16 +776,17 @@ def _check(pairs: DataFrame, texts: DataFrame, span: int, size: int, similarity:
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, words = WordHashes(), np.empty(0, np.uint32)
         for batch in batches:
-            out = []
+            out, some = [], []
             for doc, rep, keys, places, reps, text in zip(*(batch[c].array for c in ("doc", "rep", "keys", "places", "reps", "text"))):
                 if text is not None:
-                    words = hashes([text])[0].astype(np.uint32)
+                    out += cut_runs(some, words, span, size)
+                    words, some = hashes([text])[0].astype(np.uint32), []
                 elif doc == rep:
                     centre = places >> 16
                     out.append((doc, rep, 0, 0, pack_claims(keys, places, centre, centre - 1), b""))
                 else:
-                    for d, start, *claims, part in cut_runs(keys, places, reps, words, span, size):
-                        out.append((doc, rep, d, start, pack_claims(*claims), part.tobytes()))
+                    some.append((doc, rep, keys, places, reps))
+            out += cut_runs(some, words, span, size)
             yield pd.DataFrame(out, columns=["doc", "rep", "shift", "start", "claims", "theirs"])
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -820,9 +843,11 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     passages = spark.createDataFrame([], "doc long, rep long, start int, end int, rep_start int, rep_end int, similarity double")
     rows = _repeated(texts, span, size, depth)
     for number in range(ELECTIONS):
-        # keys of several documents, with their first occurrence, then with any: where first ones are odd, most are alike
+        # keys of several documents, with their first occurrence, then with one of most starts: an edit near a shingle
+        # leaves it fewer, so this is one of those that most are similar to
         row = F.struct("doc", "place", "key")
-        rep = F.min(row) if not number else F.min_by(row, F.xxhash64("doc", "place"))
+        starts = F.shiftright("place", 8).bitwiseAND(F.lit(255)) - F.col("place").bitwiseAND(F.lit(255))
+        rep = F.min(row) if not number else F.max_by(row, F.struct(starts, F.xxhash64("doc", "place")))
         reps = rows.groupBy(_group().alias("group")).agg(rep.alias("rep"), F.min("doc").alias("least"), F.max("doc").alias("most"), F.bit_and("key").alias("all"))
         reps = cut(reps.where("least < most").where(~_near_one("all")).select("group", F.col("rep.doc").alias("rep"), F.col("rep.place").alias("rep_place"), F.col("rep.key").alias("rep_key")))
         if reps.isEmpty():
@@ -838,6 +863,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = own.join(other, "group").where(F.col("rep") < F.col("doc")).where(~_near_one("key", "rep_key")).where(_meet("place", "rep_place"))
     pairs = cut(_pairs(rest.select("doc", F.col("group").alias("key"), "place", "rep", "rep_place").withColumn("pair", F.col("rep")), evidence, "pair"))
     if not pairs.isEmpty():
+        release(spark)
         passages = passages.union(cut(_check(pairs, texts, span, size, similarity, evidence, None)).select(*columns))
     return _ordered(passages)
 

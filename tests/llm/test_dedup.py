@@ -435,6 +435,29 @@ def test_lowest_shingles_of_similar_passages_meet(spark):
         assert len(set(key[text == 0].tolist()) & set(key[text == 1].tolist())) >= depth[1]
 
 
+def test_what_only_one_document_has_makes_no_signatures(spark):
+    """Phrases that two documents share, among words of their own, group nothing; a passage does."""
+    rng, docs = random.Random(53), []
+    for i in range(60):
+        phrase, passage = text_of(rng, 20), text_of(rng, 50) if i % 10 == 0 else []
+        docs += [(2 * i + j, " ".join(text_of(rng, 60) + phrase + text_of(rng, 60) + passage + text_of(rng, 60))) for j in (0, 1)]
+    texts = spark.createDataFrame(docs, "doc long, text string").select("doc", F.col("text").cast("binary").alias("text"))
+    got = rows(substring_dedup._repeated(texts, substring_dedup.SPAN, substring_dedup.SHINGLE, 7))
+    ids = {}
+    for r in got:
+        ids.setdefault(r["key"], set()).add(r["doc"])
+    several = {d for x in ids.values() if len(x) > 1 for d in x}
+    assert several == {2 * i + j for i in range(0, 60, 10) for j in (0, 1)}
+
+
+def test_lowest_of_each_subsequence():
+    rng = np.random.default_rng(59)
+    for n, span, depth in ((46, 46, 7), (47, 46, 7), (92, 46, 7), (1000, 46, 7), (70_000, 46, 7), (50, 8, 8), (20, 5, 1)):
+        value = rng.permutation(n).astype(np.uint64)
+        want = np.sort(np.lib.stride_tricks.sliding_window_view(value, span), axis=1)[:, depth - 1]
+        assert (substring_dedup._kth_least(value, span, depth) == want).all()
+
+
 def window_sets(words, span=substring_dedup.SPAN, size=substring_dedup.SHINGLE):
     """The sets of shingles of all windows."""
     low = [w.lower() for w in words]
