@@ -794,8 +794,12 @@ def _check(pairs: DataFrame, texts: DataFrame, span: int, size: int, similarity:
         for batch in batches:
             for doc, rep, shift, start, claims, theirs, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "rep", "shift", "start", "claims", "theirs", "text"))):
                 if text is None:
+                    if number is None and load > LOAD:  # nothing is carried on, for which a text's claims are needed together
+                        yield _told(texts, hashes)
+                        texts = [(*texts[-1][:2], [])]
+                        load = 8 * len(texts[0][1])
                     texts[-1][2].append((rep, shift, start, claims, theirs))
-                    load += len(theirs) + 8 * len(claims)
+                    load += 4 * len(theirs) + 8 * len(claims)
                     continue
                 if load > LOAD:
                     yield _told(texts, hashes)
