@@ -2,13 +2,13 @@
 
 A passage of ``SPAN`` shingles or more is looked for through all subsequences of exactly that many
 shingles. Its signatures are its ``depth`` lowest shingles in an order that is one for all documents: those
-that many documents have come last, the others by a hash. Two subsequences of similarity 0.8 differ in 5 of
+that more documents have come later (by powers of four), the others by a hash. Two subsequences of similarity 0.8 differ in 5 of
 46 shingles at most, so two of the seven lowest of either are among the seven lowest of the other: none
 of them fails to meet. The starts of the subsequences that have a shingle among their lowest lie between a first
 and a last one, a compact window; where those of two documents meet, the interval of starts that both
 hold, aligned at the shingle, are the candidates. Each group elects its first occurrence and all candidates of
-the others are verified against it, word by word; what equals it is done with. Of what stays, the group elects
-another, and in the end all pairs are compared that aren't both similar to one that was elected.
+the others are verified against it, word by word; what equals it is done with. Of what stays, each start of a subsequence,
+counted from the shingle, elects others, and in the end all pairs are compared that aren't both similar to one that was elected.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from .common import bound_batches, cut, named, release
 
@@ -34,13 +35,16 @@ SIMILARITY = 0.8
 #: The bitmap of repeated shingles has eight bits or so for each, and 2^MOST_BITS (32 MB) at most; with fewer than two for each it tells of
 #: fewer shingles. Which ones it takes for repeated that are not, and which it tells of, no result depends on.
 LEAST_BITS, MOST_BITS = 20, 28
-#: Elections in each group before all pairs of what stays are compared; a key's lowest bits tell which of
-#: those elected its subsequences are similar to.
-ELECTIONS = 2
+#: Elections in each group at most before all pairs of what stays are compared; a key's lowest bits tell which of
+#: those elected its subsequences are similar to, directly or by way of others.
+ELECTIONS = 4
+#: Places of a group that hold the same start (counted from the shingle), up to which all their pairs are compared without another election.
+FEW = 8
 #: Signatures that subsequences have in common at least, if they are similar.
 EVIDENCE = 2
-#: Shingles that more documents have come last in the order.
-COMMON = 16
+#: Shingles that more documents have than each of these come later in the order, those of most documents last: a subsequence with six
+#: shingles of a rarer kind than a passage that thousands of documents have doesn't meet all of these in that passage's groups.
+LEVELS = tuple(16 << 2 * i for i in range(12))
 #: Ids of documents up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Parts by which shingles are counted: a power of two, no more than 2^LEAST_BITS / 8.
@@ -195,9 +199,9 @@ def _kth_least(value: np.ndarray, span: int, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def lowest_windows(value: np.ndarray, before: np.ndarray, end: np.ndarray, span: int, depth: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """``[first, centre, last]`` of the positions that are among the ``depth`` lowest of a subsequence of ``span``
-    within their text (which ends at ``end``, one for each position): the first and the last start of such ones.
+def lowest_windows(value: np.ndarray, before: np.ndarray, end: np.ndarray, span: int, depth: int, wanted: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """``[first, centre, last]`` of the ``wanted`` positions that are among the ``depth`` lowest of all subsequences of ``span`` that
+    start at first..last, within their text (which ends at ``end``, one for each position): a row for each run of such starts.
     And the starts of those that are one shingle again and again.
 
     A shingle counts once in a subsequence, where it comes first (``before`` is the place of the same one before each). Of a
@@ -231,8 +235,15 @@ def lowest_windows(value: np.ndarray, before: np.ndarray, end: np.ndarray, span:
             open_ = open_[own[open_] > high[starts[open_] + span - 1]]
             starts[open_] += by
             open_ = open_[(starts[open_] >= least[open_]) & (starts[open_] <= centres[open_])]
-    real = np.flatnonzero(first <= last)
-    return np.stack([first[real], centres[real], last[real]], axis=1), np.concatenate([np.empty(0, np.int64), *alone])
+    real = np.flatnonzero((first <= last) & wanted[centres])
+    first, centre, last, own = first[real], centres[real], last[real], own[real]
+    counts = last - first + 1
+    of = np.repeat(np.arange(len(first)), counts)
+    starts = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts - first, counts)
+    held = np.flatnonzero(own[of] <= high[starts + span - 1])  # what lies between may have lower ones that neither end has
+    starts, of = starts[held], of[held]
+    heads = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(starts) != 1))[: len(of)])
+    return np.stack([starts[heads], centre[of[heads]], starts[np.append(heads, len(starts))[1:] - 1]], axis=1), np.concatenate([np.empty(0, np.int64), *alone])
 
 
 def _before(base: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -272,20 +283,28 @@ def _codes(every: np.ndarray) -> np.ndarray:
     return (every & np.uint64(PARTS - 1)) << np.uint64(32) | every >> np.uint64(32)
 
 
-def _in_bits(bits: np.ndarray, every: np.ndarray) -> np.ndarray:
-    """1 where the bitmap has the bit of a shingle: that of its code's lowest digits, in its part's piece."""
-    each = np.uint64(max(1, 8 * len(bits) // PARTS))
-    at = (every & np.uint64(PARTS - 1)) * each + (every >> np.uint64(32) & each - np.uint64(1)) & np.uint64(8 * len(bits) - 1)
+def _bit_of(codes: np.ndarray, each: int, level: int) -> np.ndarray:
+    """The bit of a code (its 32 bits) in its part's piece: its lowest digits, or for a level other ones, so that what gets into one bitmap
+    by error doesn't get into the next for it."""
+    if level:
+        odd = int(_mix(np.array([SEED + level], np.uint64))[0]) & 0xFFFFFFFF | 1
+        codes = (codes * np.uint64(odd) & np.uint64(0xFFFFFFFF)) >> np.uint64(33 - each.bit_length())
+    return codes & np.uint64(each - 1)
+
+
+def _in_bits(bits: np.ndarray, every: np.ndarray, level: int = 0) -> np.ndarray:
+    """1 where the bitmap has the bit of a shingle."""
+    each = max(1, 8 * len(bits) // PARTS)
+    at = (every & np.uint64(PARTS - 1)) * np.uint64(each) + _bit_of(every >> np.uint64(32), each, level) & np.uint64(8 * len(bits) - 1)
     return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
 
 
-def signatures(words: np.ndarray, bounds: np.ndarray, functions: int = FUNCTIONS, span: int = SPAN, size: int = SHINGLE, depth: int = 0, common: np.ndarray | None = None, repeated: np.ndarray | None = None, known: int = 1 << 32) -> tuple[np.ndarray, ...]:
+def signatures(words: np.ndarray, bounds: np.ndarray, functions: int = FUNCTIONS, span: int = SPAN, size: int = SHINGLE, depth: int = 0, common: np.ndarray | list[np.ndarray] | None = None, repeated: np.ndarray | None = None, known: int = 1 << 32) -> tuple[np.ndarray, ...]:
     """``text, key, centre, first, last`` for texts whose words lie between the ``bounds``: under a
     function, the subsequences of ``span`` shingles that start at first..last have their least hash
-    at centre; with the function it makes the key. With a ``depth`` they (some between first and last, these
-    two for certain) have it among so many lowest, those last whose bits are ``common``. With the bits of those that are
-    ``repeated`` the others come first, and they make no signatures, for no other text has them. The bits tell of shingles
-    below ``known`` (by their 32 highest digits); the others come between the repeated and the common ones."""
+    at centre; with the function it makes the key. With a ``depth`` they have it among so many lowest, those last whose bits are ``common`` (of several bitmaps, in the most). With the bits of
+    those that are ``repeated`` the others come first, and they make no signatures, for no other text has them. These bits tell of
+    shingles below ``known`` (by their 32 highest digits); the others come between the repeated and the common ones."""
     text, base, begin, end = _shingled(words, bounds, size)
     parts = [[] for _ in range(5)]
     with np.errstate(over="ignore"):
@@ -295,12 +314,15 @@ def signatures(words: np.ndarray, bounds: np.ndarray, functions: int = FUNCTIONS
             bits = np.uint64(len(base).bit_length())
             if repeated is not None:
                 kind = np.where(told, _in_bits(repeated, every), 2).astype(np.uint64)
-            if common is not None:
-                kind[told & (_in_bits(common, every) > 0)] = 3
-            value = every >> np.uint64(2) | kind << np.uint64(62)
-            windows, alone = lowest_windows(value >> bits << bits | np.arange(len(base), dtype=np.uint64), _before(base, begin), end, span, depth)
+            levels = [] if common is None else [(0, common)] if isinstance(common, np.ndarray) else list(enumerate(common, 1))
+            above = np.flatnonzero(kind > 0) if repeated is not None else np.arange(len(base))
+            for level, its in levels:  # each is a part of the one before, so few get by error into the higher ones
+                above = above[_in_bits(its, every[above], level) > 0]
+                kind[above] = 2 + max(1, level)
+            value = every >> np.uint64(4) | kind << np.uint64(60)
+            windows, alone = lowest_windows(value >> bits << bits | np.arange(len(base), dtype=np.uint64), _before(base, begin), end, span, depth, kind > 0 if repeated is not None else np.ones(len(base), bool))
             if repeated is not None:
-                windows, alone = windows[kind[windows[:, 1]] > 0], alone[kind[alone] > 0]
+                alone = alone[kind[alone] > 0]
             first, centre, last = np.concatenate([windows, np.repeat(alone[:, None], 3, axis=1)]).T
             key = every[centre]
             key[len(windows) :] = _mix(key[len(windows) :])  # a single shingle under two keys, for EVIDENCE
@@ -353,16 +375,18 @@ def _places(order: np.ndarray, new: np.ndarray, text: np.ndarray, key: np.ndarra
     return order[new]
 
 
-def signature_rows(df: DataFrame, functions: int = FUNCTIONS, span: int = SPAN, size: int = SHINGLE, among: bytes | None = None, thin: bool = True, depth: int = 0, common: bytes | None = None, repeated: bytes | None = None, known: int = 1 << 32) -> DataFrame:
+def signature_rows(df: DataFrame, functions: int = FUNCTIONS, span: int = SPAN, size: int = SHINGLE, among: bytes | None = None, thin: bool = True, depth: int = 0, common: list[bytes] = (), repeated: bytes | None = None, known: int = 1 << 32) -> DataFrame:
     """``key, doc, place`` of ``df(doc, text)``, of the keys that the bits ``among`` let through: the first place of each key in
     a document, or (not ``thin``) all places, but for those that repeat the words of another one within ``span`` shingles."""
     sc = df.sparkSession.sparkContext
-    shared, lasts, others = (None if x is None else sc.broadcast(x) for x in (among, common, repeated))
+    shared, others = (None if x is None else sc.broadcast(x) for x in (among, repeated))
+    lasts = [sc.broadcast(x) for x in common]
     held = to_arrow_schema(StructType.fromDDL("key long, doc long, place long"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        bits, put_last, several_have = (None if x is None else np.frombuffer(x.value, np.uint8) for x in (shared, lasts, others))
+        bits, several_have = (None if x is None else np.frombuffer(x.value, np.uint8) for x in (shared, others))
+        put_last = [np.frombuffer(x.value, np.uint8) for x in lasts]
         for batch in batches:
             docs, texts = batch.column(0).to_numpy(zero_copy_only=False), [t or b"" for t in batch.column(1).to_pylist()]
             for at, end in _loads(texts):
@@ -388,10 +412,15 @@ def signature_rows(df: DataFrame, functions: int = FUNCTIONS, span: int = SPAN,
     return df.select("doc", "text").mapInArrow(rows, "key long, doc long, place long")
 
 
+#: The columns of :func:`counted_shingles`.
+COUNTED = ("repeated", *(f"common{i}" for i in range(len(LEVELS))))
+
+
 def counted_shingles(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``part, repeated, common``: for each part the codes of the shingles that several rows of ``texts(text)`` have, and of
-    those that more than ``COMMON`` have, 32 bits each. A few others count with them that have a code in common."""
-    held, counted = (to_arrow_schema(StructType.fromDDL(x)) for x in ("part int, codes binary", "part int, repeated binary, common binary"))
+    """``part, repeated, common0, common1, ...``: for each part the codes of the shingles that several rows of ``texts(text)`` have, and
+    of those that more than each of ``LEVELS`` have, 32 bits each. A few others count with them that have a code in common."""
+    schema = ", ".join(["part int", *(f"{c} binary" for c in COUNTED)])
+    held, counted = (to_arrow_schema(StructType.fromDDL(x)) for x in ("part int, codes binary", schema))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -414,9 +443,9 @@ def counted_shingles(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
         codes = np.sort(np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint32))
         heads = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
         n = np.diff(heads, append=len(codes))
-        return pa.Table.from_arrays([table.column("part").combine_chunks()[:1], *(pa.array([codes[heads[n > least]].tobytes()], pa.binary()) for least in (1, COMMON))], schema=counted)
+        return pa.Table.from_arrays([table.column("part").combine_chunks()[:1], *(pa.array([codes[heads[n > least]].tobytes()], pa.binary()) for least in (1, *LEVELS))], schema=counted)
 
-    return texts.select("text").mapInArrow(rows, "part int, codes binary").groupBy("part").applyInArrow(count, "part int, repeated binary, common binary")
+    return texts.select("text").mapInArrow(rows, "part int, codes binary").groupBy("part").applyInArrow(count, schema)
 
 
 def bits_for(count: int) -> int:
@@ -424,7 +453,7 @@ def bits_for(count: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, (8 * count).bit_length()))
 
 
-def code_bits(counted: DataFrame, name: str, log2_bits: int, known: int) -> bytes:
+def code_bits(counted: DataFrame, name: str, log2_bits: int, known: int, level: int = 0) -> bytes:
     """A bitmap of the codes ``name`` below ``known``, a piece from each part."""
     each = (1 << log2_bits) // PARTS
     held = to_arrow_schema(StructType.fromDDL("part int, bits binary"))
@@ -433,8 +462,8 @@ def code_bits(counted: DataFrame, name: str, log2_bits: int, known: int) -> byte
         for batch in batches:
             out = []
             for codes in batch.column(1).to_pylist():
-                codes, bits = np.frombuffer(codes, np.uint32).astype(np.int64), np.zeros(each, bool)
-                bits[codes[codes < known] & each - 1] = True
+                codes, bits = np.frombuffer(codes, np.uint32).astype(np.uint64), np.zeros(each, bool)
+                bits[_bit_of(codes[codes < np.uint64(known)], each, level).astype(np.int64)] = True
                 out.append(np.packbits(bits, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], schema=held)
 
@@ -732,12 +761,64 @@ def _pairs(claims: DataFrame, least: int, *by: str) -> DataFrame:
     return grouped.where(F.size("claims") >= least).select("doc", "claims").mapInArrow(dealt, schema)
 
 
+def _reach(place: str) -> tuple[Column, Column]:
+    """How far before its centre a place's last start and its first one lie."""
+    return tuple(F.shiftright(place, n).bitwiseAND(F.lit(255).cast("long")) for n in (0, 8))
+
+
 def _meet(place: str, other: str) -> Column:
     """Whether two places, aligned at their centres, have a start in common."""
-    back, ahead = ([F.shiftright(p, n).bitwiseAND(F.lit(255).cast("long")) for p in (place, other)] for n in (8, 0))
+    ahead, back = zip(_reach(place), _reach(other))
     return F.least(*back) >= F.greatest(*ahead)
 
 
+def _cut_to(place: str, least: Column, most: Column) -> Column:
+    """A place with starts that lie ``least`` to ``most`` before its centre alone."""
+    return F.shiftleft(F.shiftright(place, 16), 16).bitwiseOR(F.shiftleft(most, 8)).bitwiseOR(least)
+
+
+def _joining(rows: DataFrame, evidence: int) -> DataFrame:
+    """``rows(key, doc, place)`` without, at each start, the ``evidence - 1`` of its keys that most rows have. Of so many keys as two
+    similar subsequences share the rarest is not among these in either (the order is one for all), so they still meet."""
+    sizes = cut(rows.groupBy(_group().alias("group")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
+    counted = rows.join(sizes, _group() == F.col("group"), "left").select("doc", "key", "place", F.coalesce("n", F.lit(0)).alias("n"))
+    held = to_arrow_schema(StructType.fromDDL("key long, doc long, place long"))
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, bounds = batch.column(1).values, batch.column(1).offsets.to_numpy()
+            key, place, n = (own.field(c).to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]] for c in ("key", "place", "n"))
+            starts, of = _starts(place)
+            doc, group = np.repeat(np.arange(len(batch)), np.diff(bounds))[of], key[of] >> ELECTIONS
+            order = np.lexsort((group, n[of], starts, doc))
+            last = np.append((np.diff(doc[order]) != 0) | (np.diff(starts[order]) != 0), True)[: len(order)]
+            ends = np.flatnonzero(last)[np.cumsum(last) - last]  # of the same start
+            kept = order[ends - np.arange(len(order)) >= evidence - 1]
+            kept = kept[np.lexsort((starts[kept], of[kept]))]
+            key, place, of = _runs(key[of[kept]], place[of[kept]] >> 16, starts[kept], of[kept])
+            docs = batch.column(0).to_numpy(zero_copy_only=False)[np.searchsorted(bounds - bounds[0], of, side="right") - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, docs, place)], schema=held)
+
+    return counted.groupBy("doc").agg(F.collect_set(F.struct("key", "place", "n")).alias("own")).mapInArrow(rarest, "key long, doc long, place long")
+
+
+def _elected(rows: DataFrame, number: int) -> DataFrame:
+    """``group, least, most, rep, rep_place, rep_key``: the starts of each group, least to most before the shingle, for which one of
+    ``rows`` is elected: first that with most starts (an edit near a shingle leaves it fewer, so most are similar to this one), then any,
+    which is most often one of the greatest cluster. No one is where ``FEW`` rows or fewer are; where one document alone is, or all are similar to one that was elected,
+    there is nothing to be compared."""
+    ahead, back = _reach("place")
+    at = rows.select(_group().alias("group"), "key", "doc", "place", F.explode(F.sequence(ahead, back)).alias("at"))
+    starts = back - ahead if number == 1 else F.lit(0)
+    best = F.max(F.struct(starts.alias("starts"), F.xxhash64("doc", F.lit(number)).alias("hash"), "doc", "place", "key"))
+    at = at.groupBy("group", "at").agg(best.alias("rep"), F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"), F.bit_and("key").alias("all"))
+    at = at.where("first < last").where(~_near_one("all")).withColumn("rep", F.when(F.col("n") > FEW, F.col("rep")))
+    by = Window.partitionBy("group", "rep").orderBy("at")
+    runs = at.select("group", "rep", "at", (F.col("at") - F.row_number().over(by)).alias("run")).groupBy("group", "rep", "run").agg(F.min("at").alias("least"), F.max("at").alias("most"))
+    return runs.select("group", "least", "most", F.col("rep.doc").alias("rep"), _cut_to("rep.place", F.col("least"), F.col("most")).alias("rep_place"), F.col("rep.key").alias("rep_key"))
+
+
 CHECKED = "doc long, rep long, start int, end int, rep_start int, rep_end int, similarity double, key long, place long"
 
 
@@ -846,29 +927,41 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns = ["doc", "rep", "start", "end", "rep_start", "rep_end", "similarity"]
     passages = spark.createDataFrame([], "doc long, rep long, start int, end int, rep_start int, rep_end int, similarity double")
     rows = _repeated(texts, span, size, depth)
-    for number in range(ELECTIONS):
-        # keys of several documents, with their first occurrence, then with one of most starts: an edit near a shingle
-        # leaves it fewer, so this is one of those that most are similar to
-        row = F.struct("doc", "place", "key")
-        starts = F.shiftright("place", 8).bitwiseAND(F.lit(255)) - F.col("place").bitwiseAND(F.lit(255))
-        rep = F.min(row) if not number else F.max_by(row, F.struct(starts, F.xxhash64("doc", "place")))
-        reps = rows.groupBy(_group().alias("group")).agg(rep.alias("rep"), F.min("doc").alias("least"), F.max("doc").alias("most"), F.bit_and("key").alias("all"))
-        reps = cut(reps.where("least < most").where(~_near_one("all")).select("group", F.col("rep.doc").alias("rep"), F.col("rep.place").alias("rep_place"), F.col("rep.key").alias("rep_key")))
-        if reps.isEmpty():
-            return _ordered(passages)
-        joined = rows.join(reps, _group() == F.col("group")).where("doc <> rep or place <> rep_place")
-        claims, apart = joined.where(~_near_one("key", "rep_key")).drop("group", "rep_key"), joined.where(_near_one("key", "rep_key"))
-        checked = cut(_check(cut(_pairs(claims, 1 if number else evidence)), texts, span, size, similarity, 1 if number else evidence, number))
+    # keys of several documents, with their first occurrence
+    reps = rows.groupBy(_group().alias("group")).agg(F.min(F.struct("doc", "place")).alias("rep"), F.min("doc").alias("least"), F.max("doc").alias("most"))
+    reps = cut(reps.where("least < most").select("group", F.col("rep.doc").alias("rep"), F.col("rep.place").alias("rep_place")))
+    if reps.isEmpty():
+        return _ordered(passages)
+    claims = rows.join(reps, _group() == F.col("group")).where("doc <> rep or place <> rep_place")
+    checked = cut(_check(cut(_pairs(claims, evidence)), texts, span, size, similarity, evidence, 0))
+    passages = passages.union(checked.where("start is not null").select(*columns))
+    rows = cut(_joining(checked.where("key is not null").select("key", "doc", "place").distinct(), evidence))
+    release(spark)  # without it an executor of 3 GB was too small on the check's hot input
+    few = []
+    for number in range(1, ELECTIONS):
+        reps = cut(_elected(rows, number))
+        ahead, back = _reach("place")
+        least, most = F.greatest(ahead, "least"), F.least(back, "most")
+        parts = rows.join(reps, _group() == F.col("group")).where(least <= most).select("key", "doc", _cut_to("place", least, most).alias("place"), "rep", "rep_place", "rep_key")
+        few.append(cut(parts.where("rep is null").select("key", "doc", "place")))
+        if reps.where("rep is not null").isEmpty():
+            rows = None
+            break
+        parts = parts.where("doc <> rep or shiftright(place, 16) <> shiftright(rep_place, 16)")
+        claims, apart = parts.where(~_near_one("key", "rep_key")), parts.where(_near_one("key", "rep_key"))
+        checked = cut(_check(cut(_pairs(claims, 1)), texts, span, size, similarity, 1, number))
         passages = passages.union(checked.where("start is not null").select(*columns))
-        rows = checked.where("key is not null").select("key", "doc", "place").union(apart.select("key", "doc", "place")).distinct()
-        rows = cut(rows) if number else rows  # what is apart has the rows before in its lineage
-        release(spark)  # without it an executor of 3 GB was too small on the check's hot input
+        apart = apart.select(F.col("key").bitwiseOR(F.lit(1 << number).cast("long")).alias("key"), "doc", "place")
+        rows = cut(checked.where("key is not null").select("key", "doc", "place").union(apart).distinct())
+        release(spark)
+    for more in few:
+        rows = more if rows is None else rows.union(more)
     own, other = rows.withColumn("group", _group()), rows.select(_group().alias("group"), F.col("key").alias("rep_key"), F.col("doc").alias("rep"), F.col("place").alias("rep_place"))
     rest = own.join(other, "group").where(F.col("rep") < F.col("doc")).where(~_near_one("key", "rep_key")).where(_meet("place", "rep_place"))
-    pairs = cut(_pairs(rest.select("doc", F.col("group").alias("key"), "place", "rep", "rep_place").withColumn("pair", F.col("rep")), evidence, "pair"))
+    pairs = cut(_pairs(rest.select("doc", F.col("group").alias("key"), "place", "rep", "rep_place").withColumn("pair", F.col("rep")), 1, "pair"))
     if not pairs.isEmpty():
         release(spark)
-        passages = passages.union(cut(_check(pairs, texts, span, size, similarity, evidence, None)).select(*columns))
+        passages = passages.union(cut(_check(pairs, texts, span, size, similarity, 1, None)).select(*columns))
     return _ordered(passages)
 
 
@@ -887,12 +980,12 @@ def _near_one(*keys: str) -> Column:
 
 def _repeated(texts: DataFrame, span: int, size: int, depth: int) -> DataFrame:
     """``key, doc, place`` of the signatures that several documents have (and of some that one has), when what one document has
-    comes first, and last what is common."""
+    comes first, and last what most have."""
     found = cut(counted_shingles(texts, size))
-    count, some = found.agg(*(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) / 4 for c in ("repeated", "common"))).first()
-    known = min(1 << 32, (1 << MOST_BITS + 31) // max(1, int(count)))  # two bits for each repeated one that the bitmap tells of
-    repeated = code_bits(found, "repeated", bits_for(int(count)), known)
-    common = code_bits(found, "common", bits_for(int(some)), known) if some else None
+    count, *levels = map(int, found.agg(*(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) / 4 for c in COUNTED)).first())
+    known = min(1 << 32, (1 << MOST_BITS + 31) // max(1, count))  # two bits for each repeated one that the bitmap tells of
+    repeated = code_bits(found, "repeated", bits_for(count), known)
+    common = [code_bits(found, f"common{i}", bits_for(n), 1 << 32, i + 1) for i, n in enumerate(levels) if n]
     del found
     release(texts.sparkSession)
     return cut(signature_rows(texts, span=span, size=size, thin=False, depth=depth, common=common, repeated=repeated, known=known))

@@ -551,6 +551,43 @@ def test_recall_by_similarity(spark):
     assert counts[0.8][1] > 50 and all(c >= 0.9 * n for c, n in counts.values()), counts
 
 
+def test_places_hold_all_their_starts():
+    """A key is among the lowest of every subsequence that its places hold, and of no other one."""
+    rng, span, depth = np.random.default_rng(61), substring_dedup.SPAN, 7
+    words = rng.integers(0, 1 << 60, 400).astype(np.uint64)
+    _, key, centre, first, last = substring_dedup.signatures(words, np.array([0, 400]), depth=depth)
+    with np.errstate(over="ignore"):
+        value = substring_dedup._mix(substring_dedup.shingles(words) * substring_dedup._ODD)
+    want = {(int(s + i), s) for s in range(len(value) - span + 1) for i in np.argsort(value[s : s + span])[:depth]}
+    got = [(c, s) for c, f, e in zip(centre.tolist(), first.tolist(), last.tolist()) for s in range(f, e + 1)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_around_a_common_passage_grow_with_its_texts(spark, monkeypatch):
+    """What is compared of texts with one passage amid lines that some of them share, and that all are joined."""
+    counts, pairs = [], substring_dedup._pairs
+
+    def counted(*args):
+        out = pairs(*args).cache()
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "_pairs", counted)
+    compared = {}
+    for n in (60, 240):
+        rng, docs = random.Random(67), []
+        base, lines = text_of(rng, 60), [text_of(rng, 12) for _ in range(n // 20)]
+        for i in range(n):
+            docs.append((i, " ".join(text_of(rng, 30) + lines[i % len(lines)] + base + lines[i // 20] + text_of(rng, 30))))
+        counts.clear()
+        got = rows(substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")))
+        edges = spark.createDataFrame([(r["doc_id"], r["rep_id"]) for r in got], "a long, b long")
+        assert [(r["id"], r["component"]) for r in sorted(rows(connected_components(edges)), key=lambda r: r["id"])] == [(i, 0) for i in range(n)]
+        compared[n] = sum(counts)
+    print(compared)
+    assert compared[240] < 6 * compared[60] and compared[240] < 12 * 240
+
+
 def test_repeated_passages_odd(odd, none):
     got = rows(substring_dedup.repeated_passages(odd))
     assert got == [] and substring_dedup.repeated_passages(none).count() == 0
